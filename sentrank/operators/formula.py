@@ -14,7 +14,7 @@ from ..constants import MINMAX_EPS, W_LEVEL, W_OFF_HOURS, W_RARITY
 from ..functions.numbers import inverse_frequency, min_max, to_double
 from ..functions.times import hour_or_zero, off_hours_flag
 from ..session import settle, small_side
-from .rank import review_order, top_k
+from .rank import top_k
 
 _KEYS = ["agent", "rule_id", "_level", "_off"]
 
@@ -125,5 +125,3 @@ def top_k_by_formula(df: DataFrame, k: int = 50) -> DataFrame:
     near = keyed.join(best, cond, "left_semi").select(*df.columns)
     return top_k(score(near, model), k)
 
-
-__all__ = ["FormulaModel", "fit", "score", "ensure_score", "top_k_by_formula", "review_order"]

@@ -17,21 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def alerts_from_events(events: DataFrame) -> DataFrame:
-    """Project events onto the six canonical alert columns."""
+def alerts_from_events(events: DataFrame, light_hosts: bool = False) -> DataFrame:
+    """Project events onto the six canonical alert columns.
+
+    Five heavy hosts by default, one host per user with ``light_hosts``.
+    """
+    host = F.col("user_id") if light_hosts else F.col("user_id") % 5
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return events.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("ts").alias("timestamp"),
-        F.concat(F.lit("agent-"), (F.col("user_id") % 5).cast("string")).alias("agent"),
+        F.concat(F.lit("agent-"), host.cast("string")).alias("agent"),
         F.concat_ws("-", "event_type", (k % 12).cast("string")).alias("rule_id"),
         F.least(F.lit(15), (1 + F.floor(F.col("value") / 20))).cast("int").alias("rule_level"),
         F.concat(F.lit("dec-"), (k % 11).cast("string")).alias("decoder"),
     )
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts_from_events(table(spark, sf_dir, "events"))
+def alerts(spark: SparkSession, sf_dir: str, light_hosts: bool = False) -> DataFrame:
+    return alerts_from_events(table(spark, sf_dir, "events"), light_hosts)
 
 
 def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

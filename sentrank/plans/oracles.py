@@ -45,16 +45,20 @@ LABELLED = """labelled AS (
          row_number() OVER (ORDER BY round(anomaly_score, 9) DESC, event_id) AS rnk FROM scored)"""
 
 
-def _features(rows: str, recency_from: str = "t2", keys: str = "agent") -> str:
-    """CTEs that turn the alerts of ``rows`` into features frozen on t1."""
+def _stats(keys: str = "agent") -> str:
+    """Statistics frozen on t1."""
     return f"""gaps1 AS (
   SELECT (epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (PARTITION BY {keys} ORDER BY "timestamp", event_id))
          / 1e6 AS s FROM t1),
 med AS (SELECT median(s) AS m FROM gaps1),
 hs AS (SELECT agent, avg(rule_level) AS mu, coalesce(stddev_samp(rule_level), 0) AS sd FROM t1 GROUP BY agent),
 cf AS (SELECT agent, rule_id, CAST(floor(hour("timestamp") / 2) * 2 AS INTEGER) AS hb, count(*) AS cnt
-       FROM t1 GROUP BY ALL),
-base_{rows} AS (
+       FROM t1 GROUP BY ALL)"""
+
+
+def _apply(rows: str, keys: str = "agent") -> str:
+    """Features of ``rows`` from the frozen statistics."""
+    return f"""base_{rows} AS (
   SELECT t.*, CAST(hour("timestamp") AS INTEGER) AS hour_local,
          CASE WHEN hour("timestamp") <= 6 THEN 1 ELSE 0 END AS is_off_hours,
          CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week,
@@ -82,6 +86,10 @@ full_{rows} AS (
   FROM feat_{rows})"""
 
 
+def _features(rows: str) -> str:
+    return f"{_stats()}, {_apply(rows)}"
+
+
 def _rounded(names: list[str]) -> str:
     return ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)
 
@@ -223,5 +231,209 @@ GROUP BY 1 ORDER BY alerts DESC, "group" LIMIT 5"""
     return out
 
 
+MODEL = ["hour_local", "is_off_hours", "day_of_week", "is_weekend",
+         "second_in_hour", "seconds_in_hour_bucketed", "hour_bucket",
+         "rule_level", "rule_level_z_host",
+         "rule_time_since_last_host_log1p", "recency_x_rule_level",
+         "offhours_x_rule_level", "offhours_x_rule_level_z", "weekend_x_rule_level_z",
+         "agent_rule_hour_hash01", "agent_rule_hour_freq_log1p"]
+_VEC = "[" + ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0)" for f in MODEL) + "]"
+_Y = """CASE WHEN rule_level >= 8 AND hour("timestamp") <= 6 THEN 1 ELSE 0 END"""
+
+VECTORS = f"""{T1}, {T2}, {_stats()}, {_apply('t1')}, {_apply('t2')},
+vt AS (SELECT event_id, {_VEC} AS v FROM full_t1),
+vq AS (SELECT event_id, {_VEC} AS v, {_Y} AS y FROM full_t2)"""
+
+
+def _near(k: int, q: str = "vq", extra: str = "") -> str:
+    return f"""near AS (
+  SELECT q.event_id{extra}, min({{'d': list_distance(q.v, t.v), 'o': t.event_id}}, {k}) AS n
+  FROM {q} q CROSS JOIN vt t GROUP BY q.event_id{extra})"""
+
+
+def _mean_d(k: int) -> str:
+    return f"list_avg(list_transform(n[1:{k}], lambda x: x.d))"
+
+
+def _figures(tp: str, k: str, n: str, pos: str) -> str:
+    return f"""round({tp} / {k}, 6) AS "precision", round({tp} / nullif({pos}, 0), 6) AS recall,
+round(({tp} / {k}) / nullif({pos} / {n}, 0), 6) AS lift, round(({k} - {tp}) / nullif({n} - {pos}, 0), 6) AS fpr"""
+
+
+def _draw(purpose: str) -> str:
+    return f"CAST(('0x' || left(md5('42:{purpose}:' || event_id), 8)) AS UBIGINT)"
+
+
+LIGHT = ALERTS.replace("user_id % 5", "user_id")
+
+INJECT = f"""{T1}, {T2},
+nn AS (SELECT CAST(greatest(1, round_even(0.03 * count(*), 0)) AS BIGINT) AS n FROM t2),
+ranked AS (SELECT t2.*, row_number() OVER (ORDER BY md5('42:assign:' || event_id)) AS rk FROM t2),
+marked AS (SELECT r.* EXCLUDE (rk), CASE WHEN rk <= n // 4 + least(n % 4, 1) THEN 'offhours'
+  WHEN rk <= 2 * (n // 4) + least(n % 4, 2) THEN 'rule_new' WHEN rk <= 3 * (n // 4) + least(n % 4, 3) THEN 'decoder_new'
+  WHEN rk <= n THEN 'level_out' ELSE '' END AS synth_usecase FROM ranked r CROSS JOIN nn),
+hosts AS (SELECT DISTINCT agent FROM t2),
+free_r AS (SELECT agent, v, row_number() OVER (PARTITION BY agent ORDER BY v) - 1 AS rn, count(*) OVER (PARTITION BY agent) AS free
+  FROM hosts CROSS JOIN (SELECT rule_id AS v FROM t1 UNION SELECT rule_id FROM t2)
+  WHERE (agent, v) NOT IN (SELECT (agent, rule_id) FROM t1)),
+free_d AS (SELECT agent, v, row_number() OVER (PARTITION BY agent ORDER BY v) - 1 AS rn, count(*) OVER (PARTITION BY agent) AS free
+  FROM hosts CROSS JOIN (SELECT decoder AS v FROM t1 UNION SELECT decoder FROM t2)
+  WHERE (agent, v) NOT IN (SELECT (agent, decoder) FROM t1)),
+nfree_r AS (SELECT agent, max(free) AS free FROM free_r GROUP BY agent),
+nfree_d AS (SELECT agent, max(free) AS free FROM free_d GROUP BY agent),
+means AS (SELECT agent, avg(rule_level) AS mu FROM t1 GROUP BY agent),
+changed AS (SELECT m.event_id,
+  CASE WHEN synth_usecase = 'offhours' THEN CAST(CAST("timestamp" AS DATE) AS TIMESTAMP)
+    + to_hours(CAST({_draw('hour')} % 7 AS BIGINT)) + to_minutes(CAST({_draw('minute')} % 60 AS BIGINT))
+    + to_seconds(CAST({_draw('second')} % 60 AS BIGINT)) + to_milliseconds(CAST({_draw('milli')} % 1000 AS BIGINT))
+    ELSE "timestamp" END AS "timestamp", m.agent,
+  CASE WHEN synth_usecase = 'rule_new' THEN coalesce(
+    (SELECT v FROM free_r f WHERE f.agent = m.agent AND f.rn = {_draw('rule_id')} % (SELECT free FROM nfree_r z WHERE z.agent = m.agent)),
+    '9' || CAST(1000000 + {_draw('rule_id:none')} % 8999999 AS VARCHAR)) ELSE rule_id END AS rule_id,
+  CASE WHEN synth_usecase = 'level_out' THEN CAST(least(15, greatest(0, ceil(coalesce(mu, 3.0) + 4
+    + {_draw('bump')} % 2))) AS INTEGER) ELSE rule_level END AS rule_level,
+  CASE WHEN synth_usecase = 'decoder_new' THEN coalesce(
+    (SELECT v FROM free_d f WHERE f.agent = m.agent AND f.rn = {_draw('decoder')} % (SELECT free FROM nfree_d z WHERE z.agent = m.agent)),
+    'dec_' || CAST(1000000 + {_draw('decoder:none')} % 8999999 AS VARCHAR)) ELSE decoder END AS decoder,
+  synth_usecase FROM marked m LEFT JOIN means ON m.agent = means.agent)"""
+
+_CELL = f"""cells AS (SELECT CAST(event_id AS VARCHAR) AS event_id, k, value,
+  '{{"top_features":[{{"feature":"rule_level","delta_score_if_replaced_by_train_median":' || CAST(k / 8.0 AS VARCHAR)
+  || '}},{{"feature":"hour_local","delta_score_if_replaced_by_train_median":"n/a"}},{{"feature":"second_in_hour"}},{{"feature":"z"}}]}}' AS good
+  FROM (SELECT *, {_K} AS k FROM events))"""
+
+
 def _more(w: str) -> dict[str, str]:
-    return {}
+    light = f"WITH {LIGHT}"
+    out: dict[str, str] = {}
+
+    # injection
+    out["seen_rules_per_host"] = f"{light}, {T1} SELECT DISTINCT agent, rule_id FROM t1"
+    out["host_level_mean"] = f"{light}, {T1} SELECT agent, round(avg(rule_level), 6) AS mu FROM t1 GROUP BY agent"
+    out["unseen_candidates"] = f"{light}, {INJECT} SELECT agent, v AS rule_id FROM free_r"
+    cols = 'event_id, "timestamp", agent, rule_id, rule_level, decoder'
+    tail = "CAST(synth_usecase <> '' AS INTEGER) AS is_synth_anom, CAST(synth_usecase <> '' AS INTEGER) AS y_true_synth, 1 AS y_mask_eval, synth_usecase"
+    out["inject_replace"] = f"""{light}, {INJECT} SELECT {cols}, 'T2_synth' AS split, {tail} FROM changed
+UNION ALL SELECT {cols}, 'T1', 0, NULL, 0, '' FROM t1"""
+    out["inject_append"] = f"""{light}, {INJECT}, al AS (SELECT event_id || '-synth' AS event_id, * EXCLUDE (event_id) FROM changed
+WHERE synth_usecase <> '' UNION ALL SELECT {cols}, '' AS synth_usecase FROM t2)
+SELECT {cols}, 'T2_synth' AS split, {tail} FROM al"""
+    out["inject_counts"] = f"{w}, {INJECT} SELECT synth_usecase, count(*) AS alerts FROM marked WHERE synth_usecase <> '' GROUP BY 1"
+
+    # metrics
+    n, pos = "(SELECT count(*) FROM labelled)", "(SELECT sum(y) FROM labelled)"
+    counts = f"tp, k - tp AS fp, {pos} - tp AS fn, {n} - {pos} - (k - tp) AS tn"
+    out["metrics_at_p"] = f"""{w}, {FORMULA}, {LABELLED}, b AS (
+SELECT p, CAST(greatest(1, ceil(p * (SELECT count(*) FROM labelled))) AS BIGINT) AS k
+FROM (SELECT CAST(unnest([0.005, 0.01, 0.02, 0.03]) AS DOUBLE) AS p)),
+t AS (SELECT p, k, (SELECT sum(y) FROM labelled WHERE rnk <= k) AS tp FROM b)
+SELECT p, k, {counts}, {_figures('tp', 'k', n, pos)} FROM t"""
+    out["metrics_at_k"] = f"""{w}, {FORMULA}, {LABELLED}, b AS (SELECT unnest([25, 50, 100]) AS k),
+t AS (SELECT k, (SELECT sum(y) FROM labelled WHERE rnk <= k) AS tp FROM b)
+SELECT k, {counts}, {_figures('tp', 'k', n, pos)} FROM t"""
+    per_day = f"""{w}, {FORMULA}, {LABELLED}, ranked AS (
+SELECT *, CAST("timestamp" AS DATE) AS day,
+       row_number() OVER (PARTITION BY CAST("timestamp" AS DATE) ORDER BY round(anomaly_score, 9) DESC, event_id) AS dr,
+       count(*) OVER (PARTITION BY CAST("timestamp" AS DATE)) AS nd FROM labelled),
+g AS (SELECT day, count(*) AS n, sum(y) AS positives,
+      count(*) FILTER (WHERE dr <= greatest(1, ceil(CAST(0.02 AS DOUBLE) * nd))) AS k,
+      coalesce(sum(y) FILTER (WHERE dr <= greatest(1, ceil(CAST(0.02 AS DOUBLE) * nd))), 0) AS tp FROM ranked GROUP BY day)"""
+    out["metrics_per_day"] = f"{per_day} SELECT day, k, tp, n, positives, {_figures('tp', 'k', 'n', 'positives')} FROM g"
+    stab = " UNION ALL ".join(
+        f"""SELECT '{c}' AS figure, round(quantile_cont({e}, 0.25), 6) AS q25, round(quantile_cont({e}, 0.5), 6) AS q50,
+round(quantile_cont({e}, 0.75), 6) AS q75 FROM g""" for c, e in (
+            ("precision", "tp / k"), ("recall", "tp / nullif(positives, 0)"),
+            ("lift", "(tp / k) / nullif(positives / n, 0)"), ("fpr", "(k - tp) / nullif(n - positives, 0)")))
+    out["day_stability"] = f"{per_day} {stab}"
+    out["metrics_by_family"] = f"""{w}, {FORMULA}, {LABELLED}
+SELECT split_part(rule_id, '-', 1) AS family, sum(y) AS positives, coalesce(sum(y) FILTER (WHERE rnk <= 100), 0) AS hits,
+round(coalesce(sum(y) FILTER (WHERE rnk <= 100), 0) / sum(y), 6) AS recall FROM labelled GROUP BY 1 HAVING sum(y) > 0"""
+    out["score_histogram"] = f"""{w}, {FORMULA}, l AS (SELECT min(round(anomaly_score, 9)) AS a, max(round(anomaly_score, 9)) AS b FROM scored)
+SELECT least(50, 1 + CAST(floor((round(anomaly_score, 9) - a) / (b - a) * 50) AS BIGINT)) AS bin, count(*) AS alerts
+FROM scored CROSS JOIN l GROUP BY 1"""
+    out["selection_rate"] = f"""{w}, {FORMULA} SELECT CAST("timestamp" AS DATE) AS day, count(*) AS alerts,
+count(*) FILTER (WHERE anomaly_score >= 0.5) AS selected,
+round(count(*) FILTER (WHERE anomaly_score >= 0.5) / count(*), 6) AS rate FROM scored GROUP BY 1"""
+    out["drift_by_day"] = f"""{w}, {FORMULA}, e AS (
+SELECT quantile_cont(round(anomaly_score, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q
+FROM scored WHERE CAST("timestamp" AS DATE) <= DATE '2024-01-20'),
+b AS (SELECT CAST("timestamp" AS DATE) AS day,
+  1 + len(list_filter(q, lambda x: round(anomaly_score, 9) > x)) AS bin FROM scored CROSS JOIN e
+  WHERE CAST("timestamp" AS DATE) > DATE '2024-01-20')
+SELECT day, bin, count(*) AS alerts, round(count(*) / sum(count(*)) OVER (PARTITION BY day), 6) AS share FROM b GROUP BY day, bin"""
+    out["run_metadata"] = f"""{w}, {FORMULA} SELECT 'formula' AS version, min("timestamp") AS window_start,
+max("timestamp") AS window_end, count(*) AS "rows", CAST(ceil(CAST(0.01 AS DOUBLE) * count(*)) AS BIGINT) AS selected,
+round(ceil(CAST(0.01 AS DOUBLE) * count(*)) / count(*), 6) AS selection_rate FROM scored"""
+
+    # neighbours
+    out["knn_score"] = f"{w}, {VECTORS}, {_near(35)} SELECT event_id, round({_mean_d(35)}, 6) AS anomaly_score FROM near"
+    knn_rank = f"""{w}, {VECTORS}, {_near(35)}, ks AS (SELECT event_id, round({_mean_d(35)}, 9) AS s FROM near),
+kr AS (SELECT *, row_number() OVER (ORDER BY s DESC, event_id) AS rnk FROM ks)"""
+    out["knn_topp"] = f"""{knn_rank} SELECT rnk AS "rank", event_id, round(s, 6) AS anomaly_score FROM kr
+WHERE rnk <= greatest(1, ceil(CAST(0.01 AS DOUBLE) * (SELECT count(*) FROM vq)))"""
+    scaled = ", ".join(
+        f"(list_extract(v, {i}) - (SELECT m{i} FROM sc)) / (SELECT CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END FROM sc)"
+        for i in range(1, 17))
+    facts = ", ".join(f"avg(v[{i}]) AS m{i}, stddev_pop(v[{i}]) AS s{i}" for i in range(1, 17))
+    out["knn_score_scaled"] = f"""{w}, {VECTORS.replace("vt AS (", "vt0 AS (").replace("vq AS (", "vq0 AS (")},
+sc AS (SELECT {facts} FROM vt0), vt AS (SELECT event_id, [{scaled}] AS v FROM vt0),
+vq AS (SELECT event_id, [{scaled}] AS v FROM vq0), {_near(10)}
+SELECT event_id, round({_mean_d(10)}, 6) AS anomaly_score FROM near"""
+    out["lof_score"] = f"""{w}, {VECTORS}, own AS (
+SELECT a.event_id, min({{'d': list_distance(a.v, b.v), 'o': b.event_id}}, 20) AS n
+FROM vt a CROSS JOIN vt b WHERE a.event_id <> b.event_id GROUP BY a.event_id),
+kd AS (SELECT event_id, n[20].d AS kdist, n FROM own),
+lt AS (SELECT l.event_id, 1 / (avg(greatest(l.x.d, k.kdist)) + 1e-10) AS lrd
+  FROM (SELECT event_id, unnest(n) AS x FROM own) l JOIN kd k ON k.event_id = l.x.o GROUP BY l.event_id),
+{_near(20)}, ql AS (SELECT event_id, unnest(n) AS x FROM near),
+qd AS (SELECT ql.event_id, 1 / (avg(greatest(ql.x.d, k.kdist)) + 1e-10) AS lrd, avg(lt.lrd) AS around
+  FROM ql JOIN kd k ON k.event_id = ql.x.o JOIN lt ON lt.event_id = ql.x.o GROUP BY ql.event_id)
+SELECT event_id, round(around / lrd, 6) AS anomaly_score FROM qd"""
+    out["sweep_best_k"] = f"""{w}, {VECTORS}, {_near(50, extra=', y')}, kk AS (
+SELECT event_id, y, k, round(list_avg(list_transform(n[1:k], lambda x: x.d)), 9) AS s
+FROM near CROSS JOIN (SELECT unnest([5, 10, 20, 35, 50]) AS k)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s DESC, event_id) AS rnk FROM kk),
+b AS (SELECT p, CAST(greatest(1, ceil(p * (SELECT count(*) FROM vq))) AS BIGINT) AS budget
+  FROM (SELECT CAST(unnest([0.005, 0.01, 0.02, 0.03]) AS DOUBLE) AS p)),
+t AS (SELECT p, k, budget, coalesce(sum(y) FILTER (WHERE rnk <= budget), 0) AS tp FROM r CROSS JOIN b GROUP BY p, k, budget),
+m AS (SELECT p, k, tp / budget AS pr, tp / (SELECT sum(y) FROM vq) AS rc,
+  (tp / budget) / ((SELECT sum(y) FROM vq) / (SELECT count(*) FROM vq)) AS li,
+  (budget - tp) / ((SELECT count(*) FROM vq) - (SELECT sum(y) FROM vq)) AS fp,
+  row_number() OVER (PARTITION BY p ORDER BY tp / budget DESC, k) AS best FROM t)
+SELECT p, k, round(pr, 6) AS "precision", round(rc, 6) AS recall, round(li, 6) AS lift, round(fp, 6) AS fpr FROM m WHERE best = 1"""
+
+    # explanations
+    names = "[" + ", ".join(f"'{f}'" for f in MODEL) + "]"
+    med = "[" + ", ".join(f"(SELECT median(v[{i}]) FROM vt)" for i in range(1, 17)) + "]"
+    out["occlusion_topn"] = f"""{knn_rank}, top5 AS (SELECT rnk, kr.event_id, v FROM kr JOIN vq ON vq.event_id = kr.event_id WHERE rnk <= 5),
+bl AS (SELECT {med} AS b), mods AS (
+SELECT rnk, event_id, j, list_transform(range(1, 17), lambda i: CASE WHEN i = j THEN b[i] ELSE v[i] END) AS v, v AS orig, b
+FROM top5 CROSS JOIN bl CROSS JOIN (SELECT unnest(range(0, 17)) AS j)),
+sc AS (SELECT rnk, m.event_id, j, min(list_distance(m.v, t.v), 35) AS ds, any_value(orig) AS orig, any_value(b) AS b
+  FROM mods m CROSS JOIN vt t GROUP BY rnk, m.event_id, j),
+sv AS (SELECT *, list_avg(ds) AS s FROM sc)
+SELECT x.rnk AS "rank", x.event_id, ({names})[x.j] AS feature, round(o.s, 6) AS score, round(x.orig[x.j], 6) AS "value",
+round(x.b[x.j], 6) AS baseline, round(o.s - x.s, 6) AS contribution, round(abs(o.s - x.s), 6) AS abs_contribution
+FROM sv x JOIN sv o ON o.event_id = x.event_id AND o.j = 0 WHERE x.j > 0"""
+    out["reason_codes_neighbor"] = f"""{knn_rank}, top10 AS (SELECT rnk, kr.event_id, v FROM kr JOIN vq ON vq.event_id = kr.event_id WHERE rnk <= 10),
+nb AS (SELECT t.rnk, t.event_id, t.v, unnest(n).o AS o FROM top10 t JOIN near ON near.event_id = t.event_id),
+j AS (SELECT unnest(range(1, 17)) AS j),
+iq AS (SELECT j, quantile_cont(v[j], 0.75) - quantile_cont(v[j], 0.25) AS iqr FROM vt CROSS JOIN j GROUP BY j),
+md AS (SELECT rnk, nb.event_id, j, any_value(nb.v[j]) AS x, median(vt.v[j]) AS m FROM nb JOIN vt ON vt.event_id = nb.o CROSS JOIN j GROUP BY rnk, nb.event_id, j)
+SELECT rnk AS "rank", event_id, ({names})[md.j] AS feature, round(x, 6) AS "value", round(m, 6) AS neighbor_median,
+round(abs(x - m) / nullif(iqr, 0), 6) AS scaled_contribution FROM md JOIN iq ON iq.j = md.j"""
+    out["context_flags"] = f"""{light}, {T1}, {T2} SELECT event_id, array_to_string(list_filter([
+CASE WHEN hour("timestamp") <= 6 AND rule_level >= 10 THEN 'off-hours × high severity' END,
+CASE WHEN (agent, rule_id) NOT IN (SELECT (agent, rule_id) FROM t1) THEN 'new rule on this host' END,
+CASE WHEN (agent, decoder) NOT IN (SELECT (agent, decoder) FROM t1) THEN 'new decoder on this host' END],
+lambda x: x IS NOT NULL), '; ') AS flags FROM t2"""
+    out["parse_explanations"] = f"""WITH {_CELL} SELECT event_id,
+CASE WHEN k % 5 IN (0, 1) THEN 4 END AS n_features, CASE WHEN k % 5 = 2 THEN 'not json ' || CAST(k AS VARCHAR) END AS raw_text FROM cells"""
+    out["reason_summary"] = f"""WITH {_CELL} SELECT event_id, CASE WHEN k % 5 IN (0, 1)
+THEN 'rule_level:' || CAST(CAST(k / 8.0 AS DOUBLE) AS VARCHAR) || ', second_in_hour:0' END AS summary FROM cells"""
+    out["label_to_score"] = f"""SELECT CAST(event_id AS VARCHAR) AS event_id, CASE k % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0
+WHEN 2 THEN 1.0 ELSE CAST(k AS DOUBLE) END AS score FROM (SELECT *, {_K} AS k FROM events)"""
+    out["records_json"] = f"""{w} SELECT event_id, '{{"event_id":"' || event_id || '","timestamp":"'
+|| strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || '","agent":"' || agent || '","rule_level":' || CAST(rule_level AS VARCHAR)
+|| ',"decoder":' || CASE WHEN rule_level = 1 THEN 'null' ELSE '"' || decoder || '"' END || '}}' AS record FROM alerts"""
+    return out

@@ -5,12 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import REPLY_COLUMNS
+from ..constants import DELTA_KEY, FEATURES, REPLY_COLUMNS
 from ..fixtures import T1_END, T2_END, T2_START, alerts, label_expr, raw_alerts, table
-from ..functions import hashing, times
-from ..operators import canonical, features, formula, quality, rank, split
+from ..functions import hashing, numbers, payloads, times
+from ..operators import (
+    canonical, explain, features, formula, inject, metrics, neighbors, quality, rank, split,
+)
 from ..operators.quantiles import rank_rows
-from ..session import prepare
+from ..session import prepare, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -319,3 +321,247 @@ def top_rule_groups(spark, d):
     grade = F.when(F.col("value") >= 100, "high").otherwise("low")
     names = F.to_json(F.array("event_type", F.lit("all"), grade)).alias("groups")
     return quality.top_groups(ev.select(names), "groups", 5)
+
+
+# --- injection ------------------------------------------------------------------
+
+BOUNDS = (T1_END, T2_START, T2_END)
+
+
+def light_window(spark, d, which):
+    return split.window_rows(alerts(spark, d, light_hosts=True), which, *BOUNDS)
+
+
+@query
+def seen_rules_per_host(spark, d):
+    return inject.seen_pairs(light_window(spark, d, "T1"), "rule_id")
+
+
+@query
+def host_level_mean(spark, d):
+    return inject.host_level_mean(light_window(spark, d, "T1")).select("agent", *r6("mu"))
+
+
+@query
+def unseen_candidates(spark, d):
+    t1, t2 = light_window(spark, d, "T1"), light_window(spark, d, "T2")
+    vocab = inject.vocabulary(t1.unionByName(t2), "rule_id")
+    seen = inject.seen_pairs(t1, "rule_id")
+    hosts = t2.select("agent").distinct()
+    return inject.unseen_values(hosts, seen.join(hosts, "agent", "left_semi"), vocab, "rule_id")
+
+
+@query
+def inject_replace(spark, d):
+    return inject.inject(alerts(spark, d, light_hosts=True), *BOUNDS, with_history=True)
+
+
+@query
+def inject_append(spark, d):
+    return inject.inject(alerts(spark, d, light_hosts=True), *BOUNDS, mode="append")
+
+
+@query
+def inject_counts(spark, d):
+    return inject.family_summary(inject.inject(alerts(spark, d), *BOUNDS))
+
+
+# --- metrics --------------------------------------------------------------------
+
+FIGURES = ["precision", "recall", "lift", "fpr"]
+COUNTS = ["tp", "fp", "fn", "tn"]
+PS = [0.005, 0.01, 0.02, 0.03]
+
+
+def labelled_scores(spark, d):
+    return scored(spark, d).withColumn("y", label_expr())
+
+
+@query
+def metrics_at_p(spark, d):
+    m = metrics.budget_metrics(labelled_scores(spark, d), "y", ps=PS)
+    return m.select("p", "k", *COUNTS, *r6(*FIGURES))
+
+
+@query
+def metrics_at_k(spark, d):
+    m = metrics.budget_metrics(labelled_scores(spark, d), "y", ks=[25, 50, 100])
+    return m.select("k", *COUNTS, *r6(*FIGURES))
+
+
+@query
+def metrics_per_day(spark, d):
+    m = metrics.metrics_per_day(labelled_scores(spark, d), "y", 0.02)
+    return m.select("day", "k", "tp", "n", "positives", *r6(*FIGURES))
+
+
+@query
+def day_stability(spark, d):
+    m = metrics.metrics_per_day(labelled_scores(spark, d), "y", 0.02)
+    return metrics.day_stability(m).select("figure", *r6("q25", "q50", "q75"))
+
+
+@query
+def metrics_by_family(spark, d):
+    df = labelled_scores(spark, d).withColumn("kind", F.element_at(F.split("rule_id", "-"), 1))
+    return metrics.metrics_by_family(df, "y", "kind", 100).select("family", "positives", "hits", *r6("recall"))
+
+
+@query
+def score_histogram(spark, d):
+    return metrics.score_histogram(scored(spark, d))
+
+
+@query
+def selection_rate(spark, d):
+    m = metrics.selection_rate(formula.score(alerts(spark, d)), 0.5)
+    return m.select("day", "alerts", "selected", *r6("rate"))
+
+
+@query
+def drift_by_day(spark, d):
+    s = scored(spark, d)
+    train = split.window_rows(s, "T1", *BOUNDS)
+    later = s.filter(F.col("timestamp") >= F.lit(T2_START).cast("timestamp_ntz"))
+    m = metrics.drift_by_day(later, metrics.bin_edges(train))
+    return m.select("day", "bin", "alerts", *r6("share"))
+
+
+@query
+def run_metadata(spark, d):
+    s = formula.score(alerts(spark, d))
+    m = metrics.run_metadata(s, rank.slice_size(alerts(spark, d).count(), 0.01), "formula", 0.0)
+    return m.drop("latency_s").withColumn("selection_rate", F.round("selection_rate", 6))
+
+
+# --- neighbours -------------------------------------------------------------------
+
+def model_windows(spark, d):
+    """Training and validation features from frozen statistics, written once."""
+    t1, t2 = window(spark, d, "T1"), window(spark, d, "T2")
+    stats = features.fit(t1)
+    return [settle(features.apply(t, stats, hash_kind="md5")) for t in (t1, t2)]
+
+
+def knn_scored(spark, d, k=35):
+    train, test = model_windows(spark, d)
+    s = neighbors.knn_score(test, train, FEATURES, k).withColumn("anomaly_score", F.round("anomaly_score", 9))
+    return train, settle(s)
+
+
+@query
+def knn_score(spark, d):
+    train, test = model_windows(spark, d)
+    return neighbors.knn_score(test, train, FEATURES, 35).select("event_id", *r6("anomaly_score"))
+
+
+@query
+def knn_score_scaled(spark, d):
+    train, test = model_windows(spark, d)
+    s = neighbors.knn_score(test, train, FEATURES, 10, scale=True)
+    return s.select("event_id", *r6("anomaly_score"))
+
+
+@query
+def knn_topp(spark, d):
+    _, s = knn_scored(spark, d)
+    return rank.top_p(s, 0.01).select("rank", "event_id", *r6("anomaly_score"))
+
+
+@query
+def lof_score(spark, d):
+    train, test = model_windows(spark, d)
+    return neighbors.lof_score(test, train, FEATURES, 20).select("event_id", *r6("anomaly_score"))
+
+
+@query
+def sweep_best_k(spark, d):
+    train, test = model_windows(spark, d)
+    near = neighbors.knn_join(test, neighbors.build_index(train, FEATURES), FEATURES, 50)
+    labels = test.select("event_id", label_expr().alias("y"))
+    near = settle(near.select("event_id", "dists").join(labels, "event_id"))
+    best = metrics.best_k(metrics.sweep(near, "y", [5, 10, 20, 35, 50], PS))
+    return best.select("p", "k", *r6(*FIGURES))
+
+
+# --- explanations -------------------------------------------------------------------
+
+@query
+def occlusion_topn(spark, d):
+    train, s = knn_scored(spark, d)
+    top = rank.top_k(s, 5)
+    scorer = explain.knn_scorer(neighbors.build_index(train, FEATURES), FEATURES, 35)
+    long = explain.occlusion(top, FEATURES, explain.feature_medians(train, FEATURES), scorer)
+    return long.select("rank", "event_id", "feature",
+                       *r6("score", "value", "baseline", "contribution", "abs_contribution"))
+
+
+@query
+def reason_codes_neighbor(spark, d):
+    train, s = knn_scored(spark, d)
+    index = neighbors.build_index(train, FEATURES)
+    codes = explain.reason_codes(rank.top_k(s, 10), index, FEATURES, 35, explain.feature_iqr(train, FEATURES))
+    return codes.select("rank", "event_id", "feature", *r6("value", "neighbor_median", "scaled_contribution"))
+
+
+@query
+def reason_payload(spark, d):
+    train, s = knn_scored(spark, d)
+    top = settle(rank.top_k(s, 10))
+    index = neighbors.build_index(train, FEATURES)
+    scorer = explain.knn_scorer(index, FEATURES, 35)
+    long = explain.occlusion(top, FEATURES, explain.feature_medians(train, FEATURES), scorer)
+    flags = explain.context_flags(top, window(spark, d, "T1"))
+    return explain.reason_payload(long, flags, explain.neighbor_medians(top, index, FEATURES, 35))
+
+
+@query
+def context_flags(spark, d):
+    f = explain.context_flags(light_window(spark, d, "T2"), light_window(spark, d, "T1"))
+    return f.select("event_id", F.array_join("flags", "; ").alias("flags"))
+
+
+def explanation_cells(spark, d):
+    """Valid JSON, JSON with escaped quotes, plain text, blank and missing cells."""
+    ev = table(spark, d, "events")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    key = DELTA_KEY
+    good = F.concat(
+        F.lit('{"top_features":[{"feature":"rule_level","' + key + '":'), (k / 8.0).cast("string"),
+        F.lit('},{"feature":"hour_local","' + key + '":"n/a"},{"feature":"second_in_hour"},{"feature":"z"}]}'))
+    cell = (
+        F.when(k % 5 == 0, good).when(k % 5 == 1, F.replace(good, F.lit('"'), F.lit("\\'")))
+        .when(k % 5 == 2, F.concat(F.lit("not json "), k.cast("string"))).when(k % 5 == 3, F.lit("  "))
+    )
+    return ev.select(F.col("event_id").cast("string").alias("event_id"), cell.alias("explanations"))
+
+
+@query
+def parse_explanations(spark, d):
+    v = payloads.parse_explanation(F.col("explanations"))
+    cells = explanation_cells(spark, d).withColumn("v", v)
+    n = F.size(F.try_variant_get("v", "$.top_features", "array<variant>"))
+    return cells.select("event_id", F.when(n >= 0, n).alias("n_features"),
+                        F.try_variant_get("v", "$.raw", "string").alias("raw_text"))
+
+
+@query
+def reason_summary(spark, d):
+    v = payloads.parse_explanation(F.col("explanations"))
+    return explanation_cells(spark, d).select("event_id", payloads.summarise_explanation(v).alias("summary"))
+
+
+@query
+def label_to_score(spark, d):
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    text = F.when(k % 4 == 0, "Anomalous").when(k % 4 == 1, "normal").when(k % 4 == 2, "BAD host").otherwise(
+        k.cast("string"))
+    return table(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("event_id"), numbers.label_to_score(text).alias("score"))
+
+
+@query
+def records_json(spark, d):
+    a = alerts(spark, d).withColumn("decoder", F.when(F.col("rule_level") != 1, F.col("decoder")))
+    rec = payloads.json_record(a.select("event_id", "timestamp", "agent", "rule_level", "decoder"))
+    return a.select("event_id", rec.alias("record"))

@@ -39,9 +39,12 @@ def alerts(spark: SparkSession, sf_dir: str, light_hosts: bool = False) -> DataF
 
 
 def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_alerts_from(table(spark, sf_dir, "events"))
+
+
+def raw_alerts_from(ev: DataFrame) -> DataFrame:
     """The same alerts as a sparse all-text export."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    ev = table(spark, sf_dir, "events")
     text_time = F.date_format("ts", EXPORT_FORMAT)
     return ev.select(
         F.concat(F.lit("evt-"), F.lpad(F.col("event_id").cast("string"), 10, "0")).alias("_id"),

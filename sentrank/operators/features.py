@@ -39,7 +39,8 @@ def recency(
     * the first row of a bucket takes the end of the key's previous bucket,
     * the gap goes back to exactly that row by id, which spreads evenly.
 
-    ``last_seen`` (keys, ``last_ts``) continues from an earlier window.
+    ``last_seen`` (keys, ``last_ts``) continues from an earlier window; a row older
+    than that gets 0.
     """
     ks = list(keys)
     t = F.col("timestamp")
@@ -54,10 +55,11 @@ def recency(
         *ks, "timestamp", "event_id", F.coalesce("_prev", "_carry").alias("_prev"))
     if last_seen is not None:
         gaps = gaps.join(_twin(last_seen, ks, "_k_"), _keyed(ks, "_k_"), "left").select(
-            *ks, "timestamp", "event_id", F.coalesce("_prev", "last_ts").alias("_prev"))
+            *ks, "timestamp", "event_id", F.greatest("_prev", "last_ts").alias("_prev"))
     gaps = gaps.select(
         F.col("event_id").alias("_id"), F.col("timestamp").alias("_t"),
-        F.struct(times.seconds_between(F.col("timestamp"), F.col("_prev")).alias("s")).alias("_gap"))
+        F.struct(F.when(F.col("_prev").isNotNull(), F.greatest(
+            times.seconds_between(F.col("timestamp"), F.col("_prev")), F.lit(0.0))).alias("s")).alias("_gap"))
     joined = df.join(gaps, F.col("event_id").eqNullSafe(F.col("_id")) & (t == F.col("_t")), "left")
     value = F.when(F.col("_gap").isNotNull(), F.col("_gap.s")).when(t.isNotNull(), F.lit(0.0))
     return joined.withColumn(out, value).drop("_id", "_t", "_gap")

@@ -83,3 +83,10 @@ def top_p_per_day(df: DataFrame, p: float = 0.01, by: str = "anomaly_score", tim
 
 def above_threshold(df: DataFrame, threshold: float, by: str = "anomaly_score") -> DataFrame:
     return df.filter(F.col(by) >= threshold)
+
+
+def top_k_per_day(df: DataFrame, k: int, by: str = "anomaly_score", time: str = "timestamp") -> DataFrame:
+    """Each day's ``k`` best rows; the fixed limit is applied before the shuffle (window group limit)."""
+    dated = df.withColumn("day", F.to_date(time))
+    spec = Window.partitionBy("day").orderBy(*review_order(by))
+    return dated.withColumn("rank", F.row_number().over(spec)).filter(F.col("rank") <= k)

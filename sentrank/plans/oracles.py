@@ -436,4 +436,27 @@ WHEN 2 THEN 1.0 ELSE CAST(k AS DOUBLE) END AS score FROM (SELECT *, {_K} AS k FR
     out["records_json"] = f"""{w} SELECT event_id, '{{"event_id":"' || event_id || '","timestamp":"'
 || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || '","agent":"' || agent || '","rule_level":' || CAST(rule_level AS VARCHAR)
 || ',"decoder":' || CASE WHEN rule_level = 1 THEN 'null' ELSE '"' || decoder || '"' END || '}}' AS record FROM alerts"""
+
+    # streams: the drained stream equals the batch result
+    out["stream_canonical"] = f"""WITH {RAW} SELECT "_id" AS event_id,
+strptime("_source.timestamp", '%b %d, %Y @ %H:%M:%S.%g') AS "timestamp", "_source.agent.name" AS agent,
+"_source.rule.id" AS rule_id, CAST("_source.rule.level" AS INTEGER) AS rule_level, "_source.decoder.name" AS decoder FROM raw"""
+    out["stream_dedup"] = f"{w} SELECT {cols} FROM alerts"
+    out["stream_recency"] = f"""{w} SELECT event_id, round((epoch_us("timestamp") - lag(epoch_us("timestamp"))
+OVER (PARTITION BY agent ORDER BY "timestamp", event_id)) / 1e6, 6) AS recency_s FROM alerts"""
+    out["stream_monitor"] = f"""{w} SELECT date_trunc('hour', "timestamp") AS hour, agent, count(*) AS alerts,
+count(*) FILTER (WHERE rule_level >= 8) AS selected, round(avg(rule_level / 15), 6) AS mean_score FROM alerts GROUP BY ALL"""
+    out["stream_enrich_topk"] = f"""{w}, {T1}, {T2},
+ls AS (SELECT avg(rule_level) AS m, stddev_pop(rule_level) AS s FROM t1),
+pr AS (SELECT agent, rule_id, count(*) AS n FROM t1 GROUP BY ALL),
+both_ AS (SELECT 1 AS w, * FROM t1 UNION ALL SELECT 2, * FROM t2),
+raw_s AS (SELECT b.*, 0.5 * (rule_level - m) / s + CASE WHEN hour("timestamp") <= 6 THEN 1.0 ELSE 0.0 END
+  + 2.0 / (1.0 + coalesce(n, 0)) AS s FROM both_ b CROSS JOIN ls LEFT JOIN pr ON pr.agent = b.agent AND pr.rule_id = b.rule_id),
+li AS (SELECT min(s) AS lo, max(s) AS hi FROM raw_s WHERE w = 1),
+sc AS (SELECT CAST("timestamp" AS DATE) AS day, event_id, round(CAST((s - lo) / (hi - lo + 1e-9) AS DOUBLE), 9) AS x
+  FROM raw_s CROSS JOIN li WHERE w = 2),
+rk AS (SELECT day, row_number() OVER (PARTITION BY day ORDER BY x DESC, event_id) AS "rank", event_id, round(x, 6) AS anomaly_score FROM sc)
+SELECT * FROM rk WHERE "rank" <= 10"""
+    out["stream_features"] = f"""{w}, {T1}, {T2}, {_features('t2')}
+SELECT event_id, agent, rule_id, rule_level, {', '.join(INT_FEATURES)}, {_rounded(REAL_FEATURES)} FROM full_t2"""
     return out

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DELTA_KEY, FEATURES, REPLY_COLUMNS
-from ..fixtures import T1_END, T2_END, T2_START, alerts, label_expr, raw_alerts, table
+from ..fixtures import (
+    T1_END, T2_END, T2_START, alerts, alerts_from_events, label_expr, raw_alerts, raw_alerts_from, table,
+)
 from ..functions import hashing, numbers, payloads, times
 from ..operators import (
-    canonical, explain, features, formula, inject, metrics, neighbors, quality, rank, split,
+    canonical, explain, features, forest, formula, inject, metrics, neighbors, quality, rank, split,
 )
 from ..operators.quantiles import rank_rows
-from ..session import prepare, settle
+from ..schema import ALERTS, EVENTS
+from ..session import prepare, scratch_path, settle
+from ..streaming import alerts as feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -565,3 +569,97 @@ def records_json(spark, d):
     a = alerts(spark, d).withColumn("decoder", F.when(F.col("rule_level") != 1, F.col("decoder")))
     rec = payloads.json_record(a.select("event_id", "timestamp", "agent", "rule_level", "decoder"))
     return a.select("event_id", rec.alias("record"))
+
+
+# --- forest ---------------------------------------------------------------------
+
+@query
+def iforest_score(spark, d):
+    train, test = model_windows(spark, d)
+    model = forest.fit(train, FEATURES, trees=100, max_samples=256)
+    return forest.score(test, model).select("event_id", *r6("anomaly_score"))
+
+
+# --- streams ----------------------------------------------------------------------
+
+def event_stream(spark, d):
+    return feed.read_feed(spark, d, EVENTS, glob="events.parquet")
+
+
+@query
+def stream_canonical(spark, d):
+    """Raw-shaped feed to canonical rows."""
+    base = scratch_path(spark, "stream-canonical")
+    raw = raw_alerts_from(event_stream(spark, d))
+    out = feed.canonical_stream(raw).drop("event_time")
+    return feed.run_to_parquet(out, f"{base}/checkpoint", f"{base}/rows")
+
+
+@query
+def stream_dedup(spark, d):
+    """Every tenth alert arrives three times and is kept once."""
+    base = scratch_path(spark, "stream-dedup")
+    rows = feed.with_event_time(alerts_from_events(event_stream(spark, d)))
+    copies = F.when(F.col("event_id").cast("long") % 10 == 0, 3).otherwise(1)
+    many = rows.withColumn("_c", F.explode(F.sequence(F.lit(1), copies))).drop("_c")
+    once = feed.dedup_stream(many).drop("event_time")
+    return feed.run_to_parquet(once, f"{base}/checkpoint", f"{base}/rows")
+
+
+@query
+def stream_recency(spark, d):
+    """The feed arrives in three runs; recency continues over the restarts."""
+    base = scratch_path(spark, "stream-recency")
+    whole = alerts(spark, d)
+    day = F.to_date("timestamp")
+    first, second = F.lit(T1_END).cast("date"), F.lit(T2_END).cast("date")
+    parts = [whole.filter(day <= first), whole.filter((day > first) & (day <= second)), whole.filter(day > second)]
+    step = feed.recency_step(feed.VersionedState(f"{base}/state"), feed.batch_folder_sink(f"{base}/rows"))
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/feed")
+        stream = feed.read_feed(spark, f"{base}/feed", ALERTS)
+        feed.run_available(stream, f"{base}/checkpoint", step)
+    return spark.read.parquet(f"{base}/rows").select("event_id", *r6("recency_s"))
+
+
+@query
+def stream_monitor(spark, d):
+    base = scratch_path(spark, "stream-monitor")
+    rows = feed.with_event_time(alerts_from_events(event_stream(spark, d)))
+    level = rows.withColumn("anomaly_score", F.col("rule_level") / 15)
+    agg = feed.monitor_stream(level, selected=F.col("rule_level") >= 8).select(
+        F.col("window.start").cast("timestamp_ntz").alias("hour"), "agent", "alerts", "selected", "mean_score")
+    feed.run_available(agg, f"{base}/checkpoint", feed.batch_folder_sink(f"{base}/rows"), mode="update")
+    done = feed.latest_per_key(spark, f"{base}/rows", ["hour", "agent"])
+    return done.select("hour", "agent", "alerts", "selected", *r6("mean_score"))
+
+
+@query
+def stream_enrich_topk(spark, d):
+    """Validation window as a feed, scored by the formula frozen on T1, ten best per day."""
+    base = scratch_path(spark, "stream-queue")
+    model = formula.fit(window(spark, d, "T1"))
+    rows = split.window_rows(alerts_from_events(event_stream(spark, d)), "T2", *BOUNDS)
+    queue = feed.VersionedState(f"{base}/queue")
+    last = []
+
+    def score(batch):
+        return formula.score(batch, model).withColumn("anomaly_score", F.round("anomaly_score", 9))
+
+    body = feed.daily_queue_step(queue, score, 10)
+    feed.run_available(rows, f"{base}/checkpoint", lambda b, i: (body(b, i), last.append(i)))
+    return spark.read.parquet(queue.at(last[-1])).select(
+        "day", F.col("rank").cast("long").alias("rank"), "event_id", *r6("anomaly_score"))
+
+
+@query
+def stream_features(spark, d):
+    """Frozen features over a feed equal the batch features of the same window."""
+    base = scratch_path(spark, "stream-features")
+    stats = features.fit(window(spark, d, "T1"))
+    rows = split.window_rows(alerts_from_events(event_stream(spark, d)), "T2", *BOUNDS)
+    step = feed.feature_step(stats, lambda df: df, feed.VersionedState(f"{base}/state"),
+                             feed.enrichment_sink(f"{base}/rows"), hash_kind="md5")
+    feed.run_available(rows, f"{base}/checkpoint", step)
+    out = spark.read.parquet(f"{base}/rows")
+    return out.select("event_id", "agent", "rule_id", "rule_level", *INT_COLS, *r6(*REAL_COLS))

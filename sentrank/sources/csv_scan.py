@@ -2,8 +2,10 @@
 
 Files are grouped by header on the driver (names only), each group is one Spark
 read with its own schema, and the groups are united by name. Long lines are
-dropped and short lines null-padded: every read has one spare column, and a row
-that fills it had too many fields.
+dropped and short lines null-padded: every read has one spare column. A row that
+fills it, or that is exactly as long as the schema with it (so the reader does not
+call it malformed), had too many fields. The one long line that stays has two or
+more extra fields of which the first is empty.
 """
 
 from concurrent.futures import ThreadPoolExecutor
@@ -15,8 +17,7 @@ from pyspark.sql import types as T
 
 from ..constants import NA_TOKENS
 
-_SPARE = "_extra"
-_NO_NULL = "\u0001"
+_SPARE, _MALFORMED = "_extra", "_malformed"
 
 
 def find_files(spark: SparkSession, folder: str, pattern: str = "*.csv*") -> list[str]:
@@ -36,7 +37,7 @@ def _reader(spark: SparkSession, multi_line: bool = False):
         spark.read.option("header", "true").option("inferSchema", "false")
         .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
         .option("multiLine", str(multi_line).lower()).option("encoding", "UTF-8")
-        .option("nullValue", _NO_NULL).option("emptyValue", "")
+        .option("columnNameOfCorruptRecord", _MALFORMED).option("columnPruning", "false")
     )
 
 
@@ -52,15 +53,17 @@ def files_with_line_breaks(spark: SparkSession, files: list[str]) -> set[str]:
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     odd = (
         spark.read.text(files).filter(quotes % 2 == 1)
-        .select(F.input_file_name().alias("f")).distinct()
+        .select(F.col("_metadata.file_name").alias("f")).distinct()
     )
-    return {r["f"] for r in odd.collect()}
+    names = {r["f"] for r in odd.collect()}
+    return {f for f in files if f.rsplit("/", 1)[-1] in names}
 
 
 def scan_group(spark: SparkSession, files: list[str], names: tuple[str, ...], multi_line: bool) -> DataFrame:
     """All-text scan of files that share one header."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _SPARE)])
-    rows = _reader(spark, multi_line).schema(schema).csv(files).filter(F.col(_SPARE).isNull())
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _SPARE, _MALFORMED)])
+    rows = _reader(spark, multi_line).schema(schema).csv(files).filter(
+        F.col(_SPARE).isNull() & F.col(_MALFORMED).isNotNull())
     cells = [
         F.when(~F.col(f"`{n}`").isin(NA_TOKENS), F.col(f"`{n}`")).alias(n) for n in names
     ]

@@ -150,7 +150,7 @@ def fit(train: DataFrame, features: list[str], trees: int = 600, max_samples: fl
     if min(sample, vectors.count()) > task_vectors:
         rows, done = _split_large(settle(rows), names, seed, n_features, max_depth, task_vectors)
 
-    def grow(key, f: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         nodes = _finish(f[names].to_numpy(dtype=float), f["n"].to_numpy(), int(key[0]), int(key[1]),
                         seed, n_features, max_depth)
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "path"])
@@ -259,7 +259,7 @@ def _score_in_groups(df: DataFrame, forest: Forest, names: list[str], groups: in
 
     def walk(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(m):
-            return pd.DataFrame({"_id": [], "s": []})
+            return pd.DataFrame(columns=["_id", "s"], dtype=object)
         return pd.DataFrame({"_id": q["_id"], "s": _path_sum(q[names].to_numpy(dtype=float), _linked(m))})
 
     sums = queries.groupBy("part", "salt").cogroup(nodes.groupBy("part", "salt")).applyInPandas(

@@ -242,7 +242,7 @@ def knn_join(queries: DataFrame, index: Index, features: list[str], k: int, id_c
 
     def bound(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q):
-            return pd.DataFrame({"qid": [], "ub2": [], **{c: [] for c in names}})
+            return pd.DataFrame(columns=["qid", "ub2", *names], dtype=object)
         x = q[names].to_numpy(dtype=float)
         ub2 = (_bounds(x, t[names].to_numpy(dtype=float), t["w"].to_numpy(), k)
                if len(t) else np.full(len(q), np.inf))
@@ -271,13 +271,13 @@ def knn_join(queries: DataFrame, index: Index, features: list[str], k: int, id_c
     there = there.withColumn("block", F.explode(F.sequence(F.lit(0), _pick(index.blocks, F.col("cell")) - 1)))
 
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = {"qid": [], "d": [], "n": []}
+        out: dict[str, list] = {"qid": [], "d": [], "n": []}
         if len(q) and len(t):
             qids = q["qid"].to_numpy()
             for i, d, n in _nearest(q[names].to_numpy(dtype=float), t[names].to_numpy(dtype=float),
                                     t["w"].to_numpy(), t["id"].to_numpy(), q["ub2"].to_numpy(dtype=float), k):
                 out["qid"].append(qids[i]), out["d"].append(d), out["n"].append(n)
-        return pd.DataFrame(out)
+        return pd.DataFrame(out) if out["qid"] else pd.DataFrame(columns=list(out), dtype=object)
 
     partial = _meet(there, index, chunks2, search, "qid string, d array<double>, n array<string>")
     pairs = F.arrays_zip(F.col("d"), F.col("n"))

@@ -37,9 +37,9 @@ def format_iso_seconds(c: Column) -> Column:
 
 def micros(c: Column) -> Column:
     """Microseconds since 1970 of a wall clock, independent of the session zone."""
-    day = F.unix_date(c.cast("date")).cast("long") * 86_400_000_000
-    clock = (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000
-    return day + clock + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    seconds = F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    fraction = F.pmod(F.unix_micros(c.cast("timestamp")), F.lit(1_000_000))
+    return seconds * 1_000_000 + fraction
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:

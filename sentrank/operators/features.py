@@ -7,6 +7,7 @@ from .. import schema
 from ..constants import CANONICAL, FEATURES
 from ..functions import hashing, times
 from ..functions.numbers import log1p_clipped, ratio_or_zero
+from ..session import settle
 from .quantiles import exact_quantiles
 
 HOST, HOST_RULE = ("agent",), ("agent", "rule_id")
@@ -84,7 +85,7 @@ def combo_freq(df: DataFrame, hour_bucket_h: int = 2) -> DataFrame:
 
 def recency_median(df: DataFrame, keys: tuple[str, ...] = HOST) -> float:
     """Exact median of all gaps, 0 if there is none."""
-    gaps = recency(df, keys).select("recency_s")
+    gaps = settle(recency(df, keys).select("recency_s"))
     return exact_quantiles(gaps, ["recency_s"], [0.5])["recency_s"][0] or 0.0
 
 
@@ -108,11 +109,12 @@ def add_host_z(df: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def add_combo_features(df: DataFrame, freq: DataFrame, hash_kind: str = "blake2b") -> DataFrame:
+def add_combo_features(df: DataFrame, freq: DataFrame, hash_kind: str = "blake2b",
+                       source: DataFrame | None = None) -> DataFrame:
     """Hash and frozen frequency of (agent, rule, hour bucket); needs ``hour_bucket``.
 
     The Python hash runs once per distinct combination; both values come back in
-    one join.
+    one join. ``source`` may name a cheaper frame with the same combinations.
     """
     keys = ["agent", "rule_id", "hour_bucket"]
     key = hashing.combo_key(*[F.col(k) for k in keys])
@@ -120,7 +122,7 @@ def add_combo_features(df: DataFrame, freq: DataFrame, hash_kind: str = "blake2b
     if hash_kind == "md5":
         lookup = freq
     else:
-        known = df.select(*keys).distinct()
+        known = (df if source is None else source).select(*keys).distinct()
         found = known.join(freq, _keyed(keys, "_c_"), "left").withColumn("_h", hashing.hash01(key))
         lookup = found.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "cnt", "_h")
     joined = df.join(lookup, _keyed(keys, "_c_"), "left").drop(*[f"_c_{k}" for k in keys])
@@ -153,19 +155,20 @@ def apply(
     without it the first alert of a key takes the frozen median.
     """
     median = stats["globals"].first()["recency_median"]
-    base = df.withColumns(times.calendar_features(F.col("timestamp"), minute_bucket_s, hour_bucket_h))
-    base = add_host_z(base, stats["host_stats"])
+    rows = df.withColumns(times.calendar_features(F.col("timestamp"), minute_bucket_s, hour_bucket_h))
+    base = add_host_z(rows, stats["host_stats"])
     seen = last_seen(history, keys) if history is not None else None
     base = recency(base, keys, last_seen=seen)
-    return finish(base, median, stats["combo_freq"], hash_kind)
+    return finish(base, median, stats["combo_freq"], hash_kind, rows)
 
 
-def finish(base: DataFrame, median: float, freq: DataFrame, hash_kind: str) -> DataFrame:
+def finish(base: DataFrame, median: float, freq: DataFrame, hash_kind: str,
+           source: DataFrame | None = None) -> DataFrame:
     """Recency scaling, combo features and crosses on rows that have ``recency_s``."""
     gap = F.greatest(F.coalesce("recency_s", F.lit(float(median))), F.lit(0.0))
     base = base.withColumn("rule_time_since_last_host", gap).withColumn(
         "rule_time_since_last_host_log1p", log1p_clipped(gap)).drop("recency_s")
-    full = add_crosses(add_combo_features(base, freq, hash_kind))
+    full = add_crosses(add_combo_features(base, freq, hash_kind, source))
     front = [c for c in df_front(full) if c in full.columns]
     return full.select(*front, *[f for f in FEATURES if f not in front], "rule_time_since_last_host")
 

@@ -15,6 +15,7 @@ on the query side, so one task group is at most one block by one query chunk. Th
 tree and the sample only steer efficiency: the result is exact for any of them.
 """
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -270,19 +271,24 @@ def knn_join(queries: DataFrame, index: Index, features: list[str], k: int, id_c
     chunks2 = _chunks(there.groupBy("cell").agg(F.count("*").alias("n")), index, query_block_rows)
     there = there.withColumn("block", F.explode(F.sequence(F.lit(0), _pick(index.blocks, F.col("cell")) - 1)))
 
+    # a far query may visit very many blocks: merge their results in two steps
+    visited = int(index.blocks.sum())
+    salts = math.isqrt(visited) if visited > 64 else 1
+
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"qid": [], "d": [], "n": []}
+        out: dict[str, list] = {"qid": [], "salt": [], "d": [], "n": []}
         if len(q) and len(t):
-            qids = q["qid"].to_numpy()
+            qids, salt = q["qid"].to_numpy(), (int(t["cell"].iloc[0]) * 31 + int(t["block"].iloc[0])) % salts
             for i, d, n in _nearest(q[names].to_numpy(dtype=float), t[names].to_numpy(dtype=float),
                                     t["w"].to_numpy(), t["id"].to_numpy(), q["ub2"].to_numpy(dtype=float), k):
-                out["qid"].append(qids[i]), out["d"].append(d), out["n"].append(n)
+                out["qid"].append(qids[i]), out["salt"].append(salt), out["d"].append(d), out["n"].append(n)
         return pd.DataFrame(out) if out["qid"] else pd.DataFrame(columns=list(out), dtype=object)
 
-    partial = _meet(there, index, chunks2, search, "qid string, d array<double>, n array<string>")
-    pairs = F.arrays_zip(F.col("d"), F.col("n"))
-    merged = partial.groupBy("qid").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("best"))
+    partial = _meet(there, index, chunks2, search, "qid string, salt int, d array<double>, n array<string>")
+    partial = partial.select("qid", "salt", F.arrays_zip(F.col("d"), F.col("n")).alias("best"))
+    if salts > 1:
+        partial = _best_k(partial, ["qid", "salt"], k)
+    merged = _best_k(partial, ["qid"], k)
     found = merged.select("qid", F.col("best.d").alias("dists"), F.col("best.n").alias("neighbors"))
 
     # copies: every query row takes the result of its vector
@@ -294,6 +300,12 @@ def knn_join(queries: DataFrame, index: Index, features: list[str], k: int, id_c
     return spread.join(found, "qid").select(F.col("_id").alias(id_col), "dists", "neighbors")
 
 
+def _best_k(partial: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k nearest of the lists that meet in a group; a list has at most k entries."""
+    return partial.groupBy(*keys).agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+
 def _box_distances(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distance from points to the nearest and the farthest point of every box."""
     near = np.zeros((len(x), len(low)))

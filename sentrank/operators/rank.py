@@ -73,12 +73,19 @@ def top_p_per_day(df: DataFrame, p: float = 0.01, by: str = "anomaly_score", tim
                   small_rows: int = SMALL_ROWS) -> DataFrame:
     """Each day's ``max(1, ceil(p·rows of the day))`` best rows, ranked within the day."""
     dated = df.withColumn("day", F.to_date(time))
-    share = max(1e-4, min(1.0, p))
+    share, accuracy = max(1e-4, min(1.0, p)), 100_000
+    q = 1.0 - share - 2.0 / accuracy
+    scored = F.count(by)
+    safe = (scored == F.count("*")) & (scored > accuracy) if q > 0 else F.lit(False)
     budget = dated.groupBy("day").agg(
-        F.greatest(F.lit(1), F.ceil(F.lit(share) * F.count("*"))).cast("long").alias("budget"))
-    ranked = rank_rows(dated, review_order(by), group=["day"], small_rows=small_rows)
-    b = budget.withColumnRenamed("day", "_day")
-    return ranked.join(b, ranked["day"].eqNullSafe(b["_day"])).filter("rank <= budget").drop("_day", "budget")
+        F.greatest(F.lit(1), F.ceil(F.lit(share) * F.count("*"))).cast("long").alias("budget"),
+        F.when(safe, F.percentile_approx(by, max(q, 0.0), accuracy)).alias("cut"),
+    ).withColumnRenamed("day", "_day")
+    # big days: rows below a safe lower cut cannot be in the slice and are not sorted
+    near = dated.join(budget, F.col("day").eqNullSafe(F.col("_day"))).filter(
+        F.col("cut").isNull() | (F.col(by) >= F.col("cut")))
+    ranked = rank_rows(near, review_order(by), group=["day"], small_rows=small_rows)
+    return ranked.filter("rank <= budget").drop("_day", "budget", "cut")
 
 
 def above_threshold(df: DataFrame, threshold: float, by: str = "anomaly_score") -> DataFrame:

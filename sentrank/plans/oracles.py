@@ -180,11 +180,12 @@ UNION ALL SELECT event_id, agent, NULL, rule_id FROM alerts WHERE rule_level < 5
 
     # quality and description
     def profile(c: str) -> str:
-        cls = ", ".join(
-            f"min(left(\"{c}\", 120)) FILTER (WHERE ascii(right(left(\"{c}\", 120), 1)) % 5 = {i})" for i in range(5))
+        q = f'"{c}"'
+        odd, even = f"FILTER (WHERE strlen({q}) % 2 = 1)", f"FILTER (WHERE strlen({q}) % 2 = 0)"
+        cls = f"min({q}), max({q}), min({q}) {odd}, max({q}) {odd}, min({q}) {even}"
         return f"""SELECT '{c}' AS "column", count("{c}") AS non_null, count(*) AS total,
 round(count("{c}") / count(*), 6) AS coverage, count(*) FILTER (WHERE TRY_CAST("{c}" AS DOUBLE) = 0) AS zeros,
-array_to_string(list_sort(list_filter([{cls}], lambda x: x IS NOT NULL)), '; ') AS examples FROM raw"""
+array_to_string(list_sort(list_distinct(list_filter([{cls}], lambda x: x IS NOT NULL))), '; ') AS examples FROM raw"""
     out["coverage_report"] = f"WITH {RAW} " + " UNION ALL ".join(profile(c) for c in RAW_COLUMNS)
     out["select_high_coverage"] = f"""WITH {RAW} SELECT "_id", "_source.timestamp", "_source.agent.name",
 "_source.rule.id", "_source.rule.level", "_source.decoder.name" FROM raw"""

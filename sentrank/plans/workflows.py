@@ -35,8 +35,11 @@ def profile(spark: SparkSession, folder: str, out: str, pattern: str = "*.csv*",
             top_n: int = 0, sample: int = 0, dedupe: bool = False, seed: int = 42,
             denominator: str = "all") -> dict[str, DataFrame]:
     """Coverage report, table of well-covered columns, and an optional uniform sample of it."""
-    groups = [canonical.normalise_time(g)
-              for g in csv_scan.scan_groups(spark, csv_scan.find_files(spark, folder, pattern))]
+    groups = []
+    for i, g in enumerate(csv_scan.scan_groups(spark, csv_scan.find_files(spark, folder, pattern))):
+        # text is parsed once; both passes then read only the columns they need
+        sink.write_table(canonical.normalise_time(g), f"{out}_columns/{i}")
+        groups.append(spark.read.parquet(f"{out}_columns/{i}"))
     report = settle(quality.coverage_report(groups, denominator))
     sink.write_table(report.orderBy(F.desc("coverage"), "column"), f"{out}_report", csv=True)
     keep = quality.select_columns(report, min_pct, top_n)

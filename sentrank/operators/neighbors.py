@@ -113,14 +113,15 @@ def _pick(n: np.ndarray, cell: Column) -> Column:
 def build_index(train: DataFrame, features: list[str], block_rows: int = 2048,
                 id_col: str = "event_id") -> Index:
     names = [f"f{i}" for i in range(len(features))]
-    vectors = settle(distinct_vectors(train, features, id_col))
-    n = vectors.count()
+    n = train.count()
     if n == 0:
         raise ValueError("no training rows")
     cells = max(1, min(MAX_CELLS, -(-n // block_rows)))
     share = max(1, n // SAMPLE_ROWS)
-    sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(*names).limit(2 * SAMPLE_ROWS)
+    sample = train.filter(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0).select(
+        *matrix(train, features)).limit(2 * SAMPLE_ROWS)
     tree = grow_tree(sample.toPandas().to_numpy(dtype=float).reshape(-1, len(names)), cells)
+    vectors = distinct_vectors(train, features, id_col)
     celled = settle(vectors.withColumn("cell", _cell_udf(tree)(F.struct(*names))))
     facts = {r["cell"]: r for r in celled.groupBy("cell").agg(
         F.count("*").alias("n"), F.sum("w").alias("w"),

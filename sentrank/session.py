@@ -57,13 +57,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage.
+    """Write ``df`` as a table in the shared folder and read it back.
 
     Used where several jobs must see the very same rows (assigned numbers, a
     neighbour index), or where recomputing an expensive branch would repeat it.
+    The lineage ends there, the loss of an executor costs nothing, later jobs read
+    only the columns they need, and the planner knows the size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_ROWS = 200_000

@@ -12,6 +12,7 @@ from ..constants import CANONICAL, FAMILIES
 from ..functions.hashing import draw_int, draw_key
 from ..functions.numbers import outlier_level
 from ..functions.times import with_clock
+from ..session import settle
 from .quantiles import hex_cutoffs, rank_rows
 from .split import window_rows
 
@@ -185,8 +186,9 @@ def inject(
     counts = family_counts(n, rate, family_weights(weights))
     known = df if vocab == "all" else history.unionByName(window)
     marked = assign_families(window.select(*CANONICAL), counts, seed)
-    chosen = marked.filter("synth_usecase <> ''")
-    changed = disturb(chosen, history, vocabulary(known, "rule_id"), vocabulary(known, "decoder"), seed)
+    chosen = settle(marked.filter("synth_usecase <> ''"))
+    rules, decoders = (settle(vocabulary(known, v)) for v in ("rule_id", "decoder"))
+    changed = disturb(chosen, history, rules, decoders, seed)
     if mode == "append":
         copies = changed.withColumn("event_id", F.concat("event_id", F.lit("-synth")))
         whole = marked.withColumn("synth_usecase", F.lit("")).unionByName(copies)

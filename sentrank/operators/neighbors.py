@@ -213,11 +213,16 @@ def _meet(queries: DataFrame, index: Index, chunks: np.ndarray, fn, out: str) ->
     return q.groupBy(*_SEARCH).cogroup(train.groupBy(*_SEARCH)).applyInPandas(fn, out)
 
 
-def _chunks(counts: DataFrame, index: Index, block_rows: int) -> np.ndarray:
-    """Query chunks per cell from the number of queries that visit it."""
+def _chunks(counts: DataFrame, index: Index, block_rows: int, one_block: bool = False) -> np.ndarray:
+    """Query chunks per cell from the number of queries that visit it.
+
+    With ``one_block`` each query goes to a single block of the cell, so the blocks
+    already divide the queries.
+    """
     out = np.ones(index.tree.cells, dtype=int)
     for r in counts.collect():
-        out[r["cell"]] = max(1, -(-r["n"] // block_rows))
+        share = block_rows * (int(index.blocks[r["cell"]]) if one_block else 1)
+        out[r["cell"]] = max(1, -(-r["n"] // share))
     return out
 
 
@@ -238,7 +243,7 @@ def knn_join(queries: DataFrame, index: Index, features: list[str], k: int, id_c
                      .withColumn("cell", _cell_udf(index.tree)(F.struct(*names))))
 
     # round 1: one block of the own cell bounds the k-th distance
-    chunks = _chunks(vectors.groupBy("cell").agg(F.count("*").alias("n")), index, query_block_rows)
+    chunks = _chunks(vectors.groupBy("cell").agg(F.count("*").alias("n")), index, query_block_rows, one_block=True)
     home = vectors.withColumn(
         "block", F.pmod(F.xxhash64("qid", F.lit(13)), _pick(index.blocks, F.col("cell"))).cast("int"))
 

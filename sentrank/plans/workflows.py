@@ -75,12 +75,15 @@ def split_windows(alerts: DataFrame, out: str, cutoff: str, start: str, end: str
     """T1, T2 and T3 as partitions of one table, and their summary."""
     if time_column not in alerts.columns:
         raise ValueError(f"no time column {time_column!r}")
-    sink.write_splits(split.temporal_split(alerts, cutoff, start, end, time_column), out)
-    table = alerts.sparkSession.read.parquet(out)
+    watched, seen = quality.counted(alerts, "split_input", time_column)
+    sink.write_splits(split.temporal_split(watched, cutoff, start, end, time_column), out)
+    spark = alerts.sparkSession
+    table = spark.read.parquet(out)
     parts = {s: table.filter(F.col("split") == s).drop("split") for s in ("T1", "T2", "T3")}
     summary = split.split_summary(table, time_column)
     sink.write_report(summary, f"{out}_summary")
-    return {**parts, "summary": summary}
+    counts = spark.createDataFrame([(seen.get["rows"], seen.get["no_time"])], "rows long, dropped_no_time long")
+    return {**parts, "summary": summary, "input_counts": counts}
 
 
 def inject_window(alerts: DataFrame, out: str, cutoff: str, start: str, end: str, **options) -> dict[str, DataFrame]:

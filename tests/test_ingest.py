@@ -137,6 +137,7 @@ def test_workflow_from_csv_to_split(spark, tmp_path):
     assert facts[("null_count", "decoder")] == "60" and facts[("dropped_column", "extra")] == ""
     parts = workflows.split_windows(done["alerts"], str(tmp_path / "split"), "2025-08-10", "2025-08-11", "2025-08-15")
     assert [parts[s].count() for s in ("T1", "T2", "T3")] == [30, 15, 15]
+    assert tuple(parts["input_counts"].first()) == (60, 0)
     stats = str(tmp_path / "stats")
     feats = workflows.fit_features(parts["T1"], stats, str(tmp_path / "f1"))
     assert feats.count() == 30

@@ -1,7 +1,7 @@
 """Whole steps as single calls: read, transform with the operators, write tables."""
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,7 +112,10 @@ def apply_features(df: DataFrame, stats_path: str, out: str, **options) -> DataF
 
 @dataclass
 class Scorer:
-    """An explicit choice of scorer: ``knn``, ``lof``, ``iforest`` or ``formula``."""
+    """An explicit choice of scorer: ``knn``, ``lof``, ``iforest`` or ``formula``.
+
+    Forest and formula are fitted on the first call and kept for the next ones.
+    """
 
     kind: str
     train: DataFrame
@@ -121,6 +124,7 @@ class Scorer:
     scale: bool = False
     trees: int = 600
     max_samples: float | int = 0.5
+    _model: object = None
 
     def __call__(self, df: DataFrame) -> DataFrame:
         df = df.drop("anomaly_score")
@@ -129,10 +133,11 @@ class Scorer:
         if self.kind == "lof":
             return neighbors.lof_score(df, self.train, self.features, self.k, self.scale)
         if self.kind == "iforest":
-            model = forest.fit(self.train, self.features, self.trees, self.max_samples)
-            return forest.score(df, model)
+            self._model = self._model or forest.fit(self.train, self.features, self.trees, self.max_samples)
+            return forest.score(df, self._model)
         if self.kind == "formula":
-            return formula.score(df, formula.fit(self.train))
+            self._model = self._model or formula.fit(self.train)
+            return formula.score(df, self._model)
         raise ValueError(f"unknown scorer {self.kind!r}")
 
 
@@ -185,8 +190,8 @@ def explain_top(
     alerts = settle(alerts)
     feats = features.fit_apply(alerts)
     chosen = features.numeric_features(feats, wanted or FEATURES, scorer.features)
-    scored = settle(Scorer(scorer.kind, scorer.train, chosen, scorer.k, scorer.scale, scorer.trees,
-                           scorer.max_samples)(feats))
+    chosen_scorer = replace(scorer, features=chosen, _model=None)
+    scored = settle(chosen_scorer(feats))
     top = settle(rank.top_p(scored, percent, percent=True))
     result = {
         "alerts_preview": sink.preview(alerts), "features_preview": sink.preview(feats),
@@ -195,8 +200,7 @@ def explain_top(
     if explain_n > 0:
         head = top.filter(F.col("rank") <= explain_n)
         baseline = explain.feature_medians(scorer.train, chosen)
-        long = explain.occlusion(head, chosen, baseline, Scorer(
-            scorer.kind, scorer.train, chosen, scorer.k, scorer.scale, scorer.trees, scorer.max_samples))
+        long = explain.occlusion(head, chosen, baseline, chosen_scorer)
         result["explanations"] = explain.sorted_explanations(long)
         result["chart_features"] = explain.top_features(long, 10)
     if out:

@@ -39,9 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     loss of an executor.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        named = sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")

@@ -11,9 +11,13 @@ from .times import format_iso_seconds
 def parse_explanation(cell: Column) -> Column:
     """VARIANT of a JSON cell; ``\\'`` is tried as a quote; other text is kept as ``{"raw": …}``."""
     text = F.trim(cell)
-    requoted = F.regexp_replace(text, r"\\'", '"')
+    # a failing parse is slow: only text that can begin a JSON value is tried
+    maybe = F.left(text, F.lit(1)).isin(*'{["-0123456789') | text.isin("true", "false", "null")
+    escaped = F.contains(text, F.lit("\\'"))
+    requoted = F.replace(text, F.lit("\\'"), F.lit('"'))
     raw = F.parse_json(F.to_json(F.struct(text.alias("raw"))))
-    return F.when(text != "", F.coalesce(F.try_parse_json(text), F.try_parse_json(requoted), raw))
+    return F.when(text != "", F.coalesce(
+        F.when(maybe, F.try_parse_json(text)), F.when(escaped, F.try_parse_json(requoted)), raw))
 
 
 def _three_decimals(x: Column) -> Column:
@@ -36,7 +40,7 @@ def summarise_explanation(parsed: Column, first_n: int = 3) -> Column:
         )
 
     parts = F.array_compact(F.transform(F.slice(entries, 1, first_n), part))
-    return F.when(F.size(parts) > 0, F.array_join(parts, ", "))
+    return F.nullif(F.array_join(parts, ", "), F.lit(""))
 
 
 def json_record(df: DataFrame, columns: list[str] | None = None) -> Column:

@@ -78,10 +78,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(
             ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
+    def of(*kinds):
+        return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
     return found.select(
-        "doc_id", *[F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
-        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(listed(of(*BASE_KINDS)), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

@@ -1,0 +1,117 @@
+"""Packing, token counts and the encoder against the tokenizer itself."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sentrank.llm import packing, token_counts, wordpieces
+from sentrank.llm import textbytes as tb
+
+from . import brute
+
+TOKENIZER = Tokenizer.from_file(wordpieces.default_path())
+ODD = [
+    "", None, " \n\t", "it's THE end's abc'd 'tis don't", "Hello, World!!! (a.b) ... x-y_z", "ÉCOLE école école ́x",
+    "日本語 テスト。 mixed日本 text", "a b c 　 d", "1234 a1b2c3 3.14", "<|endoftext|> and <|startoftext|>x <|ENDOFTEXT|>",
+    "a<|b", "x" * 5000, "emoji 😀😀 👍🏽.", "tab\tvt\x0bff\x0ccr\r\nnl", "ΑΣ ΣΑΣ İstanbul ß ﬁ", "end.” «quote», —dash—.", "\x1c\x1dsep\x85x",
+    "!!", "'", "a' b'' 's", "word" + "." * 40 + " next", "REPEAT " * 3000]
+
+
+def ids(text):
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("most", [3, 1 << 20])
+def test_encoder_gives_the_ids_of_the_tokenizer(most):
+    coder = wordpieces.WordEncoder(wordpieces.default_path(), most)
+    rng = random.Random(1)
+    alphabet = list("abcXYZ ,.!?'-’éÉ́ß1²3 \n\t 日<|>_“”")
+    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    import pyarrow as pa
+    data, offsets = tb.flat(pa.array(texts, pa.string()))
+    got, bounds = coder.encode(data, offsets)
+    for k, text in enumerate(texts):
+        assert got[bounds[k]:bounds[k + 1]].tolist() == ids(text), text
+
+
+def test_packing_is_a_partition_of_all_ids(docs):
+    rng = random.Random(2)
+    rows = list(enumerate(ODD)) + [(100 + i, "some words here " * rng.randint(0, 900)) for i in range(60)]
+    got = [tuple(r) for r in packing.pack(docs(rows, 3)).collect()]
+    assert brute.check_pieces(got, {k: ids(t) + [1] for k, t in rows}) == 0
+
+
+@pytest.mark.parametrize("size, most_open", [(16, 2), (64, 1), (1, 4), (2048, 1024)])
+def test_packer_with_any_bounds(size, most_open):
+    rng = np.random.default_rng(size)
+    packer = packing.Packer(size, 0, most_open)
+    texts = {i: rng.integers(0, 40_000, int(rng.integers(1, 3 * size + 2))).astype(np.int32) for i in range(300)}
+    texts[300] = np.arange(size // 2 + 1, dtype=np.int32)
+    for k, v in texts.items():
+        packer.add(k, v)
+        assert packer.n_open == packer.levels.sum() <= most_open + 1
+    packer.settle(last=True)
+    assert brute.check_pieces(packer.rows, {k: v.tolist() for k, v in texts.items()}, size) == 0
+    if size > 1:
+        assert len({r[5] for r in packer.rows}) <= sum(map(len, texts.values())) // size + size.bit_length()
+
+
+def test_packing_repeated_and_missing_ids(docs):
+    rows = [(None, "a b"), (1, "a b"), (1, "a b"), (None, None)]
+    got = packing.pack(docs(rows)).collect()
+    assert sum(r.length for r in got) == 3 * len(ids("a b")) + 4
+    assert packing.pack(docs([])).count() == 0
+
+
+def with_edits(df, edits):
+    return df.withColumn("edits", F.from_json(F.lit(edits), "array<struct<start:bigint,end:bigint,text:string>>"))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_edited_counts_equal_a_new_encoding(docs, seed):
+    rng = random.Random(seed)
+    pieces = ["word", "é", " ", "  ", ",", "x.y", "\n", "12", "don't", "日本"]
+    rows, edits = [], []
+    for i in range(60):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 60)))
+        cut = sorted(rng.randrange(len(text) + 1) for _ in range(2 * rng.randint(0, 4)))
+        rows.append((i, text))
+        edits.append([(a, b, rng.choice(["", " ", "new", "a b", ",", "'s"])) for a, b in zip(cut[::2], cut[1::2])])
+    spark = docs(rows).sparkSession
+    changes = spark.createDataFrame(list(enumerate(edits)), "id bigint, edits array<struct<start:bigint,end:bigint,text:string>>")
+    df = docs(rows, extra=False).join(changes, F.col("doc_id") == F.col("id")).drop("id")
+    for r in token_counts.count(df).collect():
+        text, done, at, parts = rows[r.doc_id][1], 0, 0, []
+        last = None
+        for a, b, new in sorted(edits[r.doc_id], key=lambda e: e[:2]):
+            if last is None or a > last or (a == last and b > a):
+                parts += [text[at:a], new]
+                at = last = b
+                done += 1
+        edited = "".join([*parts, text[at:]])
+        assert (r.n_edits, r.tokens_before, r.tokens_after) == (done, len(ids(text)), len(ids(edited)))
+
+
+def test_only_regions_are_encoded_again(docs):
+    text = "plain words " * 500
+    r = token_counts.count(with_edits(docs([(1, text)]), '[{"start":12,"end":17,"text":"other"}]')).first()
+    assert (r.n_reencoded, r.n_updated) == (1, 1 + 10)
+    assert r.tokens_after == len(ids("plain words other" + text[17:]))
+
+
+def test_edits_in_odd_places(docs):
+    for edits in ("null", "[]", "[null]", '[{"start":null,"end":3,"text":"x"}]', '[{"start":-5,"end":999,"text":null}]'):
+        for text in (None, "", "abc def", "<|endoftext|>"):
+            r = token_counts.count(with_edits(docs([(None, text)]), edits)).first()
+            assert r.tokens_before == len(ids(text))
+            assert r.tokens_after == (0 if "999" in edits else len(ids(text)))
+    assert token_counts.count(with_edits(docs([]), "[]")).count() == 0
+
+
+def test_personal_data(docs):
+    rows = [(1, "mail é joe.x@mail.example.com, 10.0.0.1 or 12345"), (2, None), (3, "none 123")]
+    got = {r.doc_id: [(e.start, e.end) for e in r.edits] for r in token_counts.personal_edits(docs(rows)).collect()}
+    assert got == {1: [(7, 29), (31, 39), (43, 48)], 2: [], 3: []}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import DELTA_KEY
 from ..session import settle
 from .inject import seen_pairs
-from .neighbors import Index, knn_join
+from .neighbors import Index, add_by_vector, knn_join, mean_distance, vector_join
 from .quantiles import exact_quantiles
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -27,10 +27,8 @@ def feature_iqr(train: DataFrame, features: list[str]) -> dict[str, float]:
 def knn_scorer(index: Index, features: list[str], k: int) -> Scorer:
     """Mean distance to k training rows as a frame → frame function."""
     def score(df: DataFrame) -> DataFrame:
-        near = knn_join(df, index, features, k)
-        mean = F.aggregate("dists", F.lit(0.0), lambda a, x: a + x) / F.lit(float(k))
-        s = near.select(F.col("event_id").alias("_id"), mean.alias("anomaly_score"))
-        return df.drop("anomaly_score").join(s, F.col("event_id") == F.col("_id")).drop("_id")
+        scores = mean_distance(vector_join(df, index, features, k), k)
+        return add_by_vector(df.drop("anomaly_score"), features, scores)
 
     return score
 

@@ -7,7 +7,7 @@ from .. import schema
 from ..constants import CANONICAL, FEATURES
 from ..functions import hashing, times
 from ..functions.numbers import log1p_clipped, ratio_or_zero
-from ..session import settle
+from ..session import settle, small_side
 from .quantiles import exact_quantiles
 
 HOST, HOST_RULE = ("agent",), ("agent", "rule_id")
@@ -90,11 +90,11 @@ def recency_median(df: DataFrame, keys: tuple[str, ...] = HOST) -> float:
 
 
 def fit(df: DataFrame, keys: tuple[str, ...] = HOST, hour_bucket_h: int = 2) -> dict[str, DataFrame]:
-    """Frozen statistics of a training window as three small tables."""
+    """Frozen statistics of a training window as three settled tables: the window is read here only."""
     median = recency_median(df, keys)
     return {
-        "host_stats": host_stats(df),
-        "combo_freq": combo_freq(df, hour_bucket_h),
+        "host_stats": settle(host_stats(df)),
+        "combo_freq": settle(combo_freq(df, hour_bucket_h)),
         "globals": df.sparkSession.createDataFrame([(float(median),)], schema.GLOBALS),
     }
 
@@ -103,7 +103,7 @@ def add_host_z(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Level z-score against frozen host statistics; unknown or missing hosts get 0."""
     s = stats.select(F.col("agent").alias("_a"), "mu", "sd")
     return (
-        df.join(s, df["agent"] == s["_a"], "left")
+        df.join(small_side(s), df["agent"] == s["_a"], "left")
         .withColumn("rule_level_z_host", ratio_or_zero(F.col("rule_level"), F.col("mu"), F.col("sd")))
         .drop("_a", "mu", "sd")
     )

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,44 +224,31 @@ def _path_sum(x: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
 def score(df: DataFrame, forest: Forest, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """Adds ``anomaly_score`` = 2^(-mean path / expected path), higher is more anomalous.
 
-    A model within ``broadcast_nodes`` goes to every executor; a larger one is cut
-    into groups of trees that meet salted query chunks, and partial sums are added.
+    A model within ``broadcast_nodes`` goes to every executor at once. A larger one
+    goes there in groups of trees of about that size, one after the other: each pass
+    adds the group's path lengths to a column of the settled rows. Rows are never
+    joined, so both ways give every row its own score whatever its id.
     """
-    names = [f"f{i}" for i in range(len(forest.features))]
     n_nodes = forest.nodes.count()
     scale = float(average_path(forest.sample)) or 1.0
     grown = forest.nodes.filter("node = 1").count()
-
-    def final(path_sum: Column) -> Column:
-        return F.pow(F.lit(2.0), -path_sum / F.lit(float(max(grown, 1)) * scale))
-
-    if n_nodes <= broadcast_nodes:
-        model = df.sparkSession.sparkContext.broadcast(_linked(forest.nodes.toPandas()))
-
-        @F.pandas_udf(T.DoubleType())
-        def paths(f: pd.DataFrame) -> pd.Series:
-            return pd.Series(_path_sum(f.to_numpy(dtype=float), model.value))
-
-        return df.withColumn("anomaly_score", final(paths(F.struct(*matrix(df, forest.features)))))
-    return _score_in_groups(df, forest, names, -(-n_nodes // broadcast_nodes), final)
-
-
-def _score_in_groups(df: DataFrame, forest: Forest, names: list[str], groups: int, final) -> DataFrame:
-    chunk_rows = 50_000
-    keyed = df.select(F.col("event_id").alias("_id"), *matrix(df, forest.features))
-    salts = max(1, -(-keyed.count() // chunk_rows))
-    queries = keyed.withColumns({
-        "salt": F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"),
-        "part": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
-    nodes = forest.nodes.withColumns({
-        "part": F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int"),
-        "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))})
-
-    def walk(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(m):
-            return pd.DataFrame(columns=["_id", "s"], dtype=object)
-        return pd.DataFrame({"_id": q["_id"], "s": _path_sum(q[names].to_numpy(dtype=float), _linked(m))})
-
-    sums = queries.groupBy("part", "salt").cogroup(nodes.groupBy("part", "salt")).applyInPandas(
-        walk, "_id string, s double").groupBy("_id").agg(F.sum("s").alias("_s"))
-    return df.join(sums, F.col("event_id") == F.col("_id")).withColumn("anomaly_score", final(F.col("_s"))).drop("_id", "_s")
+    groups = max(1, -(-n_nodes // broadcast_nodes))
+    context = df.sparkSession.sparkContext
+    total, rows = F.lit(0.0), df.drop("anomaly_score")
+    for g in range(groups):
+        part = forest.nodes.filter(F.pmod(F.xxhash64("tree"), F.lit(groups)) == g)
+        model = context.broadcast(_linked(part.toPandas()))
+        total = total + _paths_udf(model)(F.struct(*matrix(rows, forest.features)))
+        if g < groups - 1:
+            rows = settle(rows.withColumn("_paths", total))
+            total = F.col("_paths")
+    mean = total / F.lit(float(max(grown, 1)) * scale)
+    return rows.withColumn("anomaly_score", F.pow(F.lit(2.0), -mean)).drop("_paths")
+
+
+def _paths_udf(model):
+    @F.pandas_udf(T.DoubleType())
+    def paths(f: pd.DataFrame) -> pd.Series:
+        return pd.Series(_path_sum(f.to_numpy(dtype=float), model.value))
+
+    return paths

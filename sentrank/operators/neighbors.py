@@ -98,11 +98,30 @@ class Index:
     block_rows: int
 
 
+_BEHIND_ID = "\x01"         # sorts before every character of an id
+
+
+def vector_key(columns: list[Column]) -> Column:
+    """A text that is equal for equal vectors only (``matrix`` columns: no NULL, no NaN)."""
+    return F.md5(F.concat_ws("|", *[(c + F.lit(0.0)).cast("string") for c in columns]))
+
+
+def plain_id(neighbor: Column) -> Column:
+    """The event id in a neighbour's name; empty if no row of the vector has one."""
+    return F.split_part(neighbor, F.lit(_BEHIND_ID), F.lit(1))
+
+
 def distinct_vectors(df: DataFrame, features: list[str], id_col: str = "event_id") -> DataFrame:
-    """``f0…``, the smallest id and the number of rows per distinct vector."""
+    """``f0…``, a unique name and the number of rows per distinct vector.
+
+    The name is the smallest id and, behind it, the vector's key: unique also for
+    repeated and missing ids, and in the order of the ids.
+    """
     names = [f"f{i}" for i in range(len(features))]
-    return df.select(F.col(id_col).alias("id"), *matrix(df, features)).groupBy(*names).agg(
-        F.min("id").alias("id"), F.count("*").alias("w"))
+    key = vector_key([F.col(c) for c in names])
+    return df.select(F.col(id_col).cast("string").alias("id"), *matrix(df, features)).groupBy(*names).agg(
+        F.min("id").alias("id"), F.count("*").alias("w")).withColumn(
+        "id", F.concat(F.coalesce("id", F.lit("")), F.lit(_BEHIND_ID), key))
 
 
 def _pick(n: np.ndarray, cell: Column) -> Column:
@@ -228,19 +247,32 @@ def _chunks(counts: DataFrame, index: Index, block_rows: int, one_block: bool =
 
 def knn_join(queries: DataFrame, index: Index, features: list[str], k: int, id_col: str = "event_id",
              query_block_rows: int = 4096) -> DataFrame:
-    """For every query row ``dists`` (k ascending distances) and ``neighbors`` (their ids).
+    """For every query row its ``id_col``, ``dists`` (k ascending distances) and ``neighbors`` (their names).
 
-    ``neighbors`` names each distinct training vector by its smallest id, repeated
-    per copy. Rows come back keyed by ``id_col``.
+    ``neighbors`` names each distinct training vector (``plain_id`` gives its smallest
+    event id), repeated per copy. One row comes back per query row, whether ids are
+    missing, repeated or not.
     """
+    found = vector_join(queries, index, features, k, query_block_rows)
+    return add_by_vector(queries, features, found).select(id_col, "dists", "neighbors")
+
+
+def add_by_vector(df: DataFrame, features: list[str], values: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``values`` (one row per vector key ``qid``): no row is lost or repeated."""
+    return df.withColumn("_key", vector_key(matrix(df, features))).join(
+        values.withColumnRenamed("qid", "_qid"), F.col("_key") == F.col("_qid")).drop("_key", "_qid")
+
+
+def vector_join(queries: DataFrame, index: Index, features: list[str], k: int,
+                query_block_rows: int = 4096) -> DataFrame:
+    """``dists`` and ``neighbors`` for every distinct query vector, named by its key ``qid``."""
     total = int(index.weight.sum())
     if k < 1 or k > total:
         raise ValueError(f"k={k} but {total} training rows")
     names = index.columns
-    keyed = queries.select(F.col(id_col).alias("_id"), *matrix(queries, features))
-    qid = F.min("_id").alias("qid")
-    vectors = settle(keyed.groupBy(*names).agg(qid, F.count("*").alias("_copies"))
-                     .withColumn("cell", _cell_udf(index.tree)(F.struct(*names))))
+    distinct = queries.select(*matrix(queries, features)).distinct()
+    vectors = settle(distinct.withColumns({
+        "qid": vector_key([F.col(c) for c in names]), "cell": _cell_udf(index.tree)(F.struct(*names))}))
 
     # round 1: one block of the own cell bounds the k-th distance
     chunks = _chunks(vectors.groupBy("cell").agg(F.count("*").alias("n")), index, query_block_rows, one_block=True)
@@ -295,15 +327,7 @@ def knn_join(queries: DataFrame, index: Index, features: list[str], k: int, id_c
     if salts > 1:
         partial = _best_k(partial, ["qid", "salt"], k)
     merged = _best_k(partial, ["qid"], k)
-    found = merged.select("qid", F.col("best.d").alias("dists"), F.col("best.n").alias("neighbors"))
-
-    # copies: every query row takes the result of its vector
-    many = vectors.select("qid", *[F.col(c).alias(f"_v_{c}") for c in names])
-    match = F.lit(True)
-    for c in names:
-        match = match & (F.col(c) == F.col(f"_v_{c}"))
-    spread = keyed.join(many, match).select(F.col("_id"), "qid")
-    return spread.join(found, "qid").select(F.col("_id").alias(id_col), "dists", "neighbors")
+    return merged.select("qid", F.col("best.d").alias("dists"), F.col("best.n").alias("neighbors"))
 
 
 def _best_k(partial: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -338,24 +362,40 @@ def _box_bound(far: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
 # --- scores on the join -----------------------------------------------------------
 
 def standardised(df: DataFrame, train: DataFrame, features: list[str]) -> list[DataFrame]:
-    """Both frames with the features scaled by training mean and deviation."""
+    """Both frames' features scaled by training mean and deviation; the original row is kept as ``_row``."""
     stats = train.agg(*[F.struct(F.avg(F.col(f).cast("double")).alias("m"),
                                  F.stddev_pop(F.col(f).cast("double")).alias("s")).alias(f)
                         for f in features]).first()
     scaled = {
         f: (F.col(f).cast("double") - F.lit(stats[f]["m"] or 0.0)) / F.lit(stats[f]["s"] or 1.0) for f in features
     }
-    return [df.withColumns(scaled), train.withColumns(scaled)]
+    return [with_row(f, scaled) for f in (df, train)]
+
+
+def with_row(df: DataFrame, features: dict[str, Column]) -> DataFrame:
+    """The given features beside the whole row, which scoring gives back unchanged."""
+    return df.select(F.struct("*").alias("_row"), F.col("event_id"), *[c.alias(n) for n, c in features.items()])
+
+
+def mean_distance(near: DataFrame, k: int) -> DataFrame:
+    """The k-NN score of every vector of a ``vector_join``."""
+    mean = F.aggregate("dists", F.lit(0.0), lambda a, x: a + x) / F.lit(float(k))
+    return near.select("qid", mean.alias("anomaly_score"))
+
+
+def _both(df: DataFrame, train: DataFrame, features: list[str], scale: bool) -> list[DataFrame]:
+    df = df.drop("anomaly_score")
+    if scale:
+        return standardised(df, train, features)
+    return [with_row(f, {n: F.col(f"`{n}`") for n in features}) for f in (df, train)]
 
 
 def knn_score(df: DataFrame, train: DataFrame, features: list[str], k: int = 35, scale: bool = False,
               block_rows: int = 2048) -> DataFrame:
     """Adds ``anomaly_score``: the mean distance to the ``k`` nearest training rows."""
-    q, t = standardised(df, train, features) if scale else (df, train)
-    near = knn_join(q, build_index(t, features, block_rows), features, k)
-    mean = F.aggregate("dists", F.lit(0.0), lambda a, x: a + x) / F.lit(float(k))
-    scores = near.select(F.col("event_id").alias("_id"), mean.alias("anomaly_score"))
-    return df.join(scores, F.col("event_id") == F.col("_id")).drop("_id")
+    q, t = _both(df, train, features, scale)
+    near = vector_join(q, build_index(t, features, block_rows), features, k)
+    return add_by_vector(q, features, mean_distance(near, k)).select("_row.*", "anomaly_score")
 
 
 def lof_score(df: DataFrame, train: DataFrame, features: list[str], k: int = 20, scale: bool = False,
@@ -365,7 +405,7 @@ def lof_score(df: DataFrame, train: DataFrame, features: list[str], k: int = 20,
     Training vectors look for ``k`` others (one own copy is left out); densities
     live per distinct vector and are joined by its id.
     """
-    q, t = standardised(df, train, features) if scale else (df, train)
+    q, t = _both(df, train, features, scale)
     index = build_index(t, features, block_rows)
     vectors = index.rows.select("id", *[F.col(c).alias(f) for c, f in zip(index.columns, features)])
     own = knn_join(vectors, index, features, k + 1, id_col="id").select(
@@ -382,11 +422,10 @@ def lof_score(df: DataFrame, train: DataFrame, features: list[str], k: int = 20,
         return reach
 
     lrd_train = settle(density(own, "id", own))
-    near = settle(knn_join(q, index, features, k))
-    lrd_query = density(near, "event_id", own)
-    links = near.select("event_id", F.explode("neighbors").alias("o"))
+    near = settle(vector_join(q, index, features, k))
+    lrd_query = density(near, "qid", own)
+    links = near.select("qid", F.explode("neighbors").alias("o"))
     around = links.join(lrd_train.select(F.col("id").alias("o"), F.col("lrd").alias("lrd_o")), "o").groupBy(
-        "event_id").agg(F.avg("lrd_o").alias("lrd_o"))
-    scores = around.join(lrd_query, "event_id").select(
-        F.col("event_id").alias("_id"), (F.col("lrd_o") / F.col("lrd")).alias("anomaly_score"))
-    return df.join(scores, F.col("event_id") == F.col("_id")).drop("_id")
+        "qid").agg(F.avg("lrd_o").alias("lrd_o"))
+    scores = around.join(lrd_query, "qid").select("qid", (F.col("lrd_o") / F.col("lrd")).alias("anomaly_score"))
+    return add_by_vector(q, features, scores).select("_row.*", "anomaly_score")

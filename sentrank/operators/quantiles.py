@@ -25,6 +25,8 @@ def exact_quantiles(
     that count). Beyond it every pass counts 1024 equal-width buckets per open
     interval with map-side combine; intervals holding a wanted rank are narrowed
     until they hold one value or few rows. The driver sees bucket counts only.
+    Infinite values are ranks of their own in both ways, and both interpolate with
+    the same weights.
     """
     values = [
         F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(c)
@@ -52,11 +54,29 @@ def exact_quantiles(
         out[c] = []
         for p in probs:
             x = p * (n[c]["n"] - 1)
-            a, b = found[c][math.floor(x)], found[c][math.ceil(x)]
-            out[c].append(a + (b - a) * (x - math.floor(x)))
+            low, high = math.floor(x), math.ceil(x)
+            a, b = found[c][low], found[c][high]
+            out[c].append(a if low == high or a == b else (high - x) * a + (x - low) * b)
     return out
 
 
+def _slot(x: Column, lo: float, hi: float) -> Column:
+    """Bucket of a value within [lo, hi], as a number that grows with the value.
+
+    Infinite ends are cut off first. An interval too wide for a finite width is halved
+    in scale; one too narrow for a width holds few numbers, each its own bucket.
+    """
+    if math.isinf(lo) or math.isinf(hi):
+        big = 1.7976931348623157e308
+        return F.when(x == -math.inf, -1.0).when(x == math.inf, 2.0).otherwise(
+            F.when(x < 0, 0.0).otherwise(1.0)) if (lo, hi) == (-math.inf, math.inf) else F.when(
+            F.abs(x) > big, 1.0).otherwise(0.0)
+    step = hi / _BUCKETS - lo / _BUCKETS
+    if step == 0 or lo + step == lo or hi - step == hi:
+        return x
+    return F.least(F.floor(x / F.lit(step) - F.lit(lo / step)), F.lit(_BUCKETS - 1)).cast("double")
+
+
 def _order_statistics(
     data: DataFrame, bounds: dict[str, tuple[float, float]], wanted: dict[str, set[int]]
 ) -> dict[str, dict[int, float]]:
@@ -67,13 +87,8 @@ def _order_statistics(
         parts = []
         for i, (c, lo, hi, _, _) in enumerate(todo):
             x = F.col(f"`{c}`")
-            step = (hi - lo) / _BUCKETS
-            slot = F.floor((x - F.lit(lo)) / F.lit(step)) if step > 0 else F.lit(0)
-            parts.append(
-                F.when(x.between(lo, hi), F.struct(
-                    F.lit(i).alias("i"), F.least(slot.cast("long"), F.lit(_BUCKETS - 1)).alias("b"),
-                    x.alias("x")))
-            )
+            parts.append(F.when(x.between(lo, hi), F.struct(
+                F.lit(i).alias("i"), _slot(x, lo, hi).alias("b"), x.alias("x"))))
         counted = (
             data.select(F.explode(F.array_compact(F.array(*parts))).alias("s"))
             .groupBy("s.i", "s.b")
@@ -157,14 +172,11 @@ def rank_rows(
     ordered = df.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *order)
     numbered = settle(ordered.withColumn("_id", F.monotonically_increasing_id()))
     part, pos = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in numbered.groupBy(part.alias("p")).count()
-              .withColumnRenamed("count", "n").collect()}
-    offsets, total = [], 0
-    for p in range(max(counts) + 1):
-        offsets.append(total)
-        total += counts.get(p, 0)
-    place = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (part + 1).cast("int")) + pos + 1
-    placed = numbered.withColumn("_place", place)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)      # one row per partition
+    offsets = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
+        "_place", F.col("_before") + pos + 1).select(*numbered.columns, "_place")
     if not keys:
         return placed.withColumn(rank_col, F.col("_place")).drop("_id", "_place")
     starts = placed.groupBy(*keys).agg(F.min("_place").alias("_start"))

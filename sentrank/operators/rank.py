@@ -5,6 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle, small_side
 from .quantiles import SMALL_ROWS, rank_rows
 
 LIMIT_ROWS = 100_000
@@ -26,7 +27,9 @@ def top_k(df: DataFrame, k: int = 50, by: str = "anomaly_score", descending: boo
         raise ValueError(f"k out of range: {k}")
     order = review_order(by, descending)
     if k > LIMIT_ROWS:
-        return rank_rows(df, order).filter(F.col("rank") <= k)
+        # only rows above a counted cut are sorted
+        near = _above_cut(df, by, k, df.filter(F.col(by).isNotNull()).count()) if descending else df
+        return rank_rows(near, order).filter(F.col("rank") <= k)
     head = df.orderBy(*order).limit(k)
     ranked = head.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return ranked.select("rank", *[F.col(f"`{c}`") for c in df.columns if c != "rank"])
@@ -43,17 +46,11 @@ def slice_size_percent(n: int, percent: float) -> int:
 
 
 def top_p(df: DataFrame, p: float = 0.01, by: str = "anomaly_score", percent: bool = False) -> DataFrame:
-    """Top-p slice with ranks.
-
-    One aggregate gives the row count and a safe lower cut on the score, so only
-    rows near or above the cut are sorted.
-    """
-    stats = df.agg(F.count("*").alias("n"), F.count(by).alias("scored")).first()
-    n = stats["n"]
+    """Top-p slice with ranks."""
+    n = df.count()
     if n == 0:
         return df.limit(0).select(F.lit(0).cast("long").alias("rank"), "*")
-    k = slice_size_percent(n, p) if percent else slice_size(n, p)
-    return top_k(_above_cut(df, by, k, stats["scored"]), k, by)
+    return top_k(df, slice_size_percent(n, p) if percent else slice_size(n, p), by)
 
 
 def _above_cut(df: DataFrame, by: str, k: int, scored: int) -> DataFrame:
@@ -82,7 +79,18 @@ def top_p_per_day(df: DataFrame, p: float = 0.01, by: str = "anomaly_score", tim
         F.when(safe, F.percentile_approx(by, max(q, 0.0), accuracy)).alias("cut"),
     ).withColumnRenamed("day", "_day")
     # big days: rows below a safe lower cut cannot be in the slice and are not sorted
-    near = dated.join(budget, F.col("day").eqNullSafe(F.col("_day"))).filter(
+    budget = settle(budget)
+    above = dated.join(small_side(budget), F.col("day").eqNullSafe(F.col("_day"))).filter(
+        F.col("cut").isNull() | (F.col(by) >= F.col("cut")))
+    # an estimated cut may be too high: such a day takes part whole
+    held = above.filter("cut IS NOT NULL").groupBy("day").agg(F.count("*").alias("held"))
+    short = budget.join(held, F.col("_day") == F.col("day"), "left").filter(
+        F.col("cut").isNotNull() & (F.coalesce("held", F.lit(0)) < F.col("budget"))).select("_day")
+    short = settle(short)
+    if short.limit(1).count():
+        budget = budget.join(F.broadcast(short.withColumn("_whole", F.lit(True))), "_day", "left").withColumn(
+            "cut", F.when(F.col("_whole").isNull(), F.col("cut"))).drop("_whole")
+    near = dated.join(small_side(budget), F.col("day").eqNullSafe(F.col("_day"))).filter(
         F.col("cut").isNull() | (F.col(by) >= F.col("cut")))
     ranked = rank_rows(near, review_order(by), group=["day"], small_rows=small_rows)
     return ranked.filter("rank <= budget").drop("_day", "budget", "cut")

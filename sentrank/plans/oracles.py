@@ -1,5 +1,7 @@
 """SQL twins of the registered queries, for a cross-check in another engine."""
 
+from ..constants import FEATURES
+
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)"
 
 ALERTS = f"""alerts AS (
@@ -94,13 +96,9 @@ def _rounded(names: list[str]) -> str:
     return ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)
 
 
-REAL_FEATURES = [
-    "rule_level_z_host", "rule_time_since_last_host_log1p", "recency_x_rule_level",
-    "offhours_x_rule_level", "offhours_x_rule_level_z", "weekend_x_rule_level_z",
-    "agent_rule_hour_hash01", "agent_rule_hour_freq_log1p", "rule_time_since_last_host",
-]
-INT_FEATURES = ["hour_local", "is_off_hours", "day_of_week", "is_weekend", "second_in_hour",
-                "seconds_in_hour_bucketed", "hour_bucket"]
+_AT = FEATURES.index("rule_level")
+INT_FEATURES = FEATURES[:_AT]
+REAL_FEATURES = [*FEATURES[_AT + 1:], "rule_time_since_last_host"]
 
 
 def oracle_sql() -> dict[str, str]:
@@ -229,15 +227,11 @@ round(count(*) / (SELECT count(*) FROM alerts), 6) AS share FROM alerts GROUP BY
 SELECT unnest([event_type, 'all', CASE WHEN value >= 100 THEN 'high' ELSE 'low' END]) AS "group" FROM events)
 GROUP BY 1 ORDER BY alerts DESC, "group" LIMIT 5"""
     out.update(_more(w))
+    out.update(_storage(w, out))
     return out
 
 
-MODEL = ["hour_local", "is_off_hours", "day_of_week", "is_weekend",
-         "second_in_hour", "seconds_in_hour_bucketed", "hour_bucket",
-         "rule_level", "rule_level_z_host",
-         "rule_time_since_last_host_log1p", "recency_x_rule_level",
-         "offhours_x_rule_level", "offhours_x_rule_level_z", "weekend_x_rule_level_z",
-         "agent_rule_hour_hash01", "agent_rule_hour_freq_log1p"]
+MODEL = FEATURES
 _VEC = "[" + ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0)" for f in MODEL) + "]"
 _Y = """CASE WHEN rule_level >= 8 AND hour("timestamp") <= 6 THEN 1 ELSE 0 END"""
 
@@ -364,7 +358,7 @@ b AS (SELECT CAST("timestamp" AS DATE) AS day,
 SELECT day, bin, count(*) AS alerts, round(count(*) / sum(count(*)) OVER (PARTITION BY day), 6) AS share FROM b GROUP BY day, bin"""
     out["run_metadata"] = f"""{w}, {FORMULA} SELECT 'formula' AS version, min("timestamp") AS window_start,
 max("timestamp") AS window_end, count(*) AS "rows", CAST(ceil(CAST(0.01 AS DOUBLE) * count(*)) AS BIGINT) AS selected,
-round(ceil(CAST(0.01 AS DOUBLE) * count(*)) / count(*), 6) AS selection_rate FROM scored"""
+round(ceil(CAST(0.01 AS DOUBLE) * count(*)) / count(*), 6) AS selection_rate, TRUE AS timed FROM scored"""
 
     # neighbours
     out["knn_score"] = f"{w}, {VECTORS}, {_near(35)} SELECT event_id, round({_mean_d(35)}, 6) AS anomaly_score FROM near"
@@ -406,10 +400,10 @@ SELECT p, k, round(pr, 6) AS "precision", round(rc, 6) AS recall, round(li, 6) A
     # explanations
     names = "[" + ", ".join(f"'{f}'" for f in MODEL) + "]"
     med = "[" + ", ".join(f"(SELECT median(v[{i}]) FROM vt)" for i in range(1, 17)) + "]"
-    out["occlusion_topn"] = f"""{knn_rank}, top5 AS (SELECT rnk, kr.event_id, v FROM kr JOIN vq ON vq.event_id = kr.event_id WHERE rnk <= 5),
+    out["occlusion_topn"] = f"""{knn_rank}, top10 AS (SELECT rnk, kr.event_id, v FROM kr JOIN vq ON vq.event_id = kr.event_id WHERE rnk <= 10),
 bl AS (SELECT {med} AS b), mods AS (
 SELECT rnk, event_id, j, list_transform(range(1, 17), lambda i: CASE WHEN i = j THEN b[i] ELSE v[i] END) AS v, v AS orig, b
-FROM top5 CROSS JOIN bl CROSS JOIN (SELECT unnest(range(0, 17)) AS j)),
+FROM top10 CROSS JOIN bl CROSS JOIN (SELECT unnest(range(0, 17)) AS j)),
 sc AS (SELECT rnk, m.event_id, j, min(list_distance(m.v, t.v), 35) AS ds, any_value(orig) AS orig, any_value(b) AS b
   FROM mods m CROSS JOIN vt t GROUP BY rnk, m.event_id, j),
 sv AS (SELECT *, list_avg(ds) AS s FROM sc)
@@ -461,3 +455,63 @@ SELECT * FROM rk WHERE "rank" <= 10"""
     out["stream_features"] = f"""{w}, {T1}, {T2}, {_features('t2')}
 SELECT event_id, agent, rule_id, rule_level, {', '.join(INT_FEATURES)}, {_rounded(REAL_FEATURES)} FROM full_t2"""
     return out
+
+
+def _storage(w: str, done: dict[str, str]) -> dict[str, str]:
+    """Queries that go through files."""
+    out: dict[str, str] = {}
+    number = """CAST(right("_id", 10) AS BIGINT)"""
+    names = [c for c in RAW_COLUMNS if c != "_source.rule.level"]
+    absent = [c for c in RAW_COLUMNS if c not in names[:4] and c != "_source.rule.level"]
+    quoted = lambda cs: ", ".join(f'"{c}"' for c in cs)
+    none = lambda cs: ", ".join(f'NULL AS "{c}"' for c in cs)
+    exports = f"""exports AS (
+SELECT {quoted(names[:4])}, "_source.rule.level", {none(absent)} FROM raw WHERE {number} % 2 = 0
+UNION ALL BY NAME SELECT {quoted(names)}, NULL AS "_source.rule.level" FROM raw WHERE {number} % 2 = 1
+UNION ALL BY NAME SELECT "_id" || '-short' AS "_id", "_source.timestamp" FROM raw WHERE {number} % 50 = 0 AND {number} % 3 <> 0)"""
+    out["csv_union_scan"] = f"WITH {RAW}, {exports} SELECT * FROM exports"
+    out["merged_exports"] = f"""WITH {RAW}, {exports} SELECT DISTINCT "_id", "_source.timestamp" AS time_text,
+"_source.agent.name" AS agent FROM exports"""
+    even = f"(SELECT count(*) FROM raw WHERE {number} % 2 = 0)"
+    odd = f"(SELECT count(*) FROM raw WHERE {number} % 2 = 1)"
+    short = f"(SELECT count(*) FROM raw WHERE {number} % 50 = 0 AND {number} % 3 <> 0)"
+    first, second = f"({even} + {short})", odd
+
+    def cover(c: str) -> str:
+        inside = [g for g, has in ((first, c in [*names[:4], "_source.rule.level"]), (second, c in names)) if has]
+        total = " + ".join(inside)
+        return f"""SELECT '{c}' AS "column", count("{c}") AS non_null, {total} AS total,
+round(count("{c}") / greatest({total}, 1), 6) AS coverage,
+count(*) FILTER (WHERE TRY_CAST("{c}" AS DOUBLE) = 0) AS zeros FROM exports"""
+    out["profiled_exports"] = f"""WITH {RAW}, {exports}, report AS ({" UNION ALL ".join(cover(c) for c in RAW_COLUMNS)})
+SELECT *, coverage >= 0.9 AS kept FROM report"""
+    out["clean_table"] = done["canonicalise"]
+    out["typed_csv"] = f"""{w} SELECT event_id, CASE WHEN CAST(event_id AS BIGINT) % 2 = 0
+THEN date_trunc('millisecond', "timestamp") ELSE date_trunc('second', "timestamp") END AS "timestamp",
+agent, rule_id, rule_level, decoder FROM alerts"""
+    out["projected_scan"] = f"{w} SELECT event_id, agent, 2 AS n_some, 6 AS n_every FROM alerts"
+    out["split_table"] = f"""{w}, {T2} SELECT event_id, agent, (SELECT count(*) FROM alerts) AS n_input,
+0 AS dropped_no_time FROM t2"""
+    out["stored_statistics"] = done["features_full"]
+    out["scored_table"] = f"""{w}, {FORMULA}, n AS (SELECT count(*) AS n, CAST(greatest(1, ceil(CAST(0.01 AS DOUBLE) * count(*))) AS BIGINT) AS k
+FROM alerts), top AS (SELECT anomaly_score FROM scored ORDER BY anomaly_score DESC, event_id LIMIT (SELECT k FROM n))
+SELECT count(*) AS n_top, round(min(anomaly_score), 6) AS least_score, TRUE AS timed, (SELECT n FROM n) AS n_scored,
+(SELECT k FROM n) AS n_selected FROM top"""
+    out["service_reply"] = f"""SELECT "rank", event_id, rule_level, anomaly_score FROM ({done["topk_formula_score"]})"""
+
+    def evaluated(inject: str) -> str:
+        return f"""WITH inj AS MATERIALIZED (SELECT * FROM ({done[inject]}) WHERE y_mask_eval = 1),
+alerts AS (SELECT event_id, "timestamp", agent, rule_id, rule_level, decoder FROM inj), {FORMULA},
+labelled AS (SELECT s.event_id, i.y_true_synth AS y, i.synth_usecase,
+row_number() OVER (ORDER BY round(anomaly_score, 9) DESC, s.event_id) AS rnk FROM scored s JOIN inj i USING (event_id))"""
+
+    n, pos = "(SELECT count(*) FROM labelled)", "(SELECT sum(y) FROM labelled)"
+    out["injected_metrics"] = f"""{evaluated("inject_replace")}, b AS (
+SELECT p, CAST(greatest(1, ceil(p * (SELECT count(*) FROM labelled))) AS BIGINT) AS k
+FROM (SELECT CAST(unnest([0.01, 0.02, 0.05]) AS DOUBLE) AS p)),
+t AS (SELECT p, k, (SELECT sum(y) FROM labelled WHERE rnk <= k) AS tp FROM b)
+SELECT p, k, tp, k - tp AS fp, {pos} - tp AS fn, {n} - {pos} - (k - tp) AS tn, {_figures('tp', 'k', n, pos)} FROM t"""
+    out["injected_families"] = f"""{evaluated("inject_append")}
+SELECT synth_usecase AS family, count(*) AS positives, count(*) FILTER (WHERE rnk <= 100) AS hits,
+round(count(*) FILTER (WHERE rnk <= 100) / count(*), 6) AS recall FROM labelled WHERE y = 1 GROUP BY 1"""
+    return out

@@ -77,3 +77,25 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     is a shuffled one with runtime skew handling.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder in any file system Spark can reach."""
+    files, target = _hadoop(spark, path)
+    return files.exists(target)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, target = _hadoop(spark, path)
+    return files.exists(target) and files.getFileStatus(target).isDirectory()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that an operator wrote for itself and that nothing reads any more."""
+    files, target = _hadoop(spark, path)
+    files.delete(target, True)

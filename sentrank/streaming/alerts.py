@@ -14,14 +14,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import canonical, features, rank
 from ..functions import times
+from ..session import exists, is_folder, remove, small_side
 
 WATERMARK = "1 hour"
 
 
-def read_feed(spark: SparkSession, path: str, schema, glob: str | None = None,
-              fmt: str = "parquet", **options: str) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options: str) -> DataFrame:
+    """The files at ``path``, a folder or a single file, as they arrive."""
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    if is_folder(spark, path):
+        return reader.load(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return reader.option("pathGlobFilter", name).load(folder)
 
 
 def canonical_stream(raw: DataFrame, mapping: dict[str, str | None] | None = None) -> DataFrame:
@@ -68,8 +72,12 @@ class VersionedState:
         return None if batch_id == 0 else spark.read.parquet(self.at(batch_id - 1))
 
     def write(self, df: DataFrame, batch_id: int) -> DataFrame:
+        """Write version ``batch_id``; the two before stay for repeated batches, older ones go."""
+        spark = df.sparkSession
         df.write.mode("overwrite").parquet(self.at(batch_id))
-        return df.sparkSession.read.parquet(self.at(batch_id))
+        if batch_id > 2:
+            remove(spark, self.at(batch_id - 3))
+        return spark.read.parquet(self.at(batch_id))
 
 
 def recency_step(state: VersionedState, sink: Callable[[DataFrame, int], None],
@@ -82,10 +90,12 @@ def recency_step(state: VersionedState, sink: Callable[[DataFrame, int], None],
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = state.before(spark, batch_id)
+        batch = batch.persist()         # read several times below
         sink(features.recency(batch, keys, last_seen=known), batch_id)
         now = features.last_seen(batch.filter(F.col("timestamp").isNotNull()), keys)
         merged = now if known is None else now.unionByName(known)
         state.write(merged.groupBy(*keys).agg(F.max("last_ts").alias("last_ts")), batch_id)
+        batch.unpersist()
 
     return step
 
@@ -114,18 +124,39 @@ def enrichment_sink(path: str, columns: list[str] | None = None) -> Callable[[Da
     return write
 
 
-def daily_queue_step(queue: VersionedState, score: Callable[[DataFrame], DataFrame],
+def daily_queue_step(path: str, score: Callable[[DataFrame], DataFrame],
                      k: int) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: merge the batch into each day's Top-K queue."""
+    """``foreachBatch`` body: merge the batch into the Top-K queues of the days it touches.
+
+    Each batch writes these days anew below its own folder; other days are neither
+    read nor written.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = queue.before(batch.sparkSession, batch_id)
-        fresh = score(batch).drop("rank", "day")
-        pool = fresh if known is None else fresh.unionByName(known.drop("rank", "day"))
-        queue.write(rank.top_k_per_day(pool, k), batch_id)
+        spark = batch.sparkSession
+        fresh = score(batch).drop("rank", "day").persist()
+        if not fresh.limit(1).count():
+            return
+        days = fresh.select(F.to_date("timestamp").alias("day")).distinct()
+        known = daily_queue(spark, path, batch_id)
+        pool = fresh if known is None else fresh.unionByName(
+            known.join(small_side(days), "day", "left_semi").drop("rank", "day"))
+        rank.top_k_per_day(pool, k).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
+        fresh.unpersist()
 
     return step
 
 
+def daily_queue(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Each day's queue as its last batch (earlier than ``before``) left it; None if there is none yet."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    # the newest batch of each day is known from the folder names
+    last = rows.groupBy("day").agg(F.max("batch").alias("batch"))
+    return rows.join(small_side(last), ["day", "batch"], "left_semi").drop("batch")
+
+
 def run_available(df: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None],
                   mode: str = "append") -> StreamingQuery:
     """Process everything that has arrived, then stop."""

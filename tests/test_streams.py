@@ -60,13 +60,13 @@ def test_dedup_across_batches_and_late_drop(spark, alert_rows, tmp_path):
 
 def test_daily_queue_merges_batches(spark, alert_rows, tmp_path):
     p = str(tmp_path)
-    queue = feed.VersionedState(f"{p}/queue")
+    queue = f"{p}/queue"
     body = feed.daily_queue_step(queue, lambda df: df.withColumn("anomaly_score", F.col("rule_level") / 1.0), 2)
     for rows in ([("1", "2024-01-01", "a", "r", 5, "d"), ("2", "2024-01-01", "a", "r", 3, "d")],
                  [("3", "2024-01-01", "a", "r", 4, "d"), ("4", "2024-01-02", "a", "r", 1, "d")]):
         drop(alert_rows(rows), f"{p}/feed")
         feed.run_available(feed.read_feed(spark, f"{p}/feed", ALERTS), f"{p}/cp", body)
-    got = {(str(r["day"]), r["rank"]): r["event_id"] for r in spark.read.parquet(queue.at(1)).collect()}
+    got = {(str(r["day"]), r["rank"]): r["event_id"] for r in feed.daily_queue(spark, queue).collect()}
     assert got == {("2024-01-01", 1): "1", ("2024-01-01", 2): "3", ("2024-01-02", 1): "4"}
 
 

@@ -1,7 +1,10 @@
 """Tables, settled intermediates and checked broadcasts for the operators of this package."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import prepare, scratch_path
 
@@ -53,3 +56,16 @@ def components(edges: DataFrame) -> DataFrame:
         mark = state
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).union(
         now.select("v", F.col("v").alias("root")).distinct())
+
+
+def map_batches(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name, dots and backticks included; ``run`` sees the names as they are."""
+    names = df.columns
+    sent = [f"c{i}" for i in range(len(schema))]
+
+    def renamed(batches):
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(sent)
+
+    fields = [StructField(s, f.dataType, True) for s, f in zip(sent, schema.fields, strict=True)]
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, StructType(fields)).toDF(*schema.names)

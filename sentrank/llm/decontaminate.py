@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .common import map_batches
 
 #: Fixed value: word bytes are ASCII letters and digits and everything beyond ASCII.
 WORD_BYTES = ~tb.byte_class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -118,26 +119,30 @@ def match_shard(data: np.ndarray, offsets: np.ndarray, test: TestSet):
     live = np.arange(len(test.starts))
     found: list[tuple] = []
     depth = 0
-    deep_lo, deep_hi, deep = lo.copy(), hi.copy(), np.zeros(len(live), np.int64)
+    doc_of = np.repeat(np.arange(n_docs), np.diff(first))
+
+    def ended(low, high):
+        """Suffixes low..high match over ``depth`` words and no more."""
+        sizes = np.maximum(high - low, 0)
+        spread = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        np.maximum.at(longest, doc_of[place[order[spread]]], depth)
+
     while len(live):
         want = test.codes[test.starts[live] + depth]
         new_lo = bisect(keys, order, depth, lo[live], hi[live], want, False)
         new_hi = bisect(keys, order, depth, new_lo, hi[live], want, True)
+        full = test.need[live] <= depth
+        ended(lo[live][full], new_lo[full])
+        ended(new_hi[full], hi[live][full])
         lo[live], hi[live] = new_lo, new_hi
         live = live[new_lo < new_hi]
         depth += 1
-        deep_lo[live], deep_hi[live], deep[live] = lo[live], hi[live], depth
         done = live[test.need[live] == depth]
         if len(done):
             found.append((done, lo[done], hi[done]))
+        out = live[test.room[live] == depth]
+        ended(lo[out], hi[out])
         live = live[test.room[live] > depth]
-    doc_of = np.repeat(np.arange(n_docs), np.diff(first))
-    hit = np.flatnonzero(deep >= test.need)
-    sizes = deep_hi[hit] - deep_lo[hit]
-    spread = np.repeat(deep_lo[hit] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) \
-        if len(hit) else none
-    if len(hit):
-        np.maximum.at(longest, doc_of[place[order[spread]]], np.repeat(deep[hit], sizes))
     if not found:
         return np.diff(first), none, none, none, none, longest
     query, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -185,7 +190,7 @@ def find(docs: DataFrame, items: DataFrame, width: int = 13, block_bytes: int =
     for rows in blocks:
         test = context.broadcast(TestSet([r.i for r in rows], [r.t for r in rows], width))
         source = out if previous is None else previous
-        previous = source.mapInArrow(_scanner(test, previous is not None), schema)
+        previous = map_batches(source, _scanner(test, previous is not None), schema)
     starts = F.transform(F.sequence(F.lit(0), F.size("__edges") - 1, F.lit(2)), lambda i: F.struct(
         F.get("__edges", i).alias("start"), F.get("__edges", i + 1).alias("end")))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import settle
+from .common import map_batches, settle
 
 LONGEST_PIECE = 12
 WORD_BYTES = 32
@@ -305,7 +305,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 [*batch.columns, pa.array(names.tolist(), pa.string()), pa.array(np.where(known, top, 0.0))],
                 names=[*batch.schema.names, "lang_pred", "score"])
 
-    return keep.mapInArrow(run, schema).drop("__letters")
+    return map_batches(keep, run, schema).drop("__letters")
 
 
 def held_out():

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .common import map_batches
 
 # The patterns of the base kinds and their least lengths.
 ASSIGN = re.compile(
@@ -118,4 +119,4 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind_of)], names=[*names, "secrets"])
 
-    return keep.mapInArrow(run, schema)
+    return map_batches(keep, run, schema)

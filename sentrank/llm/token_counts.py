@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .common import map_batches
 from .wordpieces import WordEncoder, default_path, encoder
 
 EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
@@ -69,7 +70,7 @@ def recount(text: bytes, starts: np.ndarray, ends: np.ndarray, counts: np.ndarra
     A region is what an edit touches and, as context, the rest of the words (runs without blanks) at its borders;
     edits with a region in common are done together. Only regions are encoded again.
     """
-    tree = SegmentTree(counts)
+    tree = SegmentTree(np.concatenate([[0], counts]))       # leaf 0 stands for what comes before the first part
     regions: list[list] = []
     for start, end, new in edits:
         low = start
@@ -89,12 +90,12 @@ def recount(text: bytes, starts: np.ndarray, ends: np.ndarray, counts: np.ndarra
         n = coder.count(fresh)
         first, last = int(np.searchsorted(starts, low)), int(np.searchsorted(ends, high, "right"))
         if first < last:
-            at = np.arange(first, last)
+            at = np.arange(first, last) + 1
             values = np.zeros(last - first, np.int64)
             values[0] = n
         else:
-            # Between words there is no leaf: a neighbour takes the new tokens along.
-            at = np.array([min(first, max(0, len(starts) - 1))])
+            # Between words there is no leaf: the one before, whose region is done, takes the new tokens along.
+            at = np.array([first])
             values = tree.sums[tree.n + at] + n
         touched += tree.update(at, values)
         again += last - first
@@ -159,7 +160,7 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in rest] + [pa.array(c, pa.int64()) for c in columns], names=[*rest, *RESULT])
 
-    return source.mapInArrow(run, schema.schema)
+    return map_batches(source, run, schema.schema)
 
 
 def personal_edits(docs: DataFrame, label: str = "redacted") -> DataFrame:
@@ -186,4 +187,4 @@ def personal_edits(docs: DataFrame, label: str = "redacted") -> DataFrame:
                 out.append([{"start": a, "end": b, "text": label} for a, b in spans])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "edits"])
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

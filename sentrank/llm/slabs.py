@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import buckets, settle
 
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
 SLAB_ROWS = 1 << 16
-CHUNK_SYMBOLS = 1 << 20
+CHUNK_SYMBOLS = 1 << 18
 SLAB = "slab bigint, raw_bytes bigint, doc_ids binary, no_id binary, keys binary, offsets binary, text binary"
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _ZSTD = dict(codec="zstd")
@@ -130,15 +130,21 @@ class Spec:
 
 
 def anchored(slab: Slab, spec: Spec):
-    """Codes, document offsets, run starts, the anchor position of each run, and 48-bit hashes of the k symbols."""
+    """Codes, document offsets, run starts, number of each run's anchor, anchor positions and their 48-bit names.
+
+    Names are mixed again: anchors have the least hashes of their surroundings, names are spread evenly.
+    """
     codes, offsets = spec.symbols(slab.data, slab.offsets)
     n = len(codes) - spec.length + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return codes, offsets, none, none, np.empty(0, np.uint64)
+        return codes, offsets, none, none, none, np.empty(0, np.uint64)
     hashes = tb.gram_hashes(codes.astype(np.uint64) if spec.kind != np.uint8 else tb.BYTE_CODES[codes], spec.k)
-    ranked = (hashes & _HIGH) | np.arange(len(hashes), dtype=np.uint64)
-    anchor = (tb.sliding(ranked, spec.length - spec.k + 1) & ~_HIGH).astype(np.int64)
+    ranked = hashes & _HIGH
+    ranked |= np.arange(len(hashes), dtype=np.uint64)
+    ranked = tb.sliding(ranked, spec.length - spec.k + 1)
+    ranked &= ~_HIGH
+    anchor = ranked.view(np.int64)
     within = np.zeros(n + 1, np.int32)
     sizes = np.diff(offsets)
     fits = sizes >= spec.length
@@ -147,13 +153,15 @@ def anchored(slab: Slab, spec: Spec):
     np.add.at(within, offsets[:-1][fits], 1)
     np.add.at(within, offsets[:-1][fits] + sizes[fits] - spec.length + 1, -1)
     runs = np.flatnonzero(np.cumsum(within[:n]) > 0)
-    return codes, offsets, runs, anchor[runs], hashes >> np.uint64(16)
+    anchor = anchor[runs]
+    new = np.ones(len(runs), bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    at = anchor[new]
+    return codes, offsets, runs, np.cumsum(new) - 1, at, tb.mix(hashes[at]) >> np.uint64(16)
 
 
-def _distinct(slab: Slab, spec: Spec, offsets, anchors, hashes):
-    """Sorted distinct anchor hashes and which occur more than once here (in two documents, if only those count)."""
-    at = np.unique(anchors)
-    own = hashes[at]
+def _distinct(spec: Spec, offsets, at, own):
+    """Sorted distinct anchor names and which occur more than once here (in two documents, if only those count)."""
     doc = np.searchsorted(offsets, at, "right") - 1
     order = np.lexsort((doc, own)) if spec.by_document else np.argsort(own, kind="stable")
     own, doc = own[order], doc[order]
@@ -189,8 +197,8 @@ def shared_bits(slabs: DataFrame, spec: Spec, n_buckets: int) -> DataFrame:
 
     def send(batches):
         for slab in each_slab(batches):
-            _, offsets, _, anchors, hashes = anchored(slab, spec)
-            own, again = _distinct(slab, spec, offsets, anchors, hashes)
+            _, offsets, _, _, at, names = anchored(slab, spec)
+            own, again = _distinct(spec, offsets, at, names)
             bucket = _bucket(own, n_buckets)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             rows = [(int(bucket[a]), slab.number, _six(own[a:b]), np.packbits(again[a:b]).tobytes())
@@ -223,22 +231,22 @@ def pieces_of(slab: Slab, bits: list[dict], spec: Spec, n_buckets: int) -> pa.Ta
     Of equal pieces, only those of the least doc_id (or the first one, if places count) are sent: the others are known
     to be repeats.
     """
-    codes, offsets, runs, anchors, hashes = anchored(slab, spec)
-    own, _ = _distinct(slab, spec, offsets, anchors, hashes)
+    codes, offsets, runs, anchors, at, names = anchored(slab, spec)
+    own, _ = _distinct(spec, offsets, at, names)
     shared = np.zeros(len(own), bool)
     by_bucket = {b["bucket"]: b for b in bits}
     bucket = _bucket(own, n_buckets)
     for b, row in by_bucket.items():
         a, z = np.searchsorted(bucket, [b, b + 1])
         shared[a:z] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=row["n"]).astype(bool)
-    mine = shared[np.searchsorted(own, hashes[anchors])] if len(own) else np.empty(0, bool)
+    mine = shared[np.searchsorted(own, names)][anchors] if len(own) else np.empty(0, bool)
     runs, anchors = runs[mine], anchors[mine]
     if not len(runs):
         return batch_of([], PIECES)
     new = np.concatenate([[True], (np.diff(runs) > 1) | (np.diff(anchors) != 0)])
     start = runs[new]
     end = np.concatenate([runs[:-1][new[1:]], runs[-1:]]) + spec.length
-    anchor = hashes[anchors[new]]
+    anchor = names[anchors[new]]
     doc = np.searchsorted(offsets, start, "right") - 1
     raw = tb.BYTE_CODES[codes] if spec.kind == np.uint8 else codes
     content = tb.stretch_hashes(tb.prefix_sums(raw), start, end)
@@ -304,7 +312,7 @@ def resolve(group: pa.Table, spec: Spec) -> pa.Table:
     found = []
     at = 0
     while at < len(heads) - 1:
-        # Whole anchors of about a million symbols, one at least.
+        # Whole anchors of about ``CHUNK_SYMBOLS`` symbols, one at least.
         stop = max(at + 1, int(np.searchsorted(weight, weight[at] + CHUNK_SYMBOLS, "right")) - 1)
         some = order[heads[at]:heads[stop]]
         at = stop

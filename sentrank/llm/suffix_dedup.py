@@ -115,8 +115,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
     A null text is empty. Rows without doc_id have no place in the order: they stay whole and remove nothing. Rows that
     share a doc_id remove nothing from each other. Further columns are not read.
 
-    Bounds: a task holds a slab of some megabytes (or one longer document), or one bucket's pieces; suffix arrays are
-    built over about a million bytes of them at a time. A passage in any number of documents reaches its bucket at most
+    Bounds: a task holds a slab of a megabyte (or one longer document), or one bucket's pieces; suffix arrays are
+    built over some hundred thousand bytes of them at a time. A passage in any number of documents reaches its bucket at most
     once per slab for each document with the slab's least doc_id.
     """
     spec = Spec(min(ANCHOR, length), length, _symbols, np.uint8, True, find)

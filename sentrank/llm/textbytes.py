@@ -116,7 +116,8 @@ def prefix_sums(codes: np.ndarray) -> np.ndarray:
     """Sums of code * base**position, from which the hash of any stretch follows."""
     up, _ = POWERS.upto(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up[:len(codes)], out=sums[1:])
+    np.multiply(codes, up[:len(codes)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return sums
 
 
@@ -137,7 +138,13 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     sums = prefix_sums(codes)
     _, down = POWERS.upto(n)
-    return mix((sums[k:] - sums[:-k]) * down[:n])
+    h = sums[k:] - sums[:-k]
+    h *= down[:n]
+    del sums
+    h ^= h >> _SHIFT
+    h *= _MIX
+    h ^= h >> _SHIFT
+    return h
 
 
 def sliding(values: np.ndarray, width: int, combine=np.minimum) -> np.ndarray:

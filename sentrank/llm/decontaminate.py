@@ -42,13 +42,9 @@ class TestSet:
         self.deepest = int(counts.max()) if len(counts) else 0
         self.codes = np.concatenate([codes.astype(np.int64) + 1, np.zeros(self.deepest + 1, np.int64)])
         starts = np.flatnonzero(window)
-        # One query for each distinct suffix: equal windows of several items are searched once.
-        by_text: dict[bytes, int] = {}
-        group = np.empty(len(starts), np.int64)
-        for n, s in enumerate(starts):
-            text = codes[s:first[item[s] + 1]].tobytes()
-            group[n] = by_text.setdefault(text, len(by_text))
-        _, lead = np.unique(group, return_index=True)
+        # One query for each distinct suffix: equal ends of several items are searched once.
+        suffix = tb.stretch_hashes(tb.prefix_sums(hashes), starts, first[item[starts] + 1])
+        _, lead, group = np.unique(suffix, return_index=True, return_inverse=True)
         self.starts = starts[lead]
         self.need = need[starts[lead]]
         self.room = (first[item + 1] - np.arange(len(hashes)))[starts[lead]] if len(starts) else starts

@@ -120,34 +120,39 @@ def _order_statistics(
 def hex_cutoffs(df: DataFrame, key: Column, ranks: list[int], bound: int = 100_000) -> list[str | None]:
     """For each 1-based rank the key at that rank in ascending order of hex keys.
 
-    Keys must be uniform hex text (an MD5). One pass counts four-digit prefixes;
-    only prefixes that hold a wanted rank are looked at again, so any number of
-    rows is handled with small driver state.
+    Keys must be uniform hex text (an MD5). The keys are computed and settled once.
+    Each level counts the prefixes, four digits longer, of all branches that hold a
+    wanted rank in one pass; branches of few keys are read in one more.
     """
-    keys = df.select(key.alias("k"))
-    out: dict[int, str] = {}
+    keys = settle(df.select(key.alias("k")))
+    found: dict[int, str] = {}
     todo = [("", 0, {r for r in ranks if r > 0})]
-    while todo:
-        prefix, below, inside = todo.pop()
-        if not inside:
-            continue
-        here = keys.filter(F.col("k").startswith(prefix)) if prefix else keys
-        width = len(prefix) + 4
-        counts = (
-            here.groupBy(F.left("k", F.lit(width)).alias("p")).agg(F.count("*").alias("n"))
-            .orderBy("p").collect()
-        )
-        seen = below
-        for r in counts:
-            hit = {k for k in inside if seen < k <= seen + r["n"]}
-            if hit and (r["n"] <= bound or width >= 32):
-                rows = keys.filter(F.col("k").startswith(r["p"])).orderBy("k").limit(
-                    min(r["n"], max(hit) - seen)).collect()
-                out.update({k: rows[k - seen - 1]["k"] for k in hit})
-            elif hit:
-                todo.append((r["p"], seen, hit))
-            seen += r["n"]
-    return [out.get(r) for r in ranks]
+    width = 0
+    while any(wanted for _, _, wanted in todo):
+        inside = [p for p, _, _ in todo]
+        here = keys.filter(F.left("k", F.lit(width)).isin(inside)) if width else keys
+        width += 4
+        counts = here.groupBy(F.left("k", F.lit(width)).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+        few, many = [], []
+        for prefix, seen, wanted in todo:
+            for r in counts:
+                if r["p"].startswith(prefix):
+                    hit = {k for k in wanted if seen < k <= seen + r["n"]}
+                    if hit:
+                        (few if r["n"] <= bound else many).append((r["p"], seen, hit))
+                    seen += r["n"]
+        if few:
+            rows: dict[str, list[str]] = {}
+            for r in keys.filter(F.left("k", F.lit(width)).isin([p for p, _, _ in few])).collect():
+                rows.setdefault(r["k"][:width], []).append(r["k"])
+            for p, seen, hit in few:
+                ordered = sorted(rows[p])
+                found.update({k: ordered[k - seen - 1] for k in hit})
+        if width >= 32:
+            found.update({k: p for p, _, hit in many for k in hit})
+            break
+        todo = many
+    return [found.get(r) for r in ranks]
 
 
 def rank_rows(

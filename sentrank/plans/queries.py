@@ -448,9 +448,11 @@ def model_windows(spark, d):
 
 
 def knn_scored(spark, d, k=35):
+    """Training rows, their index, and the validation rows scored with it."""
     train, test = model_windows(spark, d)
-    s = neighbors.knn_score(test, train, FEATURES, k).withColumn("anomaly_score", F.round("anomaly_score", 9))
-    return train, settle(s)
+    index = neighbors.build_index(train, FEATURES)
+    s = explain.knn_scorer(index, FEATURES, k)(test).withColumn("anomaly_score", F.round("anomaly_score", 9))
+    return train, index, settle(s)
 
 
 @query
@@ -468,7 +470,7 @@ def knn_score_scaled(spark, d):
 
 @query
 def knn_topp(spark, d):
-    _, s = knn_scored(spark, d)
+    _, _, s = knn_scored(spark, d)
     return rank.top_p(s, 0.01).select("rank", "event_id", *r6("anomaly_score"))
 
 
@@ -492,9 +494,9 @@ def sweep_best_k(spark, d):
 
 @query
 def occlusion_topn(spark, d):
-    train, s = knn_scored(spark, d)
+    train, index, s = knn_scored(spark, d)
     top = rank.top_k(s, 10)
-    scorer = explain.knn_scorer(neighbors.build_index(train, FEATURES), FEATURES, 35)
+    scorer = explain.knn_scorer(index, FEATURES, 35)
     long = explain.occlusion(top, FEATURES, explain.feature_medians(train, FEATURES), scorer)
     return long.select("rank", "event_id", "feature",
                        *r6("score", "value", "baseline", "contribution", "abs_contribution"))
@@ -502,17 +504,15 @@ def occlusion_topn(spark, d):
 
 @query
 def reason_codes_neighbor(spark, d):
-    train, s = knn_scored(spark, d)
-    index = neighbors.build_index(train, FEATURES)
+    train, index, s = knn_scored(spark, d)
     codes = explain.reason_codes(rank.top_k(s, 10), index, FEATURES, 35, explain.feature_iqr(train, FEATURES))
     return codes.select("rank", "event_id", "feature", *r6("value", "neighbor_median", "scaled_contribution"))
 
 
 @query
 def reason_payload(spark, d):
-    train, s = knn_scored(spark, d)
+    train, index, s = knn_scored(spark, d)
     top = settle(rank.top_k(s, 10))
-    index = neighbors.build_index(train, FEATURES)
     scorer = explain.knn_scorer(index, FEATURES, 35)
     long = explain.occlusion(top, FEATURES, explain.feature_medians(train, FEATURES), scorer)
     flags = explain.context_flags(top, window(spark, d, "T1"))

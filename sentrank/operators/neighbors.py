@@ -5,14 +5,17 @@ The training side is cut into cells by a small binary-split tree grown on a
 bounded sample; every cell knows its exact bounding box and weight. Queries run
 in two rounds:
 
-1. each query meets one block of its own cell, which gives an upper bound on its
-   k-th distance;
-2. each query goes to exactly those cells whose box comes closer than the bound,
-   and the partial results are merged per query.
-
-Cells beyond ``block_rows`` are split into blocks on the training side and salted
-on the query side, so one task group is at most one block by one query chunk. The
-tree and the sample only steer efficiency: the result is exact for any of them.
+1. each query meets the nearest block of its own cell, which gives an upper bound on
+   its k-th distance;
+2. each query goes to exactly those blocks, of the cells, whose box comes closer than
+   the bound, and the partial results are merged per query.
+
+The number of cells is bounded, as their boxes are sent to every task. A cell beyond
+``block_rows`` vectors is cut further, by the task that owns it, into blocks with boxes
+of their own; these are a table that queries meet by cell, so a query visits the blocks
+near it however many there are. Queries of a cell are salted, so one task group is at
+most one block by one query chunk. Tree, sample and blocks only steer efficiency: the
+result is exact for any of them.
 """
 
 import math
@@ -96,6 +99,7 @@ class Index:
     weight: np.ndarray        # alerts per cell
     blocks: np.ndarray        # blocks per cell
     block_rows: int
+    boxes: DataFrame | None   # cell, block, lo, hi; None if every cell is one block
 
 
 _BEHIND_ID = "\x01"         # sorts before every character of an id
@@ -151,8 +155,47 @@ def build_index(train: DataFrame, features: list[str], block_rows: int = 2048,
     weight, blocks = np.zeros(tree.cells), np.ones(tree.cells, dtype=int)
     for c, r in facts.items():
         low[c], high[c], weight[c], blocks[c] = r["lo"], r["hi"], r["w"], -(-r["n"] // block_rows)
-    block = F.pmod(F.xxhash64("id", F.lit(7)), _pick(blocks, F.col("cell"))).cast("int")
-    return Index(celled.withColumn("block", block), names, tree, low, high, weight, blocks, block_rows)
+    rows, boxes = celled.withColumn("block", F.lit(0)), None
+    if blocks.max() > 1:
+        schema = T.StructType([*celled.schema.fields, T.StructField("block", T.IntegerType())])
+
+        def cut(f: pd.DataFrame) -> pd.DataFrame:
+            return f.assign(block=_cut_cell(f[names].to_numpy(dtype=float), block_rows))
+
+        rows = settle(celled.groupBy("cell").applyInPandas(cut, schema))
+        boxes = settle(rows.groupBy("cell", "block").agg(
+            F.array(*[F.min(c) for c in names]).alias("lo"), F.array(*[F.max(c) for c in names]).alias("hi")))
+        for r in boxes.groupBy("cell").agg(F.count("*").alias("n")).collect():
+            blocks[r["cell"]] = r["n"]
+    return Index(rows, names, tree, low, high, weight, blocks, block_rows, boxes)
+
+
+def _cut_cell(x: np.ndarray, block_rows: int) -> np.ndarray:
+    """Block of each vector: median splits along the widest column down to ``block_rows``."""
+    block, todo, n = np.zeros(len(x), dtype=np.int32), [np.arange(len(x))], 0
+    while todo:
+        rows = todo.pop()
+        part = x[rows]
+        spread = part.max(axis=0) - part.min(axis=0)
+        if len(rows) <= block_rows or not spread.max() > 0:
+            block[rows] = n
+            n += 1
+            continue
+        j = int(np.argmax(spread))
+        low = part[:, j] <= np.median(part[:, j])
+        if low.all():
+            low = part[:, j] < part[:, j].max()
+        todo += [rows[low], rows[~low]]
+    return block
+
+
+def _box_gap(names: list[str]) -> Column:
+    """Squared distance of a query to the nearest point of a block's box."""
+    total = F.lit(0.0)
+    for j, c in enumerate(names):
+        gap = F.greatest(F.col("lo")[j] - F.col(c), F.col(c) - F.col("hi")[j], F.lit(0.0))
+        total = total + gap * gap
+    return total
 
 
 def _cell_udf(tree: Tree):
@@ -274,10 +317,13 @@ def vector_join(queries: DataFrame, index: Index, features: list[str], k: int,
     vectors = settle(distinct.withColumns({
         "qid": vector_key([F.col(c) for c in names]), "cell": _cell_udf(index.tree)(F.struct(*names))}))
 
-    # round 1: one block of the own cell bounds the k-th distance
+    # round 1: the nearest block of the own cell bounds the k-th distance
     chunks = _chunks(vectors.groupBy("cell").agg(F.count("*").alias("n")), index, query_block_rows, one_block=True)
-    home = vectors.withColumn(
-        "block", F.pmod(F.xxhash64("qid", F.lit(13)), _pick(index.blocks, F.col("cell"))).cast("int"))
+    if index.boxes is None:
+        home = vectors.withColumn("block", F.lit(0))
+    else:
+        home = vectors.join(index.boxes, "cell", "left").groupBy("qid", "cell", *names).agg(
+            F.coalesce(F.min_by("block", _box_gap(names)), F.lit(0)).alias("block"))
 
     def bound(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q):
@@ -290,7 +336,7 @@ def vector_join(queries: DataFrame, index: Index, features: list[str], k: int,
     floats = ", ".join(f"{c} double" for c in names)
     bounded = _meet(home, index, chunks, bound, f"qid string, ub2 double, {floats}")
 
-    # round 2: the cells whose box is closer than the bound
+    # round 2: the cells, and of these the blocks, whose box is closer than the bound
     low, high, weight = index.low, index.high, index.weight
 
     def visits(frames):
@@ -307,7 +353,10 @@ def vector_join(queries: DataFrame, index: Index, features: list[str], k: int,
     visiting = settle(bounded.mapInPandas(visits, f"qid string, ub2 double, {floats}, cells array<int>"))
     there = visiting.select("qid", "ub2", *names, F.explode("cells").alias("cell"))
     chunks2 = _chunks(there.groupBy("cell").agg(F.count("*").alias("n")), index, query_block_rows)
-    there = there.withColumn("block", F.explode(F.sequence(F.lit(0), _pick(index.blocks, F.col("cell")) - 1)))
+    if index.boxes is None:
+        there = there.withColumn("block", F.lit(0))
+    else:
+        there = there.join(index.boxes, "cell").filter(_box_gap(names) <= F.col("ub2") * (1 + 1e-9) + 1e-9).drop("lo", "hi")
 
     # a far query may visit very many blocks: merge their results in two steps
     visited = int(index.blocks.sum())

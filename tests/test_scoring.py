@@ -35,6 +35,20 @@ def test_knn_equals_brute_force(spark, block_rows, copies, k):
         assert len(got["neighbors"]) == k
 
 
+@pytest.mark.parametrize("cells,block_rows,k", [(1, 16, 5), (3, 8, 40), (7, 4, 1)])
+def test_knn_with_cells_of_many_blocks(spark, monkeypatch, cells, block_rows, k):
+    """A bound on the number of cells leads to more blocks per cell, not to other results or to visits of all blocks."""
+    monkeypatch.setattr(neighbors, "MAX_CELLS", cells)
+    train, t = cloud(spark, 400, 1, "t", 30)
+    query, q = cloud(spark, 60, 2, "q", 20)
+    index = neighbors.build_index(train, NAMES, block_rows)
+    assert index.boxes.count() > cells and index.rows.groupBy("cell", "block").count().agg(F.max("count")).first()[0] <= block_rows
+    near = {r["event_id"]: r["dists"] for r in neighbors.knn_join(query, index, NAMES, k, query_block_rows=16).collect()}
+    for i, row in enumerate(q):
+        want = np.sort(np.sqrt(((t - row) ** 2).sum(axis=1)))[:k]
+        assert near[f"q{i:04d}"] == pytest.approx(want, abs=1e-9)
+
+
 def test_knn_far_query_and_too_many_neighbors(spark):
     train, t = cloud(spark, 200, 1, "t")
     query = spark.createDataFrame([("q", 1e7, -1e5, 3.0), ("n", None, float("nan"), 0.0)],

@@ -127,8 +127,25 @@ def _sign(words: int, percent: int, n_buckets: int):
     return run
 
 
-def _meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Of each signature's documents, links of the others with the first."""
+def _meet(n_buckets: int):
+    """Of each signature's documents, links of the others with the first, dealt on by link."""
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        links = _first_links(group)
+        to = (tb.mix(tb.mix(links[:, 0].view(np.uint64)) ^ links[:, 1].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(n_buckets + 1))
+        return batch_of([(b, squeeze(links[order[cuts[b]:cuts[b + 1]]].ravel())) for b in np.unique(to).tolist()], BLOBS)
+    return run
+
+
+def _once(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Each link once: near copies have many signatures in common."""
+    links = np.concatenate([unsqueeze(v, np.int64)[0] for v in group["sets"].to_pylist()]).reshape(-1, 2)
+    links = np.unique(links, axis=0)
+    return pa.table({"u": pa.array(links[:, 0], pa.int64()), "v": pa.array(links[:, 1], pa.int64())})
+
+
+def _first_links(group: pa.Table) -> np.ndarray:
     signs, vertices = [], []
     for slab, value in zip(group["slab"].to_pylist(), group["signs"].to_pylist(), strict=True):
         six, of = unsqueeze(value, np.uint8, np.uint16)
@@ -141,8 +158,7 @@ def _meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     sign, vertex = sign[order], vertex[order]
     head = np.concatenate([[True], sign[1:] != sign[:-1]])
     lead = vertex[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    links = np.unique(np.stack([lead, vertex], 1)[lead != vertex], axis=0)
-    return pa.table({"u": pa.array(links[:, 0], pa.int64()), "v": pa.array(links[:, 1], pa.int64())})
+    return np.ascontiguousarray(np.unique(np.stack([lead, vertex], 1)[lead != vertex], axis=0))
 
 
 class Lists:
@@ -272,7 +288,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, unit_shingles: int
     n = buckets(spark)
     slabs = to_slabs(docs)
     sets = settle(slabs.mapInArrow(_describe(words), SETS), "sets")
-    candidates = slabs.mapInArrow(_sign(words, percent, n), SIGNS).groupBy("bucket").applyInArrow(_meet, EDGES)
+    candidates = slabs.mapInArrow(_sign(words, percent, n), SIGNS).groupBy("bucket").applyInArrow(
+        _meet(n), BLOBS).groupBy("bucket").applyInArrow(_once, EDGES)
     near = components(candidates)
     classes = sets.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
         F.min("vertex").alias("rep"), F.min("doc_id").alias("least"),

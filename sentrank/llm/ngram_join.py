@@ -14,6 +14,7 @@ from .slabs import Slab, batch_of, each_slab, squeeze, text_hash, to_slabs, unsq
 UNIT_SHINGLES = 8 << 20
 SETS = "vertex bigint, doc_id bigint, text_hash bigint, n_shingles bigint, d1 bigint, d2 bigint"
 SIGNS = "bucket int, slab bigint, signs binary"
+COUNTS = "slab bigint, bucket int, counts binary"
 EDGES = "u bigint, v bigint"
 BLOBS = "bucket int, sets binary"
 _ROW_BITS = 20
@@ -60,23 +61,26 @@ def size_classes(most: int, percent: int) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, doc: np.ndarray, first: np.ndarray, chosen: np.ndarray, percent: int):
-    """Signatures of the ``chosen`` documents such that linked, unequal sets have one in common.
+    """Signatures of the ``chosen`` documents such that linked, unequal sets have some in common.
 
     Sets of a size class with at most D shingles that only one of them has are cut, by hash, into more than D parts:
-    some part that is not empty is the same in both. Each set takes part at the level of its own class and at that of
-    the class below. A set with too few filled parts also sends its empty ones, which closes the gap between two such.
+    of f filled parts of a set, f - D at least are the same in the other. Each set takes part at the level of its own
+    class and at that of the class below. A set with too few filled parts also sends its empty ones, which closes the
+    gap between two such. Returns the signatures, their group (two for each document: 2 * document + step) and, for
+    each group, how many of its signatures may be left out.
     """
     sizes = np.diff(first)
     bounds = size_classes(int(sizes.max(initial=1)), percent)
     own = np.searchsorted(bounds, sizes, "right") - 1
     signs, of = [], []
+    spare = np.zeros(2 * len(sizes), np.int64)
     for step in (0, 1):
         level = own - step
         apart = (100 - percent) * (bounds[np.maximum(level, 0) + 1] - 1) // percent
         use = chosen & (level >= 0) & (apart > 0) & (sizes > 0)
         if not use.any():
             continue
-        parts = np.where(use, (11 * (apart + 1) + 9) // 10 + 2, 0)
+        parts = np.where(use, (12 * (apart + 1) + 9) // 10 + 3, 0)
         base = np.cumsum(parts) - parts
         mine = use[doc]
         h, d = values[mine], doc[mine]
@@ -86,14 +90,16 @@ def signatures(values: np.ndarray, doc: np.ndarray, first: np.ndarray, chosen: n
         filled[base[d] + part] = True
         owner = np.repeat(np.arange(len(parts)), parts)
         number = np.arange(len(total)) - base[owner]
-        few = np.bincount(owner[filled], minlength=len(parts)) <= apart
+        count = np.bincount(owner[filled], minlength=len(parts))
+        few = count <= apart
+        spare[step::2] = np.where(use, np.maximum(count - apart - 1, 0), 0)
         send = filled | few[owner]
         place = tb.mix((level[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + np.uint64(1))
         signs.append(tb.mix(total + place)[send] >> np.uint64(16))
-        of.append(owner[send])
+        of.append(2 * owner[send] + step)
     if not signs:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(signs), np.concatenate(of)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), spare
+    return np.concatenate(signs), np.concatenate(of), spare
 
 
 def _describe(words: int):
@@ -107,26 +113,78 @@ def _describe(words: int):
     return run
 
 
+def _signed(slab: Slab, words: int, percent: int, n_buckets: int):
+    """Signatures of a slab in order of their buckets, one set of each content; groups, spare ones, bucket bounds."""
+    values, doc, first = shingle_sets(slab, words)
+    d1, d2 = digests(values, doc, len(slab.ids))
+    chosen = np.zeros(len(slab.ids), bool)
+    chosen[np.unique(np.stack([d1, d2, np.diff(first)], 1), axis=0, return_index=True)[1]] = True
+    signs, of, spare = signatures(values, doc, first, chosen, percent)
+    to = ((signs >> np.uint64(16)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return signs[order], of[order], spare, np.searchsorted(to[order], np.arange(n_buckets + 1))
+
+
+def _six(signs: np.ndarray) -> np.ndarray:
+    return signs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+
+
+def _from_six(six: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(six) // 6, 8), np.uint8)
+    wide[:, :6] = six.reshape(-1, 6)
+    return wide.reshape(-1).view("<u8")
+
+
 def _sign(words: int, percent: int, n_buckets: int):
     def run(batches):
         for slab in each_slab(batches):
-            values, doc, first = shingle_sets(slab, words)
-            d1, d2 = digests(values, doc, len(slab.ids))
-            chosen = np.zeros(len(slab.ids), bool)
-            chosen[np.unique(np.stack([d1, d2, np.diff(first)], 1), axis=0, return_index=True)[1]] = True
-            signs, of = signatures(values, doc, first, chosen, percent)
-            to = ((signs >> np.uint64(16)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(n_buckets + 1))
-            rows = []
-            for b in np.unique(to).tolist():
-                some = order[cuts[b]:cuts[b + 1]]
-                six = signs[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((b, slab.number, squeeze(six.ravel(), of[some].astype(np.uint16))))
+            signs, _, _, cuts = _signed(slab, words, percent, n_buckets)
+            rows = [(b, slab.number, squeeze(_six(signs[cuts[b]:cuts[b + 1]])))
+                    for b in np.flatnonzero(np.diff(cuts)).tolist()]
             yield from batch_of(rows, SIGNS).to_batches()
     return run
 
 
+def _count(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """For each slab how often each of its signatures occurs in all (255 stands for more)."""
+    parts = [_from_six(unsqueeze(v, np.uint8)[0]) for v in group["signs"].to_pylist()]
+    _, which, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    found = np.split(np.minimum(n, 255).astype(np.uint8)[which], np.cumsum([len(p) for p in parts])[:-1])
+    return batch_of([(s, b, squeeze(c)) for s, b, c in zip(
+        group["slab"].to_pylist(), group["bucket"].to_pylist(), found, strict=True) if (c > 1).any()], COUNTS)
+
+
+def _choose(words: int, percent: int, n_buckets: int):
+    """The signatures of a slab that are sent on, with their documents.
+
+    Linked sets have more signatures in common than either may spare. So each leaves out its most frequent ones, in
+    one order for all: the rarest common one stays in both. What occurs once links nothing. Passages that many
+    documents quote fill frequent signatures and are gone after this.
+    """
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return batch_of([], SIGNS)
+        slab = Slab.read(left.to_pylist()[0])
+        signs, of, spare, cuts = _signed(slab, words, percent, n_buckets)
+        counts = np.ones(len(signs), np.uint8)
+        for r in right.to_pylist():
+            counts[cuts[r["bucket"]]:cuts[r["bucket"] + 1]] = unsqueeze(r["counts"], np.uint8)[0]
+        order = np.lexsort((signs, counts, of))
+        size = np.bincount(of, minlength=len(spare))
+        end = np.cumsum(size)
+        from_top = np.empty(len(signs), np.int64)
+        from_top[order] = end[of[order]] - 1 - np.arange(len(signs))
+        keep = (from_top >= spare[of]) & (counts > 1)
+        rows = []
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = slice(cuts[b], cuts[b + 1])
+            some = keep[mine]
+            if some.any():
+                rows.append((b, slab.number, squeeze(_six(signs[mine][some]), (of[mine][some] >> 1).astype(np.uint16))))
+        return batch_of(rows, SIGNS)
+    return run
+
+
 def _meet(n_buckets: int):
     """Of each signature's documents, links of the others with the first, dealt on by link."""
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -139,19 +197,32 @@ def _meet(n_buckets: int):
 
 
 def _once(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Each link once: near copies have many signatures in common."""
-    links = np.concatenate([unsqueeze(v, np.int64)[0] for v in group["sets"].to_pylist()]).reshape(-1, 2)
-    links = np.unique(links, axis=0)
-    return pa.table({"u": pa.array(links[:, 0], pa.int64()), "v": pa.array(links[:, 1], pa.int64())})
+    """A bucket's links, each vertex once: near copies have many signatures in common."""
+    return stars(np.concatenate([unsqueeze(v, np.int64)[0] for v in group["sets"].to_pylist()]).reshape(-1, 2))
+
+
+def stars(links: np.ndarray) -> pa.Table:
+    """Every vertex of some links with the least vertex that these links reach from it."""
+    vertices, at = np.unique(links, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    low = np.arange(len(vertices))
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(low, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (low[low] != low).any():
+            low = low[low]
+    far = np.flatnonzero(low != np.arange(len(low)))
+    return pa.table({"u": pa.array(vertices[far], pa.int64()), "v": pa.array(vertices[low[far]], pa.int64())})
 
 
 def _first_links(group: pa.Table) -> np.ndarray:
     signs, vertices = [], []
     for slab, value in zip(group["slab"].to_pylist(), group["signs"].to_pylist(), strict=True):
         six, of = unsqueeze(value, np.uint8, np.uint16)
-        wide = np.zeros((len(of), 8), np.uint8)
-        wide[:, :6] = six.reshape(-1, 6)
-        signs.append(wide.reshape(-1).view("<u8"))
+        signs.append(_from_six(six))
         vertices.append((slab << _ROW_BITS) + of.astype(np.int64))
     sign, vertex = np.concatenate(signs), np.concatenate(vertices)
     order = np.lexsort((vertex, sign))
@@ -254,15 +325,15 @@ def _verify(percent: int):
         first = np.cumsum(size) - size
         order = np.argsort(unit, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(unit[order]) != 0, [True]]))
-        u, v = [], []
+        links = [np.empty((0, 2), np.int64)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             some = order[a:b]
             own = np.cumsum(size[some]) - size[some]
             at = np.repeat(first[some] - own, size[some]) + np.arange(size[some].sum())
-            for x, y in links_of(values[at], np.concatenate([own, [len(at)]]), percent):
-                u.append(vertex[some[x]])
-                v.append(vertex[some[y]])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            found = links_of(values[at], np.concatenate([own, [len(at)]]), percent)
+            if found:
+                links.append(vertex[some[np.array(found)]])
+        return stars(np.concatenate(links))
     return run
 
 
@@ -274,8 +345,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, unit_shingles: int
     ``n_shingles``, ``component_id`` (the least doc_id that can be reached by links) and ``first`` (it stands for its
     component).
 
-    Steps: equal sets are one class throughout. Signatures (see ``signatures``) that linked sets must have in common
-    give groups of candidates, joined into candidate components. Each of these is searched by DivideSkip over inverted
+    Steps: equal sets are one class throughout. Signatures (see ``signatures``) that linked sets must have in common,
+    without the most frequent ones (see ``_choose``), give groups of candidates, joined into candidate components. Each of these is searched by DivideSkip over inverted
     lists; every set is searched once, among the sets not yet reached, so a large group of near copies is no list of
     pairs. A candidate component beyond ``unit_shingles`` shingles is cut into blocks, and each two blocks meet in a
     task of their own. The links found are joined into components again.
@@ -288,8 +359,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, unit_shingles: int
     n = buckets(spark)
     slabs = to_slabs(docs)
     sets = settle(slabs.mapInArrow(_describe(words), SETS), "sets")
-    candidates = slabs.mapInArrow(_sign(words, percent, n), SIGNS).groupBy("bucket").applyInArrow(
-        _meet(n), BLOBS).groupBy("bucket").applyInArrow(_once, EDGES)
+    counts = slabs.mapInArrow(_sign(words, percent, n), SIGNS).groupBy("bucket").applyInArrow(_count, COUNTS)
+    signs = slabs.groupBy("slab").cogroup(counts.groupBy("slab")).applyInArrow(_choose(words, percent, n), SIGNS)
+    candidates = signs.groupBy("bucket").applyInArrow(_meet(n), BLOBS).groupBy("bucket").applyInArrow(_once, EDGES)
     near = components(candidates)
     classes = sets.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
         F.min("vertex").alias("rep"), F.min("doc_id").alias("least"),

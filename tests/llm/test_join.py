@@ -90,8 +90,9 @@ def test_linked_sets_share_a_signature():
         if 100 * same < 85 * (len(a) + len(b) - same) or np.array_equal(a, b):
             continue
         values, doc = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
-        signs, of = ngram_join.signatures(values, doc, np.array([0, len(a), len(values)]), np.ones(2, bool), 85)
-        assert np.intersect1d(signs[of == 0], signs[of == 1]).size
+        signs, of, spare = ngram_join.signatures(values, doc, np.array([0, len(a), len(values)]), np.ones(2, bool), 85)
+        common = max(((np.intersect1d(signs[of == x], signs[of == 2 + y]).size, x, y) for x in (0, 1) for y in (0, 1)))
+        assert common[0] > max(spare[common[1]], spare[2 + common[2]])
 
 
 def test_components_of_edges(spark):

@@ -1,13 +1,16 @@
 """Isolation forest grown and scored by Spark.
 
 Training rows are folded to distinct vectors with counts; every tree draws a
-Poisson bootstrap of them. Nodes with more vectors than one task should hold are
-split level by level from aggregated minima and maxima; whatever is small enough
-is finished inside one task per (tree, node). The model is a table of nodes in
-heap numbering (root 1, children 2i and 2i+1).
+Poisson bootstrap of them. Where all vectors fit into one task, they are sent to
+every worker and a task draws and grows whole trees, so no sample is shuffled.
+Beyond that, nodes with more vectors than one task should hold are split level by
+level from aggregated minima and maxima; whatever is small enough is finished
+inside one task per (tree, node). The model is a table of nodes in heap numbering
+(root 1, children 2i and 2i+1).
 """
 
 import math
+from functools import lru_cache
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,17 +73,22 @@ def _poisson(rate: np.ndarray, h: np.ndarray, i: np.ndarray | int) -> np.ndarray
     return np.where(rate > 30.0, np.maximum(np.rint(rate + np.sqrt(rate) * normal), 0.0), out).astype(np.int64)
 
 
+def _sparse_draws(rate: np.ndarray, h: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, tree) of every draw of vectors with few draws in all: their number first, then a tree for each."""
+    sparse = np.nonzero(rate * trees < 50.0)[0]
+    count = _poisson(rate[sparse] * trees, h[sparse], 0)
+    row = np.repeat(sparse, count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, (_uniform(h[row], nth + 1) * trees).astype(np.int32)
+
+
 def _members(vectors: DataFrame, names: list[str], trees: int, share: float, seed: int) -> DataFrame:
     """(tree, node 1, vector, draws): with-replacement samples of an expected ``share`` of all rows."""
     def draw(frames):
         for f in frames:
             h = f["h"].to_numpy().astype(np.uint64)
             rate = f["w"].to_numpy(dtype=float) * share
-            sparse = np.nonzero(rate * trees < 50.0)[0]
-            count = _poisson(rate[sparse] * trees, h[sparse], 0)
-            row = np.repeat(sparse, count)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            tree = (_uniform(h[row], nth + 1) * trees).astype(np.int32)
+            row, tree = _sparse_draws(rate, h, trees)
             parts = [(row, tree, np.ones(len(row), dtype=np.int64))]
             dense = np.nonzero(rate * trees >= 50.0)[0]
             for s in range(0, len(dense), 1024):
@@ -95,14 +103,53 @@ def _members(vectors: DataFrame, names: list[str], trees: int, share: float, see
             yield out
 
     floats = ", ".join(f"{c} double" for c in names)
-    hashed = vectors.withColumn("h", F.xxhash64("id", F.lit(seed)))
-    drawn = hashed.mapInPandas(draw, f"tree int, node long, {floats}, n long")
+    drawn = _hashed(vectors, seed).mapInPandas(draw, f"tree int, node long, {floats}, n long")
     return drawn.groupBy("tree", "node", *names).agg(F.sum("n").alias("n"))
 
 
+def _hashed(vectors: DataFrame, seed: int) -> DataFrame:
+    return vectors.withColumn("h", F.xxhash64("id", F.lit(seed)))
+
+
+def _whole_trees(vectors: DataFrame, names: list[str], trees: int, share: float, seed: int, n_features: int,
+                 max_depth: int) -> DataFrame:
+    """All nodes of all trees, each tree drawn and grown by one task; the draws are those of ``_members``."""
+    spark = vectors.sparkSession
+    f = _hashed(vectors, seed).select("h", "w", *names).toArrow()
+    h, w = f["h"].to_numpy().astype(np.uint64), f["w"].to_numpy().astype(float)
+    sent = spark.sparkContext.broadcast((np.stack([f[c].to_numpy() for c in names], axis=1).astype(float), h, w * share))
+
+    def grow(frames):
+        x, h, rate = sent.value
+        row, of = _sparse_draws(rate, h, trees)
+        dense = np.nonzero(rate * trees >= 50.0)[0]
+        for f in frames:
+            for tree in f["id"].tolist():
+                n = np.bincount(row[of == tree], minlength=len(x))
+                n[dense] = _poisson(rate[dense], h[dense], tree + 1)
+                some = np.nonzero(n)[0]
+                if len(some):
+                    yield pd.DataFrame(_finish(x[some], n[some], tree, 1, seed, n_features, max_depth),
+                                       columns=["tree", "node", "feature", "threshold", "path"])
+
+    tasks = min(trees, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, trees, 1, tasks).mapInPandas(grow, NODE_SCHEMA)
+
+
+@lru_cache(maxsize=4096)
+def _subset(seed: int, tree: int, width: int, n_features: int) -> np.ndarray:
+    """The features a tree may split on."""
+    return np.random.default_rng([seed, tree]).choice(width, n_features, replace=False)
+
+
+@lru_cache(maxsize=1 << 16)
+def _leaf_path(size: int) -> float:
+    return float(average_path(size))
+
+
 def _choose(seed: int, tree: int, node: int, low: np.ndarray, high: np.ndarray, n_features: int):
     """The node's random feature (of the tree's own subset) and threshold, or None if nothing varies."""
-    subset = np.random.default_rng([seed, tree]).choice(len(low), n_features, replace=False)
+    subset = _subset(seed, tree, len(low), n_features)
     usable = subset[high[subset] > low[subset]]
     if not len(usable):
         return None
@@ -125,7 +172,7 @@ def _finish(x: np.ndarray, w: np.ndarray, tree: int, start: int, seed: int, n_fe
         if size > 1 and _depth(node) < max_depth:
             pick = _choose(seed, tree, node, part.min(axis=0), part.max(axis=0), n_features)
         if pick is None:
-            out.append((tree, node, -1, 0.0, _depth(node) + float(average_path(size))))
+            out.append((tree, node, -1, 0.0, _depth(node) + _leaf_path(size)))
             continue
         j, cut = pick
         low = part[:, j] <= cut
@@ -145,9 +192,13 @@ def fit(train: DataFrame, features: list[str], trees: int = 600, max_samples: fl
     sample = min(max_samples, total) if isinstance(max_samples, int) else max(1, int(max_samples * total))
     max_depth = math.ceil(math.log2(max(sample, 2)))
     n_features = max(1, int(max_features * len(names)))
+    n_vectors = vectors.count()
+    if n_vectors <= task_vectors:
+        nodes = _whole_trees(vectors, names, trees, sample / total, seed, n_features, max_depth)
+        return Forest(settle(nodes), features, trees, int(sample))
     rows = _members(vectors, names, trees, sample / total, seed)
     done: list[DataFrame] = []
-    if min(sample, vectors.count()) > task_vectors:
+    if min(sample, n_vectors) > task_vectors:
         rows, done = _split_large(settle(rows), names, seed, n_features, max_depth, task_vectors)
 
     def grow(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
@@ -197,12 +248,16 @@ def _split_large(rows: DataFrame, names: list[str], seed: int, n_features: int,
 def _linked(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
     """Node arrays with child positions and the position of every root."""
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
-    place = nodes[["tree", "node"]].assign(at=np.arange(len(nodes)))
     arrays = {c: nodes[c].to_numpy() for c in ("feature", "threshold", "path")}
+    node = nodes["node"].to_numpy()
+    root = np.nonzero(node == 1)[0]
+    inner = np.nonzero(arrays["feature"] >= 0)[0]
     for side, name in ((0, "left"), (1, "right")):
-        child = nodes[["tree"]].assign(node=nodes["node"] * 2 + side)
-        arrays[name] = child.merge(place, on=["tree", "node"], how="left")["at"].fillna(-1).to_numpy(dtype=np.int64)
-    arrays["root"] = np.nonzero(nodes["node"].to_numpy() == 1)[0]
+        arrays[name] = np.full(len(nodes), -1, np.int32)
+        for a, b in zip(root.tolist(), [*root[1:].tolist(), len(nodes)]):
+            mine = inner[np.searchsorted(inner, a):np.searchsorted(inner, b)]
+            arrays[name][mine] = a + np.searchsorted(node[a:b], node[mine] * 2 + side)
+    arrays["root"] = root
     return arrays
 
 
@@ -237,7 +292,7 @@ def score(df: DataFrame, forest: Forest, broadcast_nodes: int = BROADCAST_NODES)
     total, rows = F.lit(0.0), df.drop("anomaly_score")
     for g in range(groups):
         part = forest.nodes.filter(F.pmod(F.xxhash64("tree"), F.lit(groups)) == g)
-        model = context.broadcast(_linked(part.toPandas()))
+        model = context.broadcast(_linked(part.toArrow().to_pandas()))
         total = total + _paths_udf(model)(F.struct(*matrix(rows, forest.features)))
         if g < groups - 1:
             rows = settle(rows.withColumn("_paths", total))

@@ -576,7 +576,7 @@ def records_json(spark, d):
 @query
 def iforest_score(spark, d):
     train, test = model_windows(spark, d)
-    model = forest.fit(train, FEATURES, trees=100, max_samples=256)
+    model = forest.fit(train, FEATURES)
     return forest.score(test, model).select("event_id", *r6("anomaly_score"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import textbytes as tb
-from .slabs import Pieces, Slab, Spec, doubled_ranks, repeated, smaller_neighbours
+from .slabs import HEAVY_SYMBOLS, Pieces, Slab, Spec, doubled_ranks, repeated, smaller_neighbours
 from .suffix_dedup import content_groups, edges, select, windows
 
 WINDOW = 20
@@ -119,7 +119,8 @@ def _finish(texts: bool):
     return finish
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True,
+                   heavy: int = HEAVY_SYMBOLS) -> DataFrame:
     """What is left of every document (doc_id, text) without words inside runs that also start earlier.
 
     Words are runs of anything but ASCII blanks. Each word inside a run of ``window`` words whose sequence also starts
@@ -132,5 +133,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
 
     Bounds: as for ``suffix_dedup``; words are compared by 64-bit hashes of their bytes.
     """
-    spec = Spec(min(ANCHOR, window), window, _symbols, np.uint64, False, find)
+    spec = Spec(min(ANCHOR, window), window, _symbols, np.uint64, False, find, heavy)
     return repeated(docs, spec, _finish(texts), SCHEMA)

@@ -7,6 +7,9 @@ Stretches are found as follows. Every run of ``length`` symbols (bytes, words) h
 least hash in it, the leftmost at ties. Equal runs hold equal anchors. Slabs send the hashes of their anchors to
 buckets and learn, one bit each, which of them occur elsewhere too. Around those, runs that share one anchor are sent
 as one piece to the bucket of the anchor, so equal runs meet there, and nothing else of the text moves.
+
+An anchor with very many pieces would fill one task with surroundings that differ. Its runs are dealt one by one, by
+the hash of the whole run, with the least place of each slab: a run is one short entry per slab, whatever it is part of.
 """
 
 from collections.abc import Callable, Iterator
@@ -24,6 +27,8 @@ from .common import buckets, settle
 SLAB_BYTES = 1 << 20
 SLAB_ROWS = 1 << 16
 CHUNK_SYMBOLS = 1 << 18
+#: Symbols around one anchor beyond which its runs are dealt by themselves.
+HEAVY_SYMBOLS = 1 << 20
 SLAB = "slab bigint, raw_bytes bigint, doc_ids binary, no_id binary, keys binary, offsets binary, text binary"
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _ZSTD = dict(codec="zstd")
@@ -127,6 +132,24 @@ class Spec:
     by_document: bool
     #: Pieces of one chunk to a mask of the run starts that came before: see suffix_dedup and rlz_dedup.
     find: Callable
+    heavy: int = HEAVY_SYMBOLS
+
+
+def run_starts(slab: Slab, spec: Spec, offsets: np.ndarray, n: int) -> np.ndarray:
+    """Positions, of ``n`` in a slab, from which a whole run fits into a document that takes part."""
+    within = np.zeros(n + 1, np.int32)
+    sizes = np.diff(offsets)
+    fits = sizes >= spec.length
+    if spec.by_document:
+        fits &= ~slab.no_id
+    np.add.at(within, offsets[:-1][fits], 1)
+    np.add.at(within, offsets[:-1][fits] + sizes[fits] - spec.length + 1, -1)
+    return np.flatnonzero(np.cumsum(within[:n]) > 0)
+
+
+def content_hashes(codes: np.ndarray, spec: Spec, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    raw = tb.BYTE_CODES[codes] if spec.kind == np.uint8 else codes
+    return tb.stretch_hashes(tb.prefix_sums(raw), start, end)
 
 
 def anchored(slab: Slab, spec: Spec):
@@ -145,14 +168,7 @@ def anchored(slab: Slab, spec: Spec):
     ranked = tb.sliding(ranked, spec.length - spec.k + 1)
     ranked &= ~_HIGH
     anchor = ranked.view(np.int64)
-    within = np.zeros(n + 1, np.int32)
-    sizes = np.diff(offsets)
-    fits = sizes >= spec.length
-    if spec.by_document:
-        fits &= ~slab.no_id
-    np.add.at(within, offsets[:-1][fits], 1)
-    np.add.at(within, offsets[:-1][fits] + sizes[fits] - spec.length + 1, -1)
-    runs = np.flatnonzero(np.cumsum(within[:n]) > 0)
+    runs = run_starts(slab, spec, offsets, n)
     anchor = anchor[runs]
     new = np.ones(len(runs), bool)
     new[1:] = anchor[1:] != anchor[:-1]
@@ -161,14 +177,14 @@ def anchored(slab: Slab, spec: Spec):
 
 
 def _distinct(spec: Spec, offsets, at, own):
-    """Sorted distinct anchor names and which occur more than once here (in two documents, if only those count)."""
+    """Sorted distinct anchor names, which occur more than once here (in two documents, if only those count), how often."""
     doc = np.searchsorted(offsets, at, "right") - 1
     order = np.lexsort((doc, own)) if spec.by_document else np.argsort(own, kind="stable")
     own, doc = own[order], doc[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
     last = np.concatenate([first[1:], [len(own)]]) - 1 if len(own) else first
     again = (doc[last] != doc[first]) if spec.by_document else last > first
-    return own[first], again
+    return own[first], again, (last - first + 1).astype(np.uint32)
 
 
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -176,10 +192,10 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-ANCHORS = "bucket int, slab bigint, hashes binary, again binary"
-BITS = "slab bigint, bucket int, n bigint, bits binary"
-PIECES = "bucket int, slab bigint, pieces binary, known binary"
-KNOWN = "slab bigint, known binary"
+ANCHORS = "bucket int, slab bigint, hashes binary, again binary, counts binary"
+BITS = "slab bigint, bucket int, n bigint, bits binary, heavy binary"
+PIECES = "bucket int, slab bigint, pieces binary, runs binary, known binary"
+KNOWN = "slab bigint, known binary, runs binary"
 
 
 def _six(hashes: np.ndarray) -> bytes:
@@ -193,15 +209,19 @@ def _from_six(value: bytes) -> np.ndarray:
 
 
 def shared_bits(slabs: DataFrame, spec: Spec, n_buckets: int) -> DataFrame:
-    """For each slab and bucket, one bit for each of the slab's distinct anchors: does it occur elsewhere too?"""
+    """For each slab and bucket, one bit for each of the slab's distinct anchors: does it occur elsewhere too?
+
+    Where there are any, a second one says which have more than ``spec.heavy`` symbols around them.
+    """
 
     def send(batches):
         for slab in each_slab(batches):
             _, offsets, _, _, at, names = anchored(slab, spec)
-            own, again = _distinct(spec, offsets, at, names)
+            own, again, counts = _distinct(spec, offsets, at, names)
             bucket = _bucket(own, n_buckets)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
-            rows = [(int(bucket[a]), slab.number, _six(own[a:b]), np.packbits(again[a:b]).tobytes())
+            rows = [(int(bucket[a]), slab.number, _six(own[a:b]), np.packbits(again[a:b]).tobytes(),
+                     squeeze(counts[a:b]) if (counts[a:b] > 1).any() else None)
                     for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True) if b > a]
             yield from batch_of(rows, ANCHORS).to_batches()
 
@@ -211,14 +231,19 @@ def shared_bits(slabs: DataFrame, spec: Spec, n_buckets: int) -> DataFrame:
         hashes = np.concatenate([_from_six(b) for b in blobs])
         again = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n)
                                 for f, n in zip(flags, sizes, strict=True)])
+        counts = np.concatenate([np.ones(n, np.int64) if c is None else unsqueeze(c, np.uint32)[0].astype(np.int64)
+                                 for c, n in zip(group["counts"].to_pylist(), sizes, strict=True)])
         order = np.argsort(hashes, kind="stable")
         ranked = hashes[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         many = np.diff(np.concatenate([first, [len(ranked)]]))
         shared = np.empty(len(ranked), bool)
         shared[order] = np.repeat((many > 1) | (np.add.reduceat(again[order].astype(np.int64), first) > 0), many)
+        heavy = np.empty(len(ranked), bool)  # a piece has up to 2 * length - k symbols
+        heavy[order] = np.repeat(np.add.reduceat(counts[order], first) * (2 * spec.length - spec.k) > spec.heavy, many)
         cuts = np.concatenate([[0], np.cumsum(sizes)])
-        return batch_of([(s, k, n, np.packbits(shared[a:a + n]).tobytes()) for s, k, n, a in zip(
+        return batch_of([(s, k, n, np.packbits(shared[a:a + n]).tobytes(),
+                          np.packbits(heavy[a:a + n]).tobytes() if heavy[a:a + n].any() else None) for s, k, n, a in zip(
             group["slab"].to_pylist(), group["bucket"].to_pylist(), sizes, cuts[:-1], strict=True)
             if shared[a:a + n].any()], BITS)
 
@@ -232,37 +257,44 @@ def pieces_of(slab: Slab, bits: list[dict], spec: Spec, n_buckets: int) -> pa.Ta
     to be repeats.
     """
     codes, offsets, runs, anchors, at, names = anchored(slab, spec)
-    own, _ = _distinct(spec, offsets, at, names)
-    shared = np.zeros(len(own), bool)
+    own, _, _ = _distinct(spec, offsets, at, names)
+    shared, heavy = np.zeros(len(own), bool), np.zeros(len(own), bool)
     by_bucket = {b["bucket"]: b for b in bits}
     bucket = _bucket(own, n_buckets)
     for b, row in by_bucket.items():
         a, z = np.searchsorted(bucket, [b, b + 1])
         shared[a:z] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=row["n"]).astype(bool)
-    mine = shared[np.searchsorted(own, names)][anchors] if len(own) else np.empty(0, bool)
+        if row["heavy"] is not None:
+            heavy[a:z] = np.unpackbits(np.frombuffer(row["heavy"], np.uint8), count=row["n"]).astype(bool)
+    name = np.searchsorted(own, names)
+    mine = shared[name][anchors] if len(own) else np.empty(0, bool)
+    single = mine & heavy[name][anchors] if len(own) else mine
+    dealt, known = _dealt_runs(slab, spec, codes, offsets, runs[single], n_buckets)
+    mine &= ~single
     runs, anchors = runs[mine], anchors[mine]
     if not len(runs):
-        return batch_of([], PIECES)
+        return batch_of([(b, slab.number, None, r, k) for (b, r), k in zip(dealt.items(), [known] + [None] * len(dealt))], PIECES)
     new = np.concatenate([[True], (np.diff(runs) > 1) | (np.diff(anchors) != 0)])
     start = runs[new]
     end = np.concatenate([runs[:-1][new[1:]], runs[-1:]]) + spec.length
     anchor = names[anchors[new]]
     doc = np.searchsorted(offsets, start, "right") - 1
-    raw = tb.BYTE_CODES[codes] if spec.kind == np.uint8 else codes
-    content = tb.stretch_hashes(tb.prefix_sums(raw), start, end)
+    content = content_hashes(codes, spec, start, end)
     rank = slab.ids if spec.by_document else _order(slab.no_id, slab.ids)
     order = np.lexsort((start, rank[doc], content))
     lead = np.concatenate([[True], np.diff(content[order]) != 0])
     least = np.empty(len(order), np.int64)
     least[order] = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
     keep = rank[doc] == rank[doc[least]] if spec.by_document else least == np.arange(len(order))
+    rows = [] if known is None else [(next(iter(dealt)), slab.number, None, None, known)]
     known = squeeze(doc[~keep].astype(np.int32), (start - offsets[doc])[~keep],
                     (end - start)[~keep].astype(np.int32))
+    rows.append((int(_bucket(anchor[keep][:1], n_buckets)[0]), slab.number, None, None, known))
+    rows += [(b, slab.number, None, r, None) for b, r in dealt.items()]
     start, end, anchor, doc = start[keep], end[keep], anchor[keep], doc[keep]
     to = _bucket(anchor, n_buckets)
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(n_buckets + 1))
-    rows = []
     for b in np.unique(to).tolist():
         some = order[cuts[b]:cuts[b + 1]]
         some = some[np.argsort(anchor[some], kind="stable")]
@@ -271,10 +303,55 @@ def pieces_of(slab: Slab, bits: list[dict], spec: Spec, n_buckets: int) -> pa.Ta
         text = codes[np.repeat(start[some] - total[:-1], size) + np.arange(total[-1])].astype(spec.kind)
         rows.append((b, slab.number, squeeze(
             anchor[some], slab.ids[doc[some]], slab.no_id[doc[some]], doc[some].astype(np.int32),
-            (start - offsets[doc])[some], size.astype(np.int32), text), known if not rows else None))
+            (start - offsets[doc])[some], size.astype(np.int32), text), None, None))
     return batch_of(rows, PIECES)
 
 
+def _dealt_runs(slab: Slab, spec: Spec, codes: np.ndarray, offsets: np.ndarray, runs: np.ndarray,
+                n_buckets: int) -> tuple[dict[int, bytes], bytes | None]:
+    """Runs of heavy anchors by bucket, each once with its least doc_id here; what the slab knows of them itself."""
+    if not len(runs):
+        return {}, None
+    content = content_hashes(codes, spec, runs, runs + spec.length)
+    doc = np.searchsorted(offsets, runs, "right") - 1
+    rank = slab.ids if spec.by_document else _order(slab.no_id, slab.ids)
+    order = np.lexsort((runs, rank[doc], content))
+    new = np.concatenate([[True], np.diff(content[order]) != 0])
+    lead = order[np.flatnonzero(new)]
+    least = np.empty(len(order), np.int64)
+    least[order] = lead[np.cumsum(new) - 1]
+    again = rank[doc] != rank[doc[least]] if spec.by_document else least != np.arange(len(order))
+    at, of = runs[again], doc[again]
+    new = np.concatenate([[True], (np.diff(at) > 1) | (np.diff(of) != 0)]) if len(at) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(at)]])[:len(first)] - 1
+    known = squeeze(of[first].astype(np.int32), at[first] - offsets[of[first]],
+                    (at[last] - at[first] + spec.length).astype(np.int32))
+    to = _bucket(tb.mix(content[lead]) >> np.uint64(16), n_buckets)
+    out = {}
+    for b in np.unique(to).tolist():
+        some = lead[to == b]
+        out[b] = squeeze(content[some], slab.ids[doc[some]], slab.no_id[doc[some]])
+    return out, known
+
+
+def _later_runs(slabs: list[int], runs: list[bytes | None], by_document: bool) -> list[tuple[int, None, bytes]]:
+    """For each slab, hashes of its runs that came before in another one: then all of them there are repeats."""
+    some = [(s, *unsqueeze(r, np.uint64, np.int64, bool)) for s, r in zip(slabs, runs, strict=True) if r is not None]
+    if not some:
+        return []
+    content, ids, no_id = (np.concatenate([x[i] for x in some]) for i in (1, 2, 3))
+    slab = np.repeat(np.array([x[0] for x in some], np.int64), [len(x[1]) for x in some])
+    order = np.lexsort((slab, ids, no_id, content))
+    new = np.concatenate([[True], np.diff(content[order]) != 0])
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = np.zeros(len(order), bool)
+    later[order] = ids[order] != ids[lead] if by_document else ~new
+    cuts = np.cumsum([0, *(len(x[1]) for x in some)])
+    return [(x[0], None, squeeze(content[a:b][later[a:b]])) for x, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)
+            if later[a:b].any()]
+
+
 def _order(no_id: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Ranks of the documents of a slab: by doc_id, none last, then as stored."""
     rank = np.empty(len(ids), np.int64)
@@ -298,9 +375,14 @@ class Pieces:
 
 def resolve(group: pa.Table, spec: Spec) -> pa.Table:
     """Runs of a bucket's pieces that are repeats, for the slabs they come from."""
-    rows, slabs, known = [], group["slab"].to_pylist(), group["known"].to_pylist()
+    slabs, known, pieces = (group[c].to_pylist() for c in ("slab", "known", "pieces"))
+    rows = _later_runs(slabs, group["runs"].to_pylist(), spec.by_document) if "runs" in group.column_names else []
+    rows += [(s, v, None) for s, v in zip(slabs, known, strict=True) if v is not None]
+    slabs = [s for s, p in zip(slabs, pieces, strict=True) if p is not None]
     parts = [unsqueeze(p, np.uint64, np.int64, bool, np.int32, np.int64, np.int32, spec.kind)
-             for p in group["pieces"].to_pylist()]
+             for p in pieces if p is not None]
+    if not parts:
+        return batch_of(rows, KNOWN)
     anchor, ids, no_id, doc, start, size, text = (np.concatenate(x) for x in zip(*parts, strict=True))
     of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     slab = np.array(slabs, np.int64)[of]
@@ -336,8 +418,7 @@ def resolve(group: pa.Table, spec: Spec) -> pa.Table:
         for k, s in enumerate(slabs):
             some = order[cuts[k]:cuts[k + 1]]
             if len(some):
-                rows.append((s, squeeze(doc[some].astype(np.int32), begin[some], span[some].astype(np.int32))))
-    rows += [(s, v) for s, v in zip(slabs, known, strict=True) if v is not None]
+                rows.append((s, squeeze(doc[some].astype(np.int32), begin[some], span[some].astype(np.int32)), None))
     return batch_of(rows, KNOWN)
 
 
@@ -360,11 +441,17 @@ def repeated(docs: DataFrame, spec: Spec, finish: Callable, schema: str) -> Data
             slab = Slab.read(row)
             codes, offsets = spec.symbols(slab.data, slab.offsets)
             mask = np.zeros(len(codes) + 1, np.int32)
-            for value in right["known"].to_pylist():
+            for value in filter(None, right["known"].to_pylist()):
                 doc, start, size = unsqueeze(value, np.int32, np.int64, np.int32)
                 at = offsets[doc] + start
                 np.add.at(mask, at, 1)
                 np.add.at(mask, at + size, -1)
+            told = [unsqueeze(v, np.uint64)[0] for v in right["runs"].to_pylist() if v is not None]
+            if told:
+                runs = run_starts(slab, spec, offsets, len(codes) - spec.length + 1)
+                runs = runs[np.isin(content_hashes(codes, spec, runs, runs + spec.length), np.concatenate(told))]
+                np.add.at(mask, runs, 1)
+                np.add.at(mask, runs + spec.length, -1)
             out += finish(slab, codes, offsets, np.cumsum(mask[:-1]) > 0)
         return batch_of(out, schema)
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import textbytes as tb
-from .slabs import Pieces, Slab, Spec, doubled_ranks, repeated, smaller_neighbours
+from .slabs import HEAVY_SYMBOLS, Pieces, Slab, Spec, doubled_ranks, repeated, smaller_neighbours
 
 LENGTH = 50
 ANCHOR = 20
@@ -104,7 +104,8 @@ def _finish(texts: bool):
     return finish
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True,
+                   heavy: int = HEAVY_SYMBOLS) -> DataFrame:
     """What is left of every document (doc_id, text) without bytes that also occur in an earlier one.
 
     Texts are UTF-8 bytes. Each byte inside a string of ``length`` bytes that also starts in a document with a smaller
@@ -117,7 +118,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
 
     Bounds: a task holds a slab of a megabyte (or one longer document), or one bucket's pieces; suffix arrays are
     built over some hundred thousand bytes of them at a time. A passage in any number of documents reaches its bucket at most
-    once per slab for each document with the slab's least doc_id.
+    once per slab for each document with the slab's least doc_id. An anchor with more than ``heavy`` symbols around it
+    is in no task as a whole: its runs are dealt by 64-bit hashes of all their bytes, one entry per slab each.
     """
-    spec = Spec(min(ANCHOR, length), length, _symbols, np.uint8, True, find)
+    spec = Spec(min(ANCHOR, length), length, _symbols, np.uint8, True, find, heavy)
     return repeated(docs, spec, _finish(texts), SCHEMA)

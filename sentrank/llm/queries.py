@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, rlz_dedup, secrets, suffix_dedup,
-    token_counts,
+    alignment, chat_windows, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, packing, periodic, rlz_dedup,
+    secrets, suffix_dedup, token_counts,
 )
 from .common import table
 
@@ -86,9 +86,57 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(of(*BASE_KINDS)), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie over each other in every document."""
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False).withColumnRenamed(
+        "groups", "groups_sha256")
+
+
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that quotes control strings, as read back from its windows."""
+    quoted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_windows.read_back(chat_windows.windows(convs.union(quoted)))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with words in which every tenth document, by its hash, is made periodic from a place on.
+
+    Word i >= a becomes word a + (i - a) % p of the document. A document without doc_id is left alone.
+    """
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = F.col("h") % 10 == 0
+    words = hashed.withColumn("w", F.when(chosen, F.regexp_extract_all(
+        F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("w").cast("long"), F.floor(F.col("h") / 10)
+    placed = words.withColumn("a", F.when(n > 0, g % n)).withColumn(
+        "p", F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + g % 8)))
+    unit = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), (n - F.col("a")).cast("int"))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document and the texts without repetitions, as digests."""
+    found = periodic.collapse(planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start"), (-F.col("best.col1")).alias("length"),
+        F.col("best.period"), F.floor(F.lit(1000) * -F.col("best.col1") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_line_dedup, op3_suffix_dedup, op4_packing, op5_exact_dedup, op6_ngram_join, op7_token_counts,
-    op8_substring_dedup, op9_decontamination, op10_secret_scan)}
+    op8_substring_dedup, op9_decontamination, op10_secret_scan, op11_tokenizer_alignment, op12_chat_windows,
+    op13_periodic_runs)}
 
 #: Fixed value: what counts as white space in the contracts, as a class of a regular expression.
 BLANK = r"[\x20\x09-\x0D]"

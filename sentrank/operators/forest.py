@@ -5,12 +5,15 @@ Poisson bootstrap of them. Where all vectors fit into one task, they are sent to
 every worker and a task draws and grows whole trees, so no sample is shuffled.
 Beyond that, nodes with more vectors than one task should hold are split level by
 level from aggregated minima and maxima; whatever is small enough is finished
-inside one task per (tree, node). The model is a table of nodes in heap numbering
-(root 1, children 2i and 2i+1).
+inside one task per (tree, node). Inside a task all nodes of a level are split in
+one pass over its rows, which lie in order of their nodes.
+
+Every draw is a function of what it is for (vector and tree, tree and feature, node
+and feature), so all routes grow the same trees. The model is a table of nodes in
+heap numbering (root 1, children 2i and 2i+1).
 """
 
 import math
-from functools import lru_cache
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +24,12 @@ from pyspark.sql import types as T
 
 from ..session import settle, small_side
 from .features import matrix
-from .neighbors import distinct_vectors
+from .neighbors import distinct_vectors, plain_id
 
 NODE_SCHEMA = "tree int, node long, feature int, threshold double, path double"
 TASK_VECTORS = 200_000
-BROADCAST_NODES = 2_000_000      # 28 bytes each
+TREE_ROWS = 500_000              # vectors times trees that a task draws at once
+BROADCAST_NODES = 4_000_000      # 22 bytes each
 _EULER = 0.5772156649015329
 
 
@@ -45,19 +49,33 @@ class Forest:
     sample: int            # expected rows per tree
 
 
-def _uniform(h: np.ndarray, i: np.ndarray | int) -> np.ndarray:
-    """Counter-based uniforms in (0, 1) from a 64-bit row hash and a counter."""
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit values (two rounds of shift and multiplication)."""
     with np.errstate(over="ignore"):
-        z = h.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(i).astype(np.uint64) + np.uint64(1))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    return ((z >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+        for _ in range(2):
+            h = (h ^ (h >> np.uint64(32))) * _MIX
+        return h ^ (h >> np.uint64(32))
+
+
+def chained(*parts: np.ndarray | int) -> np.ndarray:
+    """A 64-bit number for whole numbers in a row; each may be an array (they broadcast)."""
+    h = np.uint64(0)
+    for p in parts:
+        h = _mixed(np.bitwise_xor(h, np.asarray(p).astype(np.uint64)))
+    return h
 
 
-def _poisson(rate: np.ndarray, h: np.ndarray, i: np.ndarray | int) -> np.ndarray:
+def uniform(h: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) with 53 bits of a hash."""
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def _poisson(rate: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Poisson draws by inversion, beyond rate 30 by a rounded normal."""
-    u = _uniform(h, i)
+    u = uniform(h)
     rate = np.broadcast_to(rate, u.shape)
     small = np.minimum(rate, 30.0)
     term = np.exp(-small)
@@ -69,121 +87,150 @@ def _poisson(rate: np.ndarray, h: np.ndarray, i: np.ndarray | int) -> np.ndarray
         out += more
         term = term * small / j
         total += term
-    normal = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * _uniform(h ^ np.uint64(0x5DEECE66D), i))
+    if not (rate > 30.0).any():
+        return out.astype(np.int64)
+    normal = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * uniform(_mixed(h)))
     return np.where(rate > 30.0, np.maximum(np.rint(rate + np.sqrt(rate) * normal), 0.0), out).astype(np.int64)
 
 
-def _sparse_draws(rate: np.ndarray, h: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, tree) of every draw of vectors with few draws in all: their number first, then a tree for each."""
-    sparse = np.nonzero(rate * trees < 50.0)[0]
-    count = _poisson(rate[sparse] * trees, h[sparse], 0)
-    row = np.repeat(sparse, count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return row, (_uniform(h[row], nth + 1) * trees).astype(np.int32)
+# What a draw is for; the first number of a chain.
+_OF_VECTOR, _OF_TREE, _OF_NODE, _OF_CUT = 1, 2, 3, 4
+
+
+def _vector_hashes(key: np.ndarray, seed: int) -> np.ndarray:
+    return chained(seed, _OF_VECTOR, key)
+
+
+def _draws(h: np.ndarray, rate: np.ndarray, tree: np.ndarray | int) -> np.ndarray:
+    """How often each vector is in a tree's sample."""
+    return _poisson(rate, _mixed(h ^ np.asarray(tree).astype(np.uint64)))
 
 
 def _members(vectors: DataFrame, names: list[str], trees: int, share: float, seed: int) -> DataFrame:
-    """(tree, node 1, vector, draws): with-replacement samples of an expected ``share`` of all rows."""
+    """(tree, node 1, vector, n): with-replacement samples of an expected ``share`` of all rows."""
     def draw(frames):
         for f in frames:
-            h = f["h"].to_numpy().astype(np.uint64)
-            rate = f["w"].to_numpy(dtype=float) * share
-            row, tree = _sparse_draws(rate, h, trees)
-            parts = [(row, tree, np.ones(len(row), dtype=np.int64))]
-            dense = np.nonzero(rate * trees >= 50.0)[0]
-            for s in range(0, len(dense), 1024):
-                rows = dense[s:s + 1024]
-                k = _poisson(rate[rows][:, None], h[rows][:, None], np.arange(trees)[None, :] + 1)
-                r, t = np.nonzero(k)
-                parts.append((rows[r], t.astype(np.int32), k[r, t]))
-            row, tree, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            out = f[names].iloc[row].reset_index(drop=True)
-            out.insert(0, "tree", tree), out.insert(1, "node", np.int64(1))
-            out["n"] = n
-            yield out
+            h, rate = _vector_hashes(f["key"].to_numpy(), seed), f["w"].to_numpy(dtype=float) * share
+            for s in range(0, len(f), 1024):
+                n = _draws(h[s:s + 1024, None], rate[s:s + 1024, None], np.arange(trees)[None, :])
+                row, tree = np.nonzero(n)
+                out = f[names].iloc[s + row].reset_index(drop=True)
+                out.insert(0, "tree", tree.astype(np.int32)), out.insert(1, "node", np.int64(1))
+                out["n"] = n[row, tree]
+                yield out
 
     floats = ", ".join(f"{c} double" for c in names)
-    drawn = _hashed(vectors, seed).mapInPandas(draw, f"tree int, node long, {floats}, n long")
-    return drawn.groupBy("tree", "node", *names).agg(F.sum("n").alias("n"))
+    return _keyed(vectors).mapInPandas(draw, f"tree int, node long, {floats}, n long")
 
 
-def _hashed(vectors: DataFrame, seed: int) -> DataFrame:
-    return vectors.withColumn("h", F.xxhash64("id", F.lit(seed)))
+def _keyed(vectors: DataFrame) -> DataFrame:
+    """Vectors with a number of their own: of the least event id or, without one, of the vector itself."""
+    name = F.coalesce(F.nullif(plain_id(F.col("id")), F.lit("")), F.col("id"))
+    return vectors.withColumn("key", F.conv(F.left(F.md5(name), F.lit(15)), 16, 10).cast("long"))
 
 
 def _whole_trees(vectors: DataFrame, names: list[str], trees: int, share: float, seed: int, n_features: int,
                  max_depth: int) -> DataFrame:
     """All nodes of all trees, each tree drawn and grown by one task; the draws are those of ``_members``."""
     spark = vectors.sparkSession
-    f = _hashed(vectors, seed).select("h", "w", *names).toArrow()
-    h, w = f["h"].to_numpy().astype(np.uint64), f["w"].to_numpy().astype(float)
-    sent = spark.sparkContext.broadcast((np.stack([f[c].to_numpy() for c in names], axis=1).astype(float), h, w * share))
+    f = _keyed(vectors).select("key", "w", *names).toArrow()
+    sent = spark.sparkContext.broadcast((
+        np.stack([f[c].to_numpy() for c in names], axis=1).astype(float),
+        _vector_hashes(f["key"].to_numpy(), seed), f["w"].to_numpy().astype(float) * share))
+    at_once = max(1, TREE_ROWS // max(1, len(f)))
 
     def grow(frames):
         x, h, rate = sent.value
-        row, of = _sparse_draws(rate, h, trees)
-        dense = np.nonzero(rate * trees >= 50.0)[0]
         for f in frames:
-            for tree in f["id"].tolist():
-                n = np.bincount(row[of == tree], minlength=len(x))
-                n[dense] = _poisson(rate[dense], h[dense], tree + 1)
-                some = np.nonzero(n)[0]
-                if len(some):
-                    yield pd.DataFrame(_finish(x[some], n[some], tree, 1, seed, n_features, max_depth),
-                                       columns=["tree", "node", "feature", "threshold", "path"])
+            ids = f["id"].to_numpy()
+            for s in range(0, len(ids), at_once):
+                some = ids[s:s + at_once]
+                n = _draws(h[None, :], rate[None, :], some[:, None])
+                tree, row = np.nonzero(n)
+                roots, first = np.unique(tree, return_index=True)
+                yield _grow(x, row, n[tree, row], first, some[roots], np.ones(len(roots), np.int64),
+                            seed, n_features, max_depth)
 
     tasks = min(trees, 4 * spark.sparkContext.defaultParallelism)
     return spark.range(0, trees, 1, tasks).mapInPandas(grow, NODE_SCHEMA)
 
 
-@lru_cache(maxsize=4096)
-def _subset(seed: int, tree: int, width: int, n_features: int) -> np.ndarray:
-    """The features a tree may split on."""
-    return np.random.default_rng([seed, tree]).choice(width, n_features, replace=False)
+def _feature_order(seed: int, tree: np.ndarray, node: np.ndarray, width: int, n_features: int) -> np.ndarray:
+    """Keys of the features at each node: the least of those that vary is split. Other trees' features are at infinity."""
+    own, of = np.unique(tree, return_inverse=True)
+    ranks = np.argsort(np.argsort(uniform(chained(seed, _OF_TREE, own[:, None], np.arange(width))), axis=1), axis=1)
+    keys = uniform(chained(seed, _OF_NODE, tree[:, None], node[:, None], np.arange(width)))
+    return np.where((ranks < n_features)[of], keys, np.inf)
 
 
-@lru_cache(maxsize=1 << 16)
-def _leaf_path(size: int) -> float:
-    return float(average_path(size))
+def _cuts(seed: int, tree: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    cut = low + uniform(chained(seed, _OF_CUT, tree, node)) * (high - low)
+    return np.where(cut < high, cut, low)
 
 
-def _choose(seed: int, tree: int, node: int, low: np.ndarray, high: np.ndarray, n_features: int):
-    """The node's random feature (of the tree's own subset) and threshold, or None if nothing varies."""
-    subset = _subset(seed, tree, len(low), n_features)
-    usable = subset[high[subset] > low[subset]]
-    if not len(usable):
-        return None
-    rng = np.random.default_rng([seed, tree, node])
-    j = int(rng.choice(usable))
-    return j, float(rng.uniform(low[j], high[j]))
+def _depth(node: np.ndarray) -> np.ndarray:
+    return np.frexp(np.asarray(node).astype(float))[1] - 1
 
 
-def _depth(node: int) -> int:
-    return int(node).bit_length() - 1
+def _segments(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of some segments in a row, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _finish(x: np.ndarray, w: np.ndarray, tree: int, start: int, seed: int, n_features: int, max_depth: int):
-    """All nodes below ``start`` for rows that fit one task."""
-    todo, out = [(start, np.arange(len(x)))], []
-    while todo:
-        node, rows = todo.pop()
-        part, size = x[rows], int(w[rows].sum())
-        pick = None
-        if size > 1 and _depth(node) < max_depth:
-            pick = _choose(seed, tree, node, part.min(axis=0), part.max(axis=0), n_features)
-        if pick is None:
-            out.append((tree, node, -1, 0.0, _depth(node) + _leaf_path(size)))
-            continue
-        j, cut = pick
-        low = part[:, j] <= cut
-        out.append((tree, node, j, cut, 0.0))
-        todo += [(2 * node, rows[low]), (2 * node + 1, rows[~low])]
-    return out
+def _grow(x: np.ndarray, rows: np.ndarray, n: np.ndarray, first: np.ndarray, tree: np.ndarray, node: np.ndarray,
+          seed: int, n_features: int, max_depth: int) -> pd.DataFrame:
+    """All nodes below some start nodes, level by level.
+
+    ``rows`` are places in ``x``, drawn ``n`` times each, in order of their nodes; ``first`` is where each node's rows
+    begin. All nodes of a level are bounded, cut and parted together.
+    """
+    out = []
+    while len(tree):
+        count = np.diff(np.append(first, len(rows)))
+        size = np.add.reduceat(n, first)
+        feature, low, high = np.full(len(tree), -1, np.int64), np.zeros(len(tree)), np.zeros(len(tree))
+        todo = np.flatnonzero((size > 1) & (count > 1) & (_depth(node) < max_depth))
+        keys = _feature_order(seed, tree[todo], node[todo], x.shape[1], n_features)
+        for _ in range(n_features if len(todo) else 0):
+            pick = np.argmin(keys, axis=1)
+            lengths = count[todo]
+            values = x[rows[_segments(first[todo], lengths)], np.repeat(pick, lengths)]
+            heads = np.cumsum(lengths) - lengths
+            lo, hi = np.minimum.reduceat(values, heads), np.maximum.reduceat(values, heads)
+            found = hi > lo
+            feature[todo[found]], low[todo[found]], high[todo[found]] = pick[found], lo[found], hi[found]
+            keys[np.arange(len(todo)), pick] = np.inf
+            todo, keys = todo[~found], keys[~found]
+            if not len(todo):
+                break
+        cut = np.where(feature >= 0, _cuts(seed, tree, node, low, high), 0.0)
+        path = np.where(feature >= 0, 0.0, _depth(node) + average_path(size))
+        out.append((tree, node, feature, cut, path))
+        inner = np.flatnonzero(feature >= 0)
+        at = _segments(first[inner], count[inner])
+        rows, n = rows[at], n[at]
+        of = np.repeat(np.arange(len(inner)), count[inner])
+        right = x[rows, feature[inner][of]] > cut[inner][of]
+        # Left rows of a node keep their order before its right ones: nodes stay in heap order.
+        order = np.argsort(2 * of + right, kind="stable")
+        rows, n = rows[order], n[order]
+        to_right = np.bincount(of[right], minlength=len(inner))
+        sizes = np.stack([count[inner] - to_right, to_right], 1).ravel()
+        first = np.cumsum(sizes) - sizes
+        tree, node = np.repeat(tree[inner], 2), (2 * node[inner][:, None] + np.arange(2)).ravel()
+    tree, node, feature, cut, path = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((node, tree))
+    return pd.DataFrame({"tree": tree[order].astype(np.int32), "node": node[order], "feature": feature[order].astype(np.int32),
+                         "threshold": cut[order], "path": path[order]})
 
 
 def fit(train: DataFrame, features: list[str], trees: int = 600, max_samples: float | int = 0.5,
         max_features: float = 0.8, seed: int = 42, task_vectors: int = TASK_VECTORS) -> Forest:
-    """Grow the forest; ``max_samples`` is a share (float) or a number of rows (int) per tree."""
+    """Grow the forest; ``max_samples`` is a share (float) or a number of rows (int) per tree.
+
+    With a share the model grows with the table (about one node per sampled row and tree); for very many rows give a
+    number.
+    """
     names = [f"f{i}" for i in range(len(features))]
     vectors = settle(distinct_vectors(train, features))
     total = vectors.agg(F.sum("w")).first()[0]
@@ -202,9 +249,8 @@ def fit(train: DataFrame, features: list[str], trees: int = 600, max_samples: fl
         rows, done = _split_large(settle(rows), names, seed, n_features, max_depth, task_vectors)
 
     def grow(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        nodes = _finish(f[names].to_numpy(dtype=float), f["n"].to_numpy(), int(key[0]), int(key[1]),
-                        seed, n_features, max_depth)
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "path"])
+        return _grow(f[names].to_numpy(dtype=float), np.arange(len(f)), f["n"].to_numpy(), np.zeros(1, np.int64),
+                     np.array([key[0]], np.int64), np.array([key[1]], np.int64), seed, n_features, max_depth)
 
     nodes = rows.groupBy("tree", "node").applyInPandas(grow, NODE_SCHEMA)
     for d in done:
@@ -219,13 +265,17 @@ def _split_large(rows: DataFrame, names: list[str], seed: int, n_features: int,
 
     def decide(frames):
         for f in frames:
-            lo, hi = np.stack(f["lo"].to_numpy()) if len(f) else None, np.stack(f["hi"].to_numpy()) if len(f) else None
-            out = []
-            for i, (t, n, size) in enumerate(zip(f["tree"], f["node"], f["size"])):
-                pick = _choose(seed, int(t), int(n), lo[i], hi[i], n_features) if _depth(n) < max_depth else None
-                leaf = _depth(n) + float(average_path(size))
-                out.append((t, n, *pick, 0.0) if pick else (t, n, -1, 0.0, leaf))
-            yield pd.DataFrame(out, columns=["tree", "node", "feature", "threshold", "path"])
+            if not len(f):
+                continue
+            lo, hi = np.stack(f["lo"].to_numpy()), np.stack(f["hi"].to_numpy())
+            tree, node = f["tree"].to_numpy().astype(np.int64), f["node"].to_numpy()
+            keys = np.where(hi > lo, _feature_order(seed, tree, node, len(names), n_features), np.inf)
+            pick, each = np.argmin(keys, axis=1), np.arange(len(f))
+            splits = np.isfinite(keys[each, pick]) & (_depth(node) < max_depth)
+            yield pd.DataFrame({
+                "tree": tree, "node": node, "feature": np.where(splits, pick, -1),
+                "threshold": np.where(splits, _cuts(seed, tree, node, lo[each, pick], hi[each, pick]), 0.0),
+                "path": np.where(splits, 0.0, _depth(node) + average_path(f["size"].to_numpy()))})
 
     while True:
         large = rows.groupBy("tree", "node").agg(
@@ -246,32 +296,33 @@ def _split_large(rows: DataFrame, names: list[str], seed: int, n_features: int,
 
 
 def _linked(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
-    """Node arrays with child positions and the position of every root."""
+    """Node arrays in heap order with the place of every left child and every root.
+
+    The children of a tree's k-th inner node are its nodes 2k+1 and 2k+2 in heap order; leaves point to themselves.
+    """
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True)
-    arrays = {c: nodes[c].to_numpy() for c in ("feature", "threshold", "path")}
-    node = nodes["node"].to_numpy()
-    root = np.nonzero(node == 1)[0]
-    inner = np.nonzero(arrays["feature"] >= 0)[0]
-    for side, name in ((0, "left"), (1, "right")):
-        arrays[name] = np.full(len(nodes), -1, np.int32)
-        for a, b in zip(root.tolist(), [*root[1:].tolist(), len(nodes)]):
-            mine = inner[np.searchsorted(inner, a):np.searchsorted(inner, b)]
-            arrays[name][mine] = a + np.searchsorted(node[a:b], node[mine] * 2 + side)
-    arrays["root"] = root
-    return arrays
+    feature = nodes["feature"].to_numpy().astype(np.int16)
+    root = np.flatnonzero(nodes["node"].to_numpy() == 1)
+    inner = np.flatnonzero(feature >= 0)
+    start = root[np.searchsorted(root, inner, "right") - 1]
+    left = np.arange(len(nodes), dtype=np.int32)
+    left[inner] = start + 1 + 2 * (np.arange(len(inner)) - np.searchsorted(inner, start))
+    return {"feature": feature, "threshold": nodes["threshold"].to_numpy(), "path": nodes["path"].to_numpy(),
+            "left": left, "root": root}
 
 
 def _path_sum(x: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
     total = np.zeros(len(x))
     for root in m["root"]:
         at = np.full(len(x), root)
-        live = np.arange(len(x))
+        live, here = np.arange(len(x)), at.copy()
         while len(live):
-            here = at[live]
-            inner = m["feature"][here] >= 0
-            live, here = live[inner], here[inner]
-            right = x[live, m["feature"][here]] > m["threshold"][here]
-            at[live] = np.where(right, m["right"][here], m["left"][here])
+            feature = m["feature"][here]
+            inner = feature >= 0
+            if not inner.all():
+                at[live] = here
+                live, here, feature = live[inner], here[inner], feature[inner]
+            here = m["left"][here] + (x[live, feature] > m["threshold"][here])
         total += m["path"][at]
     return total
 

@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
-from .rank import slice_size, top_k, top_p_per_day
+from ..session import settle
+from .quantiles import exact_quantiles, rank_rows
+from .rank import best_rows, review_order, slice_size, top_k, top_p_per_day
 
 
 def join_labels(scores: DataFrame, labels: DataFrame, label: str = "y_true_synth") -> DataFrame:
@@ -35,13 +36,14 @@ def budget_metrics(df: DataFrame, label: str, ps: list[float] | None = None, ks:
                    by: str = "anomaly_score") -> DataFrame:
     """One row per budget: p (NULL for a fixed K), k, tp, fp, fn, tn and the four ratios.
 
-    One aggregate for the totals, one Top-K of the largest budget, one aggregate
-    over that slice; no rank is computed for rows outside it.
+    The scores are settled once, without other columns. One aggregate for the totals,
+    one Top-K of the largest budget, one aggregate over that slice; no rank is computed
+    for rows outside it.
     """
-    y = F.col(label).cast("long")
-    n, positives = df.agg(F.count("*"), F.coalesce(F.sum(y), F.lit(0))).first()
+    df = settle(df.select("event_id", by, F.col(label).cast("long").alias("_y")))
+    n, positives = df.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     budgets = [(p, slice_size(n, p)) for p in ps or []] + [(None, min(k, n)) for k in ks or []]
-    slice_ = top_k(df.select("event_id", by, y.alias("_y")), max(k for _, k in budgets), by)
+    slice_ = top_k(df, max(k for _, k in budgets), by)
     cells = [
         F.struct(F.lit(p).cast("double").alias("p"), F.lit(k).cast("long").alias("k"),
                  F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("_y"))), F.lit(0)).alias("tp"))
@@ -87,15 +89,24 @@ def day_stability(per_day: DataFrame) -> DataFrame:
 def sweep(neighbors: DataFrame, label: str, ks: list[int], ps: list[float]) -> DataFrame:
     """Metrics for every (k, p) from one neighbour join: the score for k is the mean of the first k distances.
 
-    ``neighbors`` has event_id, label and ``dists`` with at least ``max(ks)`` entries.
+    ``neighbors`` has event_id, label and ``dists`` with at least ``max(ks)`` entries. One pass makes the scores of
+    every k and settles them; the slices of all k are cut and ranked together, and one aggregate counts every budget.
     """
-    out = None
-    for k in ks:
-        mean = F.aggregate(F.slice("dists", 1, k), F.lit(0.0), lambda a, x: a + x) / F.lit(float(k))
-        scored = neighbors.select("event_id", label, F.round(mean, 9).alias("anomaly_score"))
-        part = budget_metrics(scored, label, ps=ps).withColumnRenamed("k", "budget").withColumn("k", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out
+    sums = [F.aggregate(F.slice("dists", 1, k), F.lit(0.0), lambda a, x: a + x) / F.lit(float(k)) for k in ks]
+    scores = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.round(s, 9).alias("anomaly_score")) for k, s in zip(ks, sums)]))
+    held = settle(neighbors.select("event_id", F.col(label).cast("long").alias("y"), scores))
+    n, positives = held.where(F.col("k") == ks[0]).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    budgets = [(p, slice_size(n, p)) for p in ps]
+    near = best_rows(held, ["k"], "anomaly_score", F.lit(max(b for _, b in budgets)))
+    ranked = rank_rows(near, review_order(), group=["k"])
+    counted = ranked.groupBy("k").agg(F.array(*[F.struct(
+        F.lit(p).cast("double").alias("p"), F.lit(b).cast("long").alias("budget"),
+        F.coalesce(F.sum(F.when(F.col("rank") <= b, F.col("y"))), F.lit(0)).alias("tp")) for p, b in budgets]).alias("b"))
+    rows = counted.select("k", F.inline("b"))
+    nn, pp = F.lit(n), F.lit(positives)
+    return rows.withColumns({
+        "fp": F.col("budget") - F.col("tp"), "fn": pp - F.col("tp"), "tn": nn - pp - (F.col("budget") - F.col("tp")),
+    }).withColumns(_figures(F.col("tp"), F.col("budget"), nn, pp))
 
 
 def best_k(sweep_result: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle, small_side
-from .quantiles import SMALL_ROWS, rank_rows
+from .quantiles import rank_rows, same_keys, twin, values_at
 
-LIMIT_ROWS = 100_000
+#: Slices up to which each partition keeps its best rows and one task merges them.
+LIMIT_ROWS = 5_000
+#: Rows of a group up to which a window in one task ranks all of them.
+GROUP_ROWS = 200_000
 
 
 def review_order(score: str = "anomaly_score", descending: bool = True, tie: str = "event_id") -> list[Column]:
@@ -25,16 +28,22 @@ def top_k(df: DataFrame, k: int = 50, by: str = "anomaly_score", descending: boo
         raise ValueError(f"no column {by!r} to sort by")
     if k < 1 or (max_k is not None and k > max_k):
         raise ValueError(f"k out of range: {k}")
+    return _head(df, k, by, descending) if k <= LIMIT_ROWS else _long_head(settle(df), k, by, descending)
+
+
+def _head(df: DataFrame, k: int, by: str, descending: bool = True) -> DataFrame:
     order = review_order(by, descending)
-    if k > LIMIT_ROWS:
-        # only rows above a counted cut are sorted
-        near = _above_cut(df, by, k, df.filter(F.col(by).isNotNull()).count()) if descending else df
-        return rank_rows(near, order).filter(F.col("rank") <= k)
-    head = df.orderBy(*order).limit(k)
-    ranked = head.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    ranked = df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return ranked.select("rank", *[F.col(f"`{c}`") for c in df.columns if c != "rank"])
 
 
+def _long_head(held: DataFrame, k: int, by: str, descending: bool = True) -> DataFrame:
+    """The first ``k`` of a settled table, however many: only what is above the counted cut is sorted."""
+    near = best_rows(held.drop("rank") if by != "rank" else held, [], by, F.lit(k), descending)
+    ranked = rank_rows(near, review_order(by, descending), small_rows=LIMIT_ROWS).filter(F.col("rank") <= k)
+    return ranked.select("rank", *[F.col(f"`{c}`") for c in held.columns if c != "rank"])
+
+
 def slice_size(n: int, p: float) -> int:
     """Rows in a Top-p slice of ``n`` rows, at least one; ``p`` is a fraction."""
     return max(1, math.ceil(max(1e-4, min(1.0, p)) * n))
@@ -46,54 +55,62 @@ def slice_size_percent(n: int, percent: float) -> int:
 
 
 def top_p(df: DataFrame, p: float = 0.01, by: str = "anomaly_score", percent: bool = False) -> DataFrame:
-    """Top-p slice with ranks."""
-    n = df.count()
+    """Top-p slice with ranks; ``df`` is evaluated once and settled."""
+    held = settle(df)
+    n = held.count()
     if n == 0:
-        return df.limit(0).select(F.lit(0).cast("long").alias("rank"), "*")
-    return top_k(df, slice_size_percent(n, p) if percent else slice_size(n, p), by)
-
-
-def _above_cut(df: DataFrame, by: str, k: int, scored: int) -> DataFrame:
-    """Rows that can be among the best ``k``; unchanged where a cut is not worth it."""
-    if k <= LIMIT_ROWS or k >= scored:
-        return df
-    accuracy = 100_000
-    q = 1.0 - k / scored - 2.0 / accuracy
-    if q <= 0:
-        return df
-    cut = df.agg(F.percentile_approx(by, q, accuracy)).first()[0]
-    above = df.filter(F.col(by) >= cut)
-    return above if above.count() >= k else df
+        return held.limit(0).select(F.lit(0).cast("long").alias("rank"), "*")
+    k = slice_size_percent(n, p) if percent else slice_size(n, p)
+    return _head(held, k, by) if k <= LIMIT_ROWS else _long_head(held, k, by)
+
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def best_rows(held: DataFrame, keys: list[str], by: str, budget: Column, descending: bool = True,
+              small_rows: int = GROUP_ROWS) -> DataFrame:
+    """The rows of the settled table ``held`` that can be among their group's best ``budget`` ones by a number.
+
+    The value at the budget's rank is found for all groups at once from counts, so what comes back is each group's
+    slice and the rows that tie with its last one. Groups that are small, or have no more numbers than the budget, stay
+    whole. ``budget`` is an expression over ``n``, the rows of a group. NaN counts as the greatest number. A column that
+    is no number is not cut.
+    """
+    if dict(held.dtypes)[by] not in _NUMBERS:
+        return held
+    value = F.col(f"`{by}`").cast("double")
+    value = F.when(F.isnan(value), F.lit(math.inf)).otherwise(value) * (1.0 if descending else -1.0)
+    cols = [f"`{k}`" for k in keys]
+    narrow = held.select(*cols, value.alias("x"), F.lit(1).alias("n"))
+    groups = narrow.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("scored"), F.min("x").alias("lo"),
+                                       F.max("x").alias("hi")).withColumn("budget", budget.cast("long"))
+    groups = settle(groups.where((F.col("n") > small_rows) & (F.col("budget") < F.col("scored"))))
+    if not groups.limit(1).count():
+        return held
+    wanted = groups.select(*cols, (F.col("scored") - F.col("budget")).alias("rank"), "lo", "hi", F.lit(0).alias("below"))
+    cuts = settle(values_at(narrow.where("x IS NOT NULL"), keys, wanted).select(*cols, F.col("value").alias("_cut")))
+    cuts = twin(small_side(cuts), keys) if keys else F.broadcast(cuts)       # without keys it is one row
+    joined = held.join(cuts, same_keys(keys), "left")
+    return joined.where(F.col("_cut").isNull() | (value >= F.col("_cut"))).select(*[F.col(f"`{c}`") for c in held.columns])
+
+
+def day_budget(p: float) -> Column:
+    """Rows of a day's Top-p slice from its ``n`` rows."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(max(1e-4, min(1.0, p))) * F.col("n"))).cast("long")
 
 
 def top_p_per_day(df: DataFrame, p: float = 0.01, by: str = "anomaly_score", time: str = "timestamp",
-                  small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Each day's ``max(1, ceil(p·rows of the day))`` best rows, ranked within the day."""
-    dated = df.withColumn("day", F.to_date(time))
-    share, accuracy = max(1e-4, min(1.0, p)), 100_000
-    q = 1.0 - share - 2.0 / accuracy
-    scored = F.count(by)
-    safe = (scored == F.count("*")) & (scored > accuracy) if q > 0 else F.lit(False)
-    budget = dated.groupBy("day").agg(
-        F.greatest(F.lit(1), F.ceil(F.lit(share) * F.count("*"))).cast("long").alias("budget"),
-        F.when(safe, F.percentile_approx(by, max(q, 0.0), accuracy)).alias("cut"),
-    ).withColumnRenamed("day", "_day")
-    # big days: rows below a safe lower cut cannot be in the slice and are not sorted
-    budget = settle(budget)
-    above = dated.join(small_side(budget), F.col("day").eqNullSafe(F.col("_day"))).filter(
-        F.col("cut").isNull() | (F.col(by) >= F.col("cut")))
-    # an estimated cut may be too high: such a day takes part whole
-    held = above.filter("cut IS NOT NULL").groupBy("day").agg(F.count("*").alias("held"))
-    short = budget.join(held, F.col("_day") == F.col("day"), "left").filter(
-        F.col("cut").isNotNull() & (F.coalesce("held", F.lit(0)) < F.col("budget"))).select("_day")
-    short = settle(short)
-    if short.limit(1).count():
-        budget = budget.join(F.broadcast(short.withColumn("_whole", F.lit(True))), "_day", "left").withColumn(
-            "cut", F.when(F.col("_whole").isNull(), F.col("cut"))).drop("_whole")
-    near = dated.join(small_side(budget), F.col("day").eqNullSafe(F.col("_day"))).filter(
-        F.col("cut").isNull() | (F.col(by) >= F.col("cut")))
+                  small_rows: int = GROUP_ROWS) -> DataFrame:
+    """Each day's ``max(1, ceil(p·rows of the day))`` best rows, ranked within the day.
+
+    ``df`` is evaluated once and settled. The rank of a row counts only rows of its day's slice and their ties.
+    """
+    held = settle(df.withColumn("day", F.to_date(time)))
+    near = best_rows(held, ["day"], by, day_budget(p), small_rows=small_rows)
     ranked = rank_rows(near, review_order(by), group=["day"], small_rows=small_rows)
-    return ranked.filter("rank <= budget").drop("_day", "budget", "cut")
+    budgets = small_side(held.groupBy(F.col("day").alias("_day")).agg(F.count(F.lit(1)).alias("n")).select(
+        "_day", day_budget(p).alias("_budget")))
+    return ranked.join(budgets, F.col("day").eqNullSafe(F.col("_day"))).filter("rank <= _budget").drop("_day", "_budget")
 
 
 def above_threshold(df: DataFrame, threshold: float, by: str = "anomaly_score") -> DataFrame:

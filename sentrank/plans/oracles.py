@@ -397,6 +397,8 @@ m AS (SELECT p, k, tp / budget AS pr, tp / (SELECT sum(y) FROM vq) AS rc,
   row_number() OVER (PARTITION BY p ORDER BY tp / budget DESC, k) AS best FROM t)
 SELECT p, k, round(pr, 6) AS "precision", round(rc, 6) AS recall, round(li, 6) AS lift, round(fp, 6) AS fpr FROM m WHERE best = 1"""
 
+    out["iforest_score"] = _forest()
+
     # explanations
     names = "[" + ", ".join(f"'{f}'" for f in MODEL) + "]"
     med = "[" + ", ".join(f"(SELECT median(v[{i}]) FROM vt)" for i in range(1, 17)) + "]"
@@ -457,6 +459,60 @@ SELECT event_id, agent, rule_id, rule_level, {', '.join(INT_FEATURES)}, {_rounde
     return out
 
 
+def _forest(trees: int = 600, seed: int = 42, share: float = 0.5, kept: int = 12, levels: int = 18) -> str:
+    """The isolation forest grown and walked level by level, up to ``levels`` (enough for 2**18 sampled rows).
+
+    Draws are chains of 64-bit hashes, which this engine's ``hash`` of a whole number equals.
+    """
+    width = len(MODEL)
+
+    def chain(*parts: str, start: str = "CAST(0 AS UBIGINT)") -> str:
+        for part in parts:
+            start = f"hash(xor({start}, CAST({part} AS UBIGINT)))"
+        return start
+
+    def uniform(h: str) -> str:
+        return f"((CAST({h} >> 11 AS DOUBLE) + 0.5) / 9007199254740992.0)"
+
+    low, high = (", ".join(f"{f}(k.v[{i}])" for i in range(1, width + 1)) for f in ("min", "max"))
+    leaf = "CASE WHEN {0} <= 1 THEN 0.0 WHEN {0} <= 2 THEN 1.0 ELSE 2 * (ln({0} - 1) + 0.5772156649015329) - 2 * ({0} - 1) / {0} END"
+    parts = [f"""fv AS (SELECT min(event_id) AS id, count(*) AS w, v FROM (
+  SELECT event_id, list_transform(v, lambda x: x + 0.0) AS v FROM vt) GROUP BY v),
+fn AS (SELECT CAST(sum(w) AS BIGINT) AS total, greatest(1, CAST(floor({share} * sum(w)) AS BIGINT)) AS sample FROM fv),
+fp AS (SELECT CAST(sample AS DOUBLE) / total AS rate, sample, CAST(ceil(log2(greatest(sample, 2))) AS INTEGER) AS depth FROM fn),
+keyed AS MATERIALIZED (SELECT row_number() OVER () AS i, w, v,
+  {chain(str(seed), "1", "'0x' || left(md5(id), 15)")} AS h FROM fv),
+pois(w, j, term, total) AS (
+  SELECT w, 0, exp(-w * rate), exp(-w * rate) FROM (SELECT DISTINCT w FROM fv) CROSS JOIN fp
+  UNION ALL SELECT p.w, j + 1, term * (p.w * rate) / (j + 1), total + term * (p.w * rate) / (j + 1) FROM pois p CROSS JOIN fp WHERE j < 100),
+cumulated AS (SELECT w, list(total ORDER BY j) FILTER (total < 1.0) AS c FROM pois GROUP BY w),
+trees AS (SELECT CAST(unnest(range({trees})) AS BIGINT) AS tree),
+drawn AS (SELECT tree, i, w, {uniform(chain("tree", start="h"))} AS u FROM keyed CROSS JOIN trees),
+subset AS MATERIALIZED (SELECT tree, f FROM trees CROSS JOIN (SELECT unnest(range({width})) AS f)
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY {chain(str(seed), "2", "tree", "f")} >> 11) <= {kept}),
+l0 AS MATERIALIZED (SELECT tree, CAST(1 AS BIGINT) AS node, i, len(list_filter(c, lambda t: u > t)) AS n
+  FROM drawn JOIN cumulated USING (w) WHERE u > c[1]),
+asked AS MATERIALIZED (SELECT row_number() OVER () AS q, event_id, list_transform(v, lambda x: x + 0.0) AS v FROM vq),
+q0 AS MATERIALIZED (SELECT tree, CAST(1 AS BIGINT) AS node, q FROM asked CROSS JOIN trees)"""]
+    for d in range(levels):
+        parts.append(f"""e{d} AS MATERIALIZED (SELECT tree, node, sum(n) AS size, [{low}] AS lo, [{high}] AS hi
+  FROM l{d} JOIN keyed k USING (i) GROUP BY tree, node),
+p{d} AS MATERIALIZED (SELECT tree, node, f, CASE WHEN cut < hi[f + 1] THEN cut ELSE lo[f + 1] END AS cut FROM (
+  SELECT *, lo[f + 1] + {uniform(chain(str(seed), "4", "tree", "node"))} * (hi[f + 1] - lo[f + 1]) AS cut
+  FROM e{d} JOIN subset USING (tree) CROSS JOIN fp WHERE size > 1 AND {d} < depth AND hi[f + 1] > lo[f + 1]
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {chain(str(seed), "3", "tree", "node", "f")} >> 11) = 1)),
+l{d + 1} AS MATERIALIZED (SELECT tree, 2 * node + CASE WHEN k.v[f + 1] > cut THEN 1 ELSE 0 END AS node, i, n
+  FROM l{d} JOIN p{d} USING (tree, node) JOIN keyed k USING (i)),
+r{d} AS MATERIALIZED (SELECT q, sum({d} + {leaf.format("size")}) AS paths
+  FROM q{d} JOIN e{d} USING (tree, node) ANTI JOIN p{d} USING (tree, node) GROUP BY q),
+q{d + 1} AS MATERIALIZED (SELECT tree, 2 * node + CASE WHEN a.v[f + 1] > cut THEN 1 ELSE 0 END AS node, q
+  FROM q{d} JOIN p{d} USING (tree, node) JOIN asked a USING (q))""")
+    paths = " UNION ALL ".join(f"SELECT * FROM r{d}" for d in range(levels))
+    return f"""WITH RECURSIVE {ALERTS}, {VECTORS}, {", ".join(parts)}, walked AS ({paths})
+SELECT event_id, round(power(2, -(sum(paths) / {trees}) / any_value({leaf.format("sample")})), 6) AS anomaly_score
+FROM walked JOIN asked USING (q) CROSS JOIN fp GROUP BY event_id"""
+
+
 def _storage(w: str, done: dict[str, str]) -> dict[str, str]:
     """Queries that go through files."""
     out: dict[str, str] = {}

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from sentrank.operators import forest, neighbors, rank
+from sentrank.operators import forest, neighbors, quantiles, rank
 from sentrank.operators.quantiles import exact_quantiles, rank_rows
 from sentrank.streaming import alerts as feed
 
@@ -77,26 +77,82 @@ def test_ranks_by_either_way(spark):
         assert pick(small) == pick(large)
 
 
-def test_day_slices_survive_an_estimated_cut(spark, monkeypatch):
-    """A cut that is too high must not shorten a day's slice."""
-    df = spark.range(240_000).select(
-        F.col("id").cast("string").alias("event_id"), (F.col("id") % 1000).cast("double").alias("anomaly_score"),
-        F.to_timestamp_ntz(F.when(F.col("id") < 120_000, "2024-01-01").otherwise("2024-01-02")).alias("timestamp"))
-    want = rank.top_p_per_day(df, 0.01)
-    assert want.count() == 2400
-    high = F.percentile_approx
-    monkeypatch.setattr(rank.F, "percentile_approx", lambda c, q, a: high(c, F.lit(0.9999), F.lit(a)))
-    got = rank.top_p_per_day(df, 0.01)
-    assert got.count() == 2400 and got.exceptAll(want).count() == 0
+def test_quantiles_read_the_rows_twice(spark):
+    """Whatever the spread of the values, beyond the small size there are two passes over the rows."""
+    reads = spark.sparkContext.accumulator(0)
 
+    def seen(frames):
+        for f in frames:
+            reads.add(len(f))
+            yield f
 
-def test_large_slices_are_cut_first(spark, monkeypatch):
-    df = training(spark, 3000).withColumn("anomaly_score", F.col("a") * 10 + F.col("b")).withColumn(
-        "event_id", F.monotonically_increasing_id().cast("string"))
-    want = [(r["rank"], r["event_id"]) for r in rank.top_k(df, 700).orderBy("rank").collect()]
+    rows = spark.range(30_000).select(F.exp((F.col("id") % 7919) / 100.0 - 40).alias("x"), F.lit(1.5).alias("y"))
+    got = exact_quantiles(rows.mapInPandas(seen, "x double, y double"), ["x", "y"], [0.01, 0.5, 0.999], small_rows=100)
+    assert reads.value == 60_000
+    want = rows.agg(F.percentile("x", [0.01, 0.5, 0.999]), F.percentile("y", [0.01, 0.5, 0.999])).first()
+    assert got["x"] == pytest.approx(want[0], rel=1e-12) and got["y"] == want[1]
+
+
+def test_a_rank_that_the_sketch_misses_is_found(spark, monkeypatch):
+    real = quantiles._merged
+    monkeypatch.setattr(quantiles, "_merged", lambda facts, ends: [(hi, hi) for _, hi in real(facts, ends)])
+    rows = spark.range(3000).select(F.sqrt("id").alias("x"))
+    got = exact_quantiles(rows, ["x"], [0.1, 0.5], small_rows=10)["x"]
+    assert got == pytest.approx(list(rows.agg(F.percentile("x", [0.1, 0.5])).first()[0]))
+
+
+def scored_days(spark, n=6000):
+    score = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 97 == 0, float("nan")).when(
+        F.col("id") % 89 == 0, math.inf).when(F.col("id") % 83 == 0, -math.inf).otherwise((F.col("id") * 7919 % 1000) / 8.0)
+    day = F.when(F.col("id") % 50 == 0, None).when(F.col("id") < n // 2, "2024-01-01").when(
+        F.col("id") < n - 20, "2024-01-02").otherwise("2024-01-03")
+    return spark.range(n).select(F.format_string("%06d", "id").alias("event_id"), score.cast("double").alias("anomaly_score"),
+                                 F.to_timestamp_ntz(day).alias("timestamp"))
+
+
+@pytest.mark.parametrize("p", [0.01, 0.3, 1.0])
+def test_day_slices_by_either_way(spark, p):
+    """Days that are cut by counts have the slices of days that are ranked whole; missing days are a day of their own."""
+    df = scored_days(spark)
+    got, want = ([(str(r["day"]), r["rank"], r["event_id"]) for r in rank.top_p_per_day(df, p, small_rows=n).collect()]
+                 for n in (50, 10 ** 6))
+    assert sorted(got) == sorted(want) and len({d for d, *_ in got}) == 4
+
+
+def test_ties_at_the_cut_of_a_day(spark):
+    df = scored_days(spark).withColumn("anomaly_score", F.lit(1.0))
+    got = rank.top_p_per_day(df, 0.01, small_rows=50)
+    assert got.groupBy("day").agg(F.max("event_id") < "006000", F.max("rank"), F.count("*")).count() == 4
+    assert got.where("day = DATE '2024-01-01'").agg(F.max("event_id")).first()[0] < "000040"
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_long_slices_are_cut_first(spark, monkeypatch, descending):
+    df = scored_days(spark)
+    want = [(r["rank"], r["event_id"]) for r in rank.top_k(df, 700, descending=descending).orderBy("rank").collect()]
     monkeypatch.setattr(rank, "LIMIT_ROWS", 100)
-    got = [(r["rank"], r["event_id"]) for r in rank.top_k(df, 700).orderBy("rank").collect()]
+    monkeypatch.setattr(rank, "GROUP_ROWS", 100)
+    monkeypatch.setattr(rank.best_rows, "__defaults__", (True, 100))
+    got = [(r["rank"], r["event_id"]) for r in rank.top_k(df, 700, descending=descending).orderBy("rank").collect()]
     assert got == want and len(got) == 700
+    names = [r["event_id"] for r in rank.top_k(df, 700, by="event_id", descending=descending).orderBy("rank").collect()]
+    assert names == sorted(names, reverse=descending) and len(names) == 700
+
+
+def test_slices_evaluate_their_input_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            reads.add(len(f))
+            yield f
+
+    df = scored_days(spark)
+    counted = df.mapInPandas(seen, df.schema)
+    rank.top_p_per_day(counted, 0.01, small_rows=50).collect()
+    assert reads.value == 6000
+    rank.top_p(counted, 0.01).collect()
+    assert reads.value == 12_000
 
 
 def test_feed_from_a_file_and_from_a_folder(spark, tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import map_batches
+from .common import map_batches, settle
 
 #: Fixed value: word bytes are ASCII letters and digits and everything beyond ASCII.
 WORD_BYTES = ~tb.byte_class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -149,14 +149,19 @@ def match_shard(data: np.ndarray, offsets: np.ndarray, test: TestSet):
             np.repeat(test.need[query], sizes), np.repeat(query, sizes), longest)
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[list]:
-    """The benchmark in blocks of bounded size, each small enough for the driver and for a broadcast."""
-    keyed = items.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    total = keyed.select(F.sum(F.octet_length("t") + 16).alias("b")).first().b or 0
-    n = max(1, math.ceil(total / block_bytes))
-    for k in range(n):
-        part = keyed if n == 1 else keyed.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield part.collect()
+def _keyed(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+
+
+def _n_blocks(items: DataFrame, block_bytes: int) -> int:
+    total = _keyed(items).select(F.sum(F.octet_length("t") + 16).alias("b")).first().b or 0
+    return max(1, math.ceil(total / block_bytes))
+
+
+def _block(items: DataFrame, k: int, n: int) -> list:
+    """One of ``n`` blocks of the benchmark, small enough for the driver and for a broadcast."""
+    keyed = _keyed(items)
+    return (keyed if n == 1 else keyed.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).collect()
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -170,7 +175,8 @@ def find(docs: DataFrame, items: DataFrame, width: int = 13, block_bytes: int =
 
     Each task builds a suffix array over each shard of some megabytes of its documents and searches all test suffixes
     in it by bisection. The benchmark is the stated query set; it is sent in blocks of at most about ``block_bytes``,
-    one pass over the documents for each, so no broadcast grows beyond that.
+    one pass over the documents for each. With several blocks every pass but the last is settled before the next block
+    is read, so one block is on the driver and one broadcast is live at a time.
 
     Null texts have no words. An item without id marks words but is not listed. Repeated rows and null doc_ids are
     treated like any other row. Without items nothing is hit.
@@ -180,13 +186,17 @@ def find(docs: DataFrame, items: DataFrame, width: int = 13, block_bytes: int =
     schema = (out.limit(0).select(
         "*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("longest"),
         F.array().cast("array<long>").alias("__edges"), F.array().cast("array<string>").alias("items"))).schema
-    blocks = list(_blocks(items, block_bytes))
     context = docs.sparkSession.sparkContext
-    previous = None
-    for rows in blocks:
+    previous, test, n = None, None, _n_blocks(items, block_bytes)
+    for k in range(n):
+        if test is not None:
+            # The pass is done and its block gone before the next one is read.
+            previous = settle(previous, "decontaminated")
+            test.destroy()
+        rows = _block(items, k, n)
         test = context.broadcast(TestSet([r.i for r in rows], [r.t for r in rows], width))
-        source = out if previous is None else previous
-        previous = map_batches(source, _scanner(test, previous is not None), schema)
+        del rows
+        previous = map_batches(out if previous is None else previous, _scanner(test, previous is not None), schema)
     starts = F.transform(F.sequence(F.lit(0), F.size("__edges") - 1, F.lit(2)), lambda i: F.struct(
         F.get("__edges", i).alias("start"), F.get("__edges", i + 1).alias("end")))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import map_batches, settle
 
-LONGEST_PIECE = 12
-WORD_BYTES = 32
+#: Words of up to so many bytes are summed as plain probabilities, which cannot vanish there; longer ones as logarithms.
+PLAIN_BYTES = 16
+#: Bytes after which a run of letters is cut, at a character's start, when words are counted to fit a model.
+FIT_BYTES = 256
 MOST_WORDS = 1 << 20
 _LETTERS = tb.byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _SLOTS = 20
@@ -24,13 +26,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def word_pieces(path: str, longest: int = LONGEST_PIECE) -> list[bytes]:
+def word_pieces(path: str) -> list[bytes]:
     """The vocabulary's byte strings that can occur in a lower-cased word with the blank before it."""
     table = bytes(range(256))
     inner = bytes(b for b in table if b >= 0x80 or 0x61 <= b <= 0x7A)
     with open(path, "rb") as lines:
         pieces = [base64.b64decode(line.split()[0]) for line in lines]
-    keep = {p for p in pieces if len(p) <= longest and not p.removeprefix(b" ").strip(inner)}
+    keep = {p for p in pieces if not p.removeprefix(b" ").strip(inner)}
     return sorted(keep | {bytes([b]) for b in inner} | {b" "})
 
 
@@ -57,7 +59,7 @@ class Lattice:
         at = np.arange(len(data))
         room = np.repeat(first + size, size) - at
         out = []
-        for length in range(1, self.longest + 1):
+        for length in np.unique(self.sizes).tolist():
             start = np.flatnonzero(room >= length)
             if not len(start):
                 break
@@ -89,40 +91,92 @@ class Lattice:
             alpha[w[heads], end[a]] = np.add.reduceat(alpha[w, start[a:b]] * chances[piece[a:b]], heads)
         return alpha
 
+    @staticmethod
+    def _log_step(w: np.ndarray, terms: np.ndarray):
+        """The words of one step and the logarithms of their sums of terms; rows of a word lie together."""
+        heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        top = np.maximum.reduceat(terms, heads)
+        each = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(w))))
+        return w[heads], top + np.log(np.add.reduceat(np.exp(terms - top[each]), heads))
+
+    def log_totals(self, edges, size: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum over all segmentations of each word, of any length.
+
+        Only the sums of the last places that a piece can reach are kept, in a ring.
+        """
+        word, start, end, piece = edges
+        width = self.longest + 1
+        ring = np.full((len(size), width, logs.shape[1]), -np.inf)
+        ring[:, 0] = 0
+        out = np.zeros((len(size), logs.shape[1]))
+        for a, b in self._steps(end):
+            w, value = self._log_step(word[a:b], ring[word[a:b], start[a:b] % width] + logs[piece[a:b]])
+            ring[w, end[a] % width] = value
+            last = size[w] == end[a]
+            out[w[last]] = value[last]
+        return out
+
     def expected(self, data, first, size, weights: np.ndarray, chances: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece for each language, words counting ``weights`` times."""
-        edges = self.edges(data, first, size)
-        word, start, end, piece = edges
-        longest = int(size.max())
-        alpha = self.forward(edges, len(size), longest, chances)
-        beta = np.zeros_like(alpha)
-        beta[np.arange(len(size)), size] = 1
+        word, start, end, piece = self.edges(data, first, size)
+        logs = np.log(chances)
+        alpha = np.full((len(size), int(size.max()) + 1, chances.shape[1]), -np.inf)
+        beta = np.full_like(alpha, -np.inf)
+        alpha[:, 0] = 0
+        beta[np.arange(len(size)), size] = 0
+        for a, b in self._steps(end):
+            w, value = self._log_step(word[a:b], alpha[word[a:b], start[a:b]] + logs[piece[a:b]])
+            alpha[w, end[a]] = value
+        total = alpha[np.arange(len(size)), size]
+        out = np.zeros_like(chances)
         back = np.lexsort((word, -start))
         word, start, end, piece = word[back], start[back], end[back], piece[back]
         for a, b in self._steps(start):
-            w = word[a:b]
-            heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            beta[w[heads], start[a]] = np.add.reduceat(beta[w, end[a:b]] * chances[piece[a:b]], heads)
-        total = alpha[np.arange(len(size)), size]
-        use = alpha[word, start] * chances[piece] * beta[word, end] * (weights / total)[word]
-        out = np.zeros_like(chances)
-        np.add.at(out, piece, use)
+            w, value = self._log_step(word[a:b], beta[word[a:b], end[a:b]] + logs[piece[a:b]])
+            beta[w, start[a]] = value
+        for a in range(0, len(word), 1 << 18):
+            w, p = word[a:a + (1 << 18)], piece[a:a + (1 << 18)]
+            use = np.exp(alpha[w, start[a:a + (1 << 18)]] + logs[p] + beta[w, end[a:a + (1 << 18)]] - total[w]) * weights[w]
+            np.add.at(out, p, use)
         return out
 
     def scores(self, data, first, size, chances: np.ndarray) -> np.ndarray:
         """Log-probability of each word for each language."""
-        alpha = self.forward(self.edges(data, first, size), len(size), int(size.max()), chances)
+        edges = self.edges(data, first, size)
+        if int(size.max()) > PLAIN_BYTES:
+            return self.log_totals(edges, size, np.log(chances))
+        alpha = self.forward(edges, len(size), int(size.max()), chances)
         return np.log(alpha[np.arange(len(size)), size])
 
 
-def letter_runs(data: np.ndarray, offsets: np.ndarray):
-    """Lower-cased bytes, starts and ends of words (cut every ``WORD_BYTES`` bytes) and the first word of each document."""
+def batches_of(size: np.ndarray, langs: int, whole: bool = False):
+    """Groups of words of like length whose sums take some 64 MB; plain words and longer ones apart."""
+    order = np.argsort(size, kind="stable")
+    cut, at = int(np.searchsorted(size[order], PLAIN_BYTES, "right")), 0
+    while at < len(order):
+        stop = cut if at < cut else len(order)
+        places = int(size[order[stop - 1]]) + 1 if whole or at < cut else 64
+        step = max(1, (8 << 20) // (places * langs))
+        yield order[at:min(stop, at + step)]
+        at = min(stop, at + step)
+
+
+def letter_runs(data: np.ndarray, offsets: np.ndarray, most: int | None = None):
+    """Lower-cased bytes, starts and ends of words and the first word of each document.
+
+    With ``most``, longer words are cut into parts of that many bytes, less what belongs to a character begun before.
+    """
     low = tb.LOWER[data]
     starts, ends, _ = tb.tokens(low, offsets, _LETTERS)
-    long_ = np.flatnonzero(ends - starts > WORD_BYTES)
+    long_ = np.flatnonzero(ends - starts > most) if most else ()
     if len(long_):
-        more = [np.arange(starts[i] + WORD_BYTES, ends[i], WORD_BYTES) for i in long_]
-        cuts = np.concatenate(more)
+        cuts = []
+        for i in long_:
+            at = np.arange(starts[i] + most, ends[i], most)
+            for _ in range(3):
+                at = at - ((low[at] & 0xC0) == 0x80)
+            cuts.append(at[at > starts[i]])
+        cuts = np.unique(np.concatenate(cuts))
         starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
     return low, starts, ends, np.searchsorted(starts, offsets)
 
@@ -155,7 +209,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
             data, offsets = tb.flat(batch.column(1))
             for i, j in tb.slices(offsets):
                 part, ends = tb.cut(data, offsets, i, j)
-                low, a, b, first = letter_runs(part, ends)
+                low, a, b, first = letter_runs(part, ends, FIT_BYTES)
                 hashes = tb.token_hashes(low, a, b)
                 lang = np.repeat(langs[i:j], np.diff(first))
                 for name in np.unique(lang).tolist():
@@ -176,20 +230,17 @@ class Model:
         self.key = uuid.uuid4().hex
 
 
-def fit(docs: DataFrame, path: str | None = None, per_language: int = 1000, rounds: int = 3, most_languages: int = 256,
-        prior: float = 0.05) -> Model:
+def fit(docs: DataFrame, path: str | None = None, per_language: int = 1000, rounds: int = 3, prior: float = 0.05) -> Model:
     """Piece probabilities of each language in ``docs`` (doc_id, text, lang) by expectation maximisation.
 
-    The vocabulary is fixed: pieces of the public file at ``path`` of at most ``LONGEST_PIECE`` bytes. The model is
-    fitted on a bounded sample of about ``per_language`` documents of each language; their words are counted once, and
+    The vocabulary is fixed: the pieces of the public file at ``path`` that can occur in a word. The model is fitted on
+    parts of words of at most ``FIT_BYTES`` bytes in a bounded sample of about ``per_language`` documents of each language; their words are counted once, and
     each round sums the expected uses of every piece over all segmentations, in tasks over the distinct words. What
-    comes to the driver is bounded by the vocabulary times ``most_languages``; more languages are an error. Rows
+    comes to the driver is the model, which is bounded by the vocabulary times the number of languages. Rows
     without lang or text do not count; without any row the model knows no language.
     """
     pieces = word_pieces(path or default_path())
-    counts = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    counts = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if langs:
         words = settle(_word_counts(_sample(docs, {r["lang"]: r["count"] for r in counts}, per_language)), "words")
@@ -206,11 +257,10 @@ def fit(docs: DataFrame, path: str | None = None, per_language: int = 1000, roun
                 lang = np.array([columns[x] for x in batch.column(0).to_pylist()], np.int64)
                 data, offsets = tb.flat(batch.column(1))
                 count = batch.column(2).to_numpy()
-                for i in range(0, len(lang), 20_000):
-                    j = min(len(lang), i + 20_000)
-                    weights = np.zeros((j - i, total.shape[1]))
-                    weights[np.arange(j - i), lang[i:j]] = count[i:j]
-                    row, first, size = with_blank(data, offsets[i:j], offsets[i + 1:j + 1])
+                for some in batches_of(np.diff(offsets), total.shape[1], whole=True):
+                    weights = np.zeros((len(some), total.shape[1]))
+                    weights[np.arange(len(some)), lang[some]] = count[some]
+                    row, first, size = with_blank(data, offsets[some], offsets[some + 1])
                     total += lattice.expected(row, first, size, weights, sent.value.chances)
             at = np.flatnonzero(total.sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].tolist(), pa.list_(pa.float64()))],
@@ -249,11 +299,8 @@ class Scorer:
             new[:] = True
         found, fresh = keys[new], lead[new]
         if len(found):
-            # Words of like length together, so that few places stay empty.
             rows = np.empty((len(found), self.rows.shape[1]))
-            order = np.argsort((b - a)[fresh], kind="stable")
-            for i in range(0, len(order), 20_000):
-                some = order[i:i + 20_000]
+            for some in batches_of((b - a)[fresh] + 1, rows.shape[1]):
                 rows[some] = self.lattice.scores(*with_blank(low, a[fresh[some]], b[fresh[some]]), self.model.chances)
             at = np.searchsorted(self.keys, found)
             self.keys, self.rows = np.insert(self.keys, at, found), np.insert(self.rows, at, rows, axis=0)
@@ -278,8 +325,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (text, ...) with ``lang_pred`` and ``score``; columns with these names are replaced.
 
     A text's words are its runs of letters (ASCII letters and all bytes beyond ASCII), lower-cased in A-Z, each with a
-    blank before it; runs are cut every 32 bytes. A word's probability in a language is the sum over all its
-    segmentations into pieces, a text's the product over its words. ``score`` is the probability of the best language
+    blank before it. A word's probability in a language is the sum over all its segmentations into pieces, however
+    long it is, a text's the product over its words. ``score`` is the probability of the best language
     if all are equally likely beforehand; at ties the first in order of name. A text that is null or has no letter, or
     a model without languages, gives ``und`` with score 0. Every row is scored, repeated ones too; doc_id, lang and
     source are not read.

@@ -20,7 +20,10 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "key", "user", "endpoint")
 _DENSE = tb.byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_="])
 USER = re.compile(rb"(?:user(?:name|_?id)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})", re.IGNORECASE)
-ENDPOINT = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])(?::[0-9]+)?")
+_SCHEME = tb.byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+.-"])
+_LETTER = re.compile(rb"[A-Za-z]")
+_BODY = re.compile(rb"://[^\x00-\x20\"'<>]+")
+ADDRESS = re.compile(rb"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])(?::[0-9]+)?")
 BREAK = re.compile(rb"\n[\x20\t\r]*\n")
 REACH = 200
 LEAST_KEY = 32
@@ -32,6 +35,28 @@ def _mixed(token: bytes) -> bool:
     return bool(re.search(rb"[a-z]", token) and re.search(rb"[A-Z]", token) and len(re.findall(rb"[0-9]", token)) >= 3)
 
 
+def endpoint_spans(text: bytes) -> list[tuple[int, int]]:
+    """URLs (a scheme that begins with a letter, ``://`` and a body) and IPv4 addresses from left to right.
+
+    A scheme begins at the first letter of the run before its ``://``; runs are found once, so a long one costs no more
+    than its length.
+    """
+    spans, at = [], 0
+    if b"://" in text:
+        walls = np.flatnonzero(~_SCHEME[np.frombuffer(text, np.uint8)])
+        for sign in (m.start() for m in re.finditer(rb"://", text)):
+            if sign < at:
+                continue
+            behind = int(np.searchsorted(walls, sign))
+            letter = _LETTER.search(text, max(at, int(walls[behind - 1]) + 1 if behind else 0), sign)
+            body = _BODY.match(text, sign) if letter else None
+            if body:
+                spans += [m.span() for m in ADDRESS.finditer(text, at, letter.start())]
+                spans.append((letter.start(), body.end()))
+                at = body.end()
+    return spans + [m.span() for m in ADDRESS.finditer(text, at)]
+
+
 def _linked(parts: list[tuple], others: list[tuple], breaks: np.ndarray, reach: int) -> list[tuple]:
     """Interval join: the ``parts`` that have one of ``others`` within ``reach`` bytes and in the same paragraph."""
     if not parts or not others:
@@ -72,7 +97,7 @@ def scan_text(text: bytes, dense: list[tuple[int, int]], reach: int = REACH) ->
         return found
     breaks = np.array([m.start() for m in BREAK.finditer(text)], np.int64)
     users = [p for p in (("user", *m.span()) for m in USER.finditer(text)) if free(p)]
-    endpoints = [p for p in (("endpoint", *m.span()) for m in ENDPOINT.finditer(text)) if free(p)]
+    endpoints = [p for p in (("endpoint", *span) for span in endpoint_spans(text)) if free(p)]
     identifiers = [p for p in found if p[0] == "access"] + users
     found += _linked(weak, identifiers + endpoints, breaks, reach)
     found += _linked(users, secrets, breaks, reach)

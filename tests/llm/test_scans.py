@@ -2,9 +2,13 @@
 
 import math
 import random
+import re
+import time
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 from sentrank.llm import decontaminate, language_id, secrets
@@ -43,6 +47,28 @@ def test_decontamination_matches_brute_force(docs, spark, seed, block, monkeypat
     assert rows_of(got, *got.columns) == sorted(brute.decontaminate(rows, items), key=repr)
 
 
+def test_one_block_is_live_at_a_time(docs, spark, monkeypatch):
+    rows, items = benchmark_case(5)
+    live, most = [], []
+    made, gone = decontaminate.TestSet, Broadcast.destroy
+
+    def counted(*args):
+        most.append(len(live) + 1)
+        live.append(made(*args))
+        return live[-1]
+
+    def destroyed(self, blocking=False):
+        live.pop()
+        gone(self, blocking)
+
+    monkeypatch.setattr(decontaminate, "TestSet", counted)
+    monkeypatch.setattr(Broadcast, "destroy", destroyed)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.find(docs(rows, 2), bench, block_bytes=150)
+    assert got.where("contaminated").count() == sum(r[5] for r in brute.decontaminate(rows, items))
+    assert len(most) > 3 and max(most) == 1
+
+
 def test_decontamination_spans_and_longest(docs, spark):
     item = " ".join(f"q{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
@@ -93,6 +119,27 @@ def test_weak_parts_need_company(docs, text, kinds):
             assert text[s.start:s.end] == KEY
 
 
+ENDPOINT = re.compile(
+    rb"[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])(?::[0-9]+)?")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_endpoints_are_those_of_the_pattern(seed):
+    rng = random.Random(seed)
+    bits = [b"a", b"http", b"://", b":", b"/", b"1", b"1.2.3.4", b":80", b"+", b"-", b".", b" ", b"<", b"\xc3\xa9", b"x.y", b"12"]
+    for _ in range(4000):
+        text = b"".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        assert secrets.endpoint_spans(text) == [m.span() for m in ENDPOINT.finditer(text)], text
+
+
+@pytest.mark.parametrize("run", ["a" * 1_000_000, "a+" * 400_000, "://" * 300_000, "a://" * 250_000, "1.2.3." * 150_000, "user" * 200_000, "Z9" * 400_000])
+def test_very_long_runs_are_scanned_in_linear_time(run):
+    text = f"password=abcdefghijklmnop {run}".encode()
+    began = time.monotonic()
+    secrets.scan_text(text, [(9, 25)])
+    assert time.monotonic() - began < 10
+
+
 def test_interval_join_matches_pairs():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -133,6 +180,64 @@ def test_forward_sums_all_segmentations():
     assert np.allclose((uses * np.array([[len(p)] for p in pieces])).sum(0), sum(size))
 
 
+def total_of(text, pieces, chances):
+    """Log of the sum over all segmentations, from the front, in Python's own numbers scaled by exact fractions."""
+    sums = [Fraction(1)]
+    for j in range(1, len(text) + 1):
+        sums.append(sum((sums[j - len(p)] * Fraction(c) for p, c in zip(pieces, chances) if text[:j].endswith(p)), Fraction(0)))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_long_words_are_summed_over_all_segmentations():
+    rng = random.Random(6)
+    pieces = sorted({b" ", b"a", b"b", b"ab", b" a", b"ba", b"abababababababababababababababababab", b"bbbbbbbbbbbbbbbbbbb"})
+    lattice = language_id.Lattice(pieces)
+    chances = np.array([[rng.random() * 1e-9, rng.random()] for _ in pieces])
+    words = [b" " + bytes(rng.choice(b"ab") for _ in range(n)) for n in (1, 15, 16, 17, 40, 300)] + [b" " + b"ab" * 100]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    size = np.array([len(w) for w in words])
+    got = lattice.scores(data, np.cumsum(size) - size, size, chances)
+    assert np.isfinite(got).all()
+    for w, row in zip(words, got, strict=True):
+        assert np.allclose(row, [total_of(w, pieces, chances[:, k]) for k in (0, 1)], rtol=1e-9)
+
+
+def test_long_runs_have_finite_scores(docs):
+    rows = [(i, "the water and house " * 5, "en") for i in range(6)] + [(10 + i, "我们的水和房子在这里" * 20, "zh") for i in range(6)]
+    rows += [(100, "水" * 40_000, None), (101, "z" * 60_000, None), (102, "我们的房子" * 3000, None)]
+    model = language_id.fit(docs(rows))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs(rows), model).collect()}
+    assert all(math.isfinite(s) and 0 <= s <= 1 for _, s in got.values())
+    assert got[102][0] == "zh" and got[100][0] == "zh" and got[0][0] == "en"
+
+
+def test_fit_and_predict_match_a_plain_version(docs, monkeypatch):
+    """One round of expectation maximisation and the prediction, against sums over all segmentations in the open."""
+    monkeypatch.setattr(language_id, "word_pieces", lambda path: sorted([b" ", b" a", b"ab", b"ba", b"abab", *(bytes([b]) for b in (97, 98, 99))]))
+    pieces = language_id.word_pieces(None)
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abc"[:2 + i % 2]) for _ in range(rng.randint(1, 7))) for _ in range(12)), "xy"[i % 2])
+            for i in range(14)]
+
+    def ways(word):
+        return [[p, *rest] for p in pieces if word.startswith(p) for rest in ways(word[len(p):])] if word else [[]]
+
+    want = np.full((len(pieces), 2), 0.05)
+    for _, text, lang in rows:
+        for word in text.split(" "):
+            every = ways(b" " + word.encode())
+            chance = [(1 / len(pieces)) ** len(w) for w in every]
+            for w, c in zip(every, chance, strict=True):
+                for p in w:
+                    want[pieces.index(p), "xy".index(lang)] += c / sum(chance)
+    model = language_id.fit(docs(rows), rounds=1)
+    assert model.langs == ["x", "y"] and np.allclose(model.chances, want / want.sum(0))
+    for r in language_id.predict(docs(rows), model).collect():
+        logs = np.array([sum(math.log(sum(math.prod(model.chances[pieces.index(p), k] for p in w) for w in ways(b" " + word.encode())))
+                             for word in r.text.split(" ")) for k in (0, 1)])
+        assert r.lang_pred == "xy"[int(logs.argmax())] and math.isclose(r.score, 1 / np.exp(logs - logs.max()).sum(), rel_tol=1e-9)
+
+
 def test_languages_are_told_apart(docs):
     rng = random.Random(5)
     stock = {"en": "the of and tion ing house water with that", "fr": "le de et eau ment maison être avec que", "de": "der und ung keit haus wasser für mit dass"}

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import textbytes as tb
-from .slabs import HEAVY_SYMBOLS, Pieces, Slab, Spec, doubled_ranks, repeated, smaller_neighbours
+from .decontaminate import bisect
+from .slabs import HEAVY_SYMBOLS, Pieces, Slab, Spec, doubled_ranks, repeated
 from .suffix_dedup import content_groups, edges, select, windows
 
 WINDOW = 20
@@ -19,52 +20,78 @@ def _symbols(data, offsets):
     return tb.token_hashes(data, starts, ends), first
 
 
-def longest_earlier(words: np.ndarray, place: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Length of the longest match of the words at each position with an earlier place, at most ``room`` words.
+class Least:
+    """Least of any range of values, from the least of all ranges of 1, 2, 4, ... values."""
 
-    The reference block is indexed by its suffix array. The longest match with an earlier place is at the previous or
-    the next suffix with a smaller place in that order; its length is read off the ranks of the doubling.
+    def __init__(self, values: np.ndarray):
+        self.levels, step = [values], 1
+        while 2 * step <= len(values):
+            self.levels.append(np.minimum(self.levels[-1][:-step], self.levels[-1][step:]))
+            step *= 2
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For ranges of one value at least."""
+        level = np.frexp((hi - lo).astype(float))[1] - 1
+        out = np.empty(len(lo), np.int64)
+        for k in np.unique(level).tolist():
+            some = level == k
+            row = self.levels[k]
+            out[some] = np.minimum(row[lo[some]], row[hi[some] - (1 << k)])
+        return out
+
+
+def parse(words: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """End of the factor that each position belongs to, when every piece is factored greedily from its start.
+
+    A factor is the longest match of what follows with words of the reference block at an earlier place, or one word
+    where there is none. The block is indexed by its suffix array. All pieces are read word by word side by side: the
+    suffixes that begin with a piece's factor are a range, which the next word narrows by bisection; the factor ends
+    where no suffix of an earlier place is left.
     """
-    ranks = doubled_ranks(words, int(room.max(initial=1)))
-    suffixes = np.argsort(ranks[-1][1], kind="stable")
-    best = np.zeros(len(words), np.int64)
-    for near in smaller_neighbours(place[suffixes]):
-        some = (near >= 0) & (near < len(words))
-        a, b = suffixes[some], suffixes[near[some]]
-        most = np.minimum(room[a], room[b])
-        same = np.zeros(len(a), np.int64)
-        for size, rank in reversed(ranks):
-            if size & (size - 1):
-                continue  # not a power of two
-            for _ in range(2):
-                fits = same + size <= most
-                i = np.flatnonzero(fits)
-                i = i[rank[a[i] + same[i]] == rank[b[i] + same[i]]]
-                same[i] += size
-        best[a] = np.maximum(best[a], same)
-    return best
-
-
-def parse(longest: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """End of the factor that each position belongs to, when every piece is factored greedily from its start."""
-    starts = np.zeros(len(longest), bool)
-    at, end = first.copy(), first + size
+    n = len(words)
+    order = np.argsort(doubled_ranks(words, int(size.max(initial=1)))[-1][1], kind="stable")
+    least = Least(place[order])
+    begins, ends = [], []
+    begin, at, stop = first.copy(), first.copy(), first + size
+    lo, hi = np.zeros(len(first), np.int64), np.full(len(first), n, np.int64)
     while len(at):
-        starts[at] = True
-        at = at + np.maximum(1, longest[at])
-        go = at < end
-        at, end = at[go], end[go]
-    begin = np.flatnonzero(starts)
-    factor = np.cumsum(starts) - 1
-    return (begin + np.maximum(1, longest[begin]))[factor]
+        want, depth = words[at], at - begin
+        low = bisect(words, order, depth, lo, hi, want, False)
+        high = bisect(words, order, depth, low, hi, want, True)
+        longer = low < high
+        longer[longer] = least.of(low[longer], high[longer]) < place[begin[longer]]
+        alone = ~longer & (depth == 0)
+        at = at + (longer | alone)
+        closed = ~longer | (at == stop)
+        begins.append(begin[closed])
+        ends.append(at[closed])
+        begin = np.where(closed, at, begin)
+        lo, hi = np.where(closed, 0, low), np.where(closed, n, high)
+        live = at < stop
+        begin, at, stop, lo, hi = begin[live], at[live], stop[live], lo[live], hi[live]
+    begin, end = np.concatenate([*begins, np.empty(0, np.int64)]), np.concatenate([*ends, np.empty(0, np.int64)])
+    out = np.arange(n) + 1
+    length = end - begin
+    out[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())] = np.repeat(end, length)
+    return out
+
+
+def looked_up(words: np.ndarray, place: np.ndarray, runs: np.ndarray, asked: np.ndarray, length: int) -> np.ndarray:
+    """Which of the ``asked`` runs also start at an earlier place, by a table of all ``runs`` with their least places."""
+    grams = tb.gram_hashes(tb.mix(words.astype(np.uint64)) | np.uint64(1), length)
+    order = np.lexsort((place[runs], grams[runs]))
+    ranked = grams[runs][order]
+    head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))[:len(ranked)]
+    slot = np.searchsorted(ranked[head], grams[asked])
+    return place[runs][order][head][slot] < place[asked]
 
 
 def find(pieces: Pieces, spec: Spec) -> np.ndarray:
     """Which runs of a chunk also start earlier (a smaller doc_id, or the same document and an earlier place).
 
     Equal pieces enter once, at their first place; the others are repeats as a whole. The rest is the reference block:
-    each piece is factored greedily into longest matches with earlier places of the block. Runs inside one factor are
-    repeats; runs that cross a factor's end are looked up in the index one by one.
+    each piece is factored greedily into longest matches with earlier places of the block. Factors of a run's length
+    or more are repeats throughout. What else could be one is a run over a factor's end; those are looked up.
     """
     length = spec.length
     group, _ = content_groups(pieces, pieces.text)
@@ -81,15 +108,13 @@ def find(pieces: Pieces, spec: Spec) -> np.ndarray:
     inner = np.arange(len(words)) - np.repeat(first, size)
     at = np.arange(len(words)) + np.repeat(np.arange(len(lead)), size)
     first = first + np.arange(len(lead))
-    codes, where, room = (np.zeros(len(words) + len(lead), np.int64) for _ in range(3))
+    codes, where = (np.zeros(len(words) + len(lead), np.int64) for _ in range(2))
     codes[at] = np.unique(words, return_inverse=True)[1] + 1
     where[at] = np.repeat(place[lead], size) + inner
-    room[at] = np.repeat(size, size) - inner
-    longest = longest_earlier(codes, where, room)
-    ends = parse(longest, first, size)
+    ends = parse(codes, where, first, size)
     runs = windows(Pieces(*[None] * 5, first, size, codes), length)
     inside = ends[runs] - runs >= length
-    inside[~inside] = longest[runs[~inside]] >= length
+    inside[~inside] = looked_up(codes, where, runs, runs[~inside], length)
     back = np.zeros(len(codes), np.int64)
     back[at] = old
     mask = np.zeros(len(pieces.text), bool)

@@ -122,8 +122,55 @@ def test_smaller_neighbours():
         assert after[i] == min((j for j in range(i + 1, 500) if key[j] < key[i]), default=500)
 
 
-def test_longest_earlier():
-    words = np.array([1, 2, 3, 1, 2, 3, 4, 1, 2, 0])
-    room = np.arange(10, 0, -1) - 1
-    got = rlz_dedup.longest_earlier(words, np.arange(10), room)
-    assert got[:9].tolist() == [0, 0, 0, 3, 2, 1, 0, 2, 1]
+def greedy_ends(pieces):
+    """Ends of factors, piece by piece in order: longest matches that begin at an earlier place."""
+    places = [(p, i) for p, words in enumerate(pieces) for i in range(len(words))]
+    out = []
+    for p, words in enumerate(pieces):
+        at, ends = 0, []
+        while at < len(words):
+            longest = 0
+            for q, i in places:
+                if (q, i) < (p, at):
+                    n = 0
+                    while at + n < len(words) and i + n < len(pieces[q]) and words[at + n] == pieces[q][i + n]:
+                        n += 1
+                    longest = max(longest, n)
+            step = max(1, longest)
+            ends += [at + step] * step
+            at += step
+        out.append(ends)
+    return out
+
+
+def test_pieces_are_factored_greedily():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        pieces = [rng.integers(1, 4, int(rng.integers(1, 25))).tolist() for _ in range(int(rng.integers(1, 8)))]
+        words = np.array(sum(([*p, 0] for p in pieces), []))
+        size = np.array([len(p) for p in pieces])
+        first = np.cumsum(size + 1) - size - 1
+        ends = rlz_dedup.parse(words, np.arange(len(words)), first, size)
+        for f, n, want in zip(first, size, greedy_ends(pieces), strict=True):
+            assert (ends[f:f + n] - f).tolist() == want
+
+
+def test_factors_decide(docs, monkeypatch):
+    """Runs inside long factors are found by the factors alone: without factoring they are missed."""
+    rows = passages(3, 40, small_words)
+    want = sorted(((k, *v) for k, v in brute.substring_dedup(rows).items()), key=repr)
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert rows_of(rlz_dedup.remove_repeats(docs(rows, 2)), *columns) == want
+    real = rlz_dedup.parse
+    text = np.array([*range(1, 31), 0, 0, *range(1, 31), 0])      # a piece of thirty words, twice
+    ends = real(text, np.arange(len(text)), np.array([0, 32]), np.array([30, 30]))
+    assert set(ends[32:62].tolist()) == {62} and ends[:30].tolist() == list(range(1, 31))
+    spec = slabs.Spec(6, 20, None, np.uint64, False, None)
+    near = np.concatenate([np.arange(1, 35), np.arange(1, 34), [99]]).astype(np.uint64)
+    pieces = slabs.Pieces(np.array([1, 2]), np.zeros(2, bool), np.zeros(2, np.int64), np.arange(2, dtype=np.int32),
+                          np.zeros(2, np.int64), np.array([0, 34]), np.array([34, 34]), near)
+    assert rlz_dedup.find(pieces, spec).sum() == 14
+    monkeypatch.setattr(rlz_dedup, "looked_up", lambda words, place, runs, asked, length: np.zeros(len(asked), bool))
+    assert rlz_dedup.find(pieces, spec).sum() == 14
+    monkeypatch.setattr(rlz_dedup, "parse", lambda words, place, first, size: np.arange(len(words)) + 1)
+    assert rlz_dedup.find(pieces, spec).sum() == 0

@@ -49,24 +49,13 @@ def test_decontamination_matches_brute_force(docs, spark, seed, block, monkeypat
 
 def test_one_block_is_live_at_a_time(docs, spark, monkeypatch):
     rows, items = benchmark_case(5)
-    live, most = [], []
-    made, gone = decontaminate.TestSet, Broadcast.destroy
-
-    def counted(*args):
-        most.append(len(live) + 1)
-        live.append(made(*args))
-        return live[-1]
-
-    def destroyed(self, blocking=False):
-        live.pop()
-        gone(self, blocking)
-
-    monkeypatch.setattr(decontaminate, "TestSet", counted)
-    monkeypatch.setattr(Broadcast, "destroy", destroyed)
+    events, read, gone = [], decontaminate._block, Broadcast.destroy
+    monkeypatch.setattr(decontaminate, "_block", lambda *args: events.append("read") or read(*args))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: events.append("gone") or gone(self, blocking))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = decontaminate.find(docs(rows, 2), bench, block_bytes=150)
     assert got.where("contaminated").count() == sum(r[5] for r in brute.decontaminate(rows, items))
-    assert len(most) > 3 and max(most) == 1
+    assert len(events) > 5 and events == (["read", "gone"] * len(events))[:len(events)]
 
 
 def test_decontamination_spans_and_longest(docs, spark):

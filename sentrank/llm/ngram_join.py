@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -17,6 +17,10 @@ SIGNS = "bucket int, slab bigint, signs binary"
 COUNTS = "slab bigint, bucket int, counts binary"
 EDGES = "u bigint, v bigint"
 BLOBS = "bucket int, sets binary"
+#: Sets of one task of the search; a large unit is a group of its own.
+UNITS = "bucket bigint, sets binary"
+#: Sets of a large component that all its blocks meet first.
+LEADS = 8
 _ROW_BITS = 20
 
 
@@ -314,7 +318,7 @@ def _gather(words: int, n_buckets: int):
                 total = np.cumsum(size) - size
                 at = np.repeat(first[row[some]] - total, size) + np.arange(size.sum())
                 rows.append((b, squeeze(unit[some], vertex[some], size, values[at])))
-        return batch_of(rows, BLOBS)
+        return batch_of(rows, UNITS)
     return run
 
 
@@ -337,6 +341,53 @@ def _verify(percent: int):
     return run
 
 
+def _searched(slabs: DataFrame, members: DataFrame, words: int, percent: int, n: int) -> DataFrame:
+    """Links that span the components of each unit; ``members`` are (rep, unit, alone), once each.
+
+    Sets are read off their slabs and meet by unit: a large one (``alone``) is a group, small ones share buckets.
+    """
+    placed = members.select(
+        "rep", "unit", F.shiftright("rep", _ROW_BITS).alias("slab"),
+        F.when(F.col("alone"), F.col("unit")).otherwise(F.pmod("unit", F.lit(n))).alias("bucket"))
+    return slabs.groupBy("slab").cogroup(placed.groupBy("slab")).applyInArrow(_gather(words, n), UNITS).groupBy(
+        "bucket").applyInArrow(_verify(percent), EDGES)
+
+
+def _block(count):
+    return F.pmod(F.xxhash64("rep"), count).cast("int")
+
+
+def with_leads(large: DataFrame) -> DataFrame:
+    """(rep, unit, alone): each block of the sets (rep, root, blocks) of large components, and with it the leads.
+
+    A set is sent once, leads once a block, so what is sent grows with the component.
+    """
+    nth = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("rep", F.lit(7)), "rep"))
+    leads = large.withColumn("nth", nth).where(F.col("nth") <= LEADS)
+    copies = leads.select("rep", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return large.select("rep", "root", _block(F.col("blocks")).alias("block")).union(copies).distinct().select(
+        "rep", F.xxhash64("root", "block").alias("unit"), F.lit(True).alias("alone"))
+
+
+def not_reached(large: DataFrame, reached: DataFrame, unit_shingles: int) -> DataFrame:
+    """(rep, unit, alone): every block of a large component with every block of the sets outside its main part.
+
+    ``reached`` (v, root) are the components that links make of its sets so far. The main part is the one with the most
+    sets; links within it are not needed any more. Without other sets there is no unit.
+    """
+    parts = large.join(reached.select(F.col("v").alias("rep"), F.col("root").alias("part")), "rep", "left").withColumn(
+        "part", F.coalesce("part", "rep"))
+    sizes = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("members"))
+    main = sizes.groupBy("root").agg(F.max_by("part", F.struct("members", "part")).alias("main"))
+    rest = parts.join(main, "root").where("part <> main")
+    counts = rest.groupBy("root").agg(F.ceil(2 * F.sum("n_shingles") / F.lit(unit_shingles)).cast("int").alias("others"))
+    out = rest.join(counts, "root").select(
+        "rep", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _block(F.col("others")).alias("other"))
+    every = large.join(counts, "root").select(
+        "rep", "root", _block(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+    return out.union(every).distinct().select("rep", F.xxhash64("root", "block", "other").alias("unit"), F.lit(True).alias("alone"))
+
+
 def link(docs: DataFrame, words: int = 5, percent: int = 80, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """Components of documents (doc_id, text) whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -348,8 +399,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, unit_shingles: int
     Steps: equal sets are one class throughout. Signatures (see ``signatures``) that linked sets must have in common,
     without the most frequent ones (see ``_choose``), give groups of candidates, joined into candidate components. Each of these is searched by DivideSkip over inverted
     lists; every set is searched once, among the sets not yet reached, so a large group of near copies is no list of
-    pairs. A candidate component beyond ``unit_shingles`` shingles is cut into blocks, and each two blocks meet in a
-    task of their own. The links found are joined into components again.
+    pairs. A candidate component beyond ``unit_shingles`` shingles is cut into blocks, each searched in a task of its
+    own together with a few leads of the component; sets that this does not join to its main part then meet every
+    block. The links found are joined into components again.
 
     A text without words has an empty set, no links and its own doc_id as component. A null text has no words. A row
     without doc_id takes part, but its component is named after the others (null if there are none). Repeated rows are
@@ -372,14 +424,15 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, unit_shingles: int
     blocks = F.ceil(2 * F.col("weight") / F.lit(unit_shingles)).cast("int")
     members = members.join(weights.where("members > 1").select(
         "root", F.when(F.col("weight") <= unit_shingles, 1).otherwise(blocks).alias("blocks")), "root")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    members = members.withColumn("mine", mine).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "rep", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
-    members = members.withColumn("slab", F.shiftright("rep", _ROW_BITS)).withColumn(
-        "bucket", F.pmod("unit", F.lit(n)).cast("int"))
-    links = slabs.groupBy("slab").cogroup(members.groupBy("slab")).applyInArrow(_gather(words, n), BLOBS).groupBy(
-        "bucket").applyInArrow(_verify(percent), EDGES)
+    small = members.where("blocks = 1").select("rep", F.xxhash64("root").alias("unit"), F.lit(False).alias("alone"))
+    large = settle(members.where("blocks > 1"), "large")
+    if not large.limit(1).count():
+        links = _searched(slabs, small, words, percent, n)
+    else:
+        links = settle(_searched(slabs, small.union(with_leads(large)), words, percent, n), "links")
+        rest = settle(not_reached(large, components(links), unit_shingles), "rest")
+        if rest.limit(1).count():
+            links = links.union(_searched(slabs, rest, words, percent, n))
     final = components(links)
     labelled = classes.drop("root").join(final.withColumnRenamed("v", "rep"), "rep", "left").withColumn(
         "root", F.coalesce("root", "rep"))

@@ -78,6 +78,43 @@ def test_hot_group_of_near_copies(docs):
     assert got.where("component_id = 0").count() == 1500
 
 
+def sent_sets(monkeypatch):
+    """How many sets each search was sent, and to how many units."""
+    sent, real = [], ngram_join._searched
+
+    def counted(slabs, members, *rest):
+        sent.append((members.count(), members.select("unit").distinct().count()))
+        return real(slabs, members, *rest)
+
+    monkeypatch.setattr(ngram_join, "_searched", counted)
+    return sent
+
+
+def test_a_large_component_sends_each_set_once(docs, monkeypatch):
+    """Near copies over very many blocks: every set goes to one of them, and a few leads to all."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(f"n{i}" if k == at else w for k, w in enumerate(base))) for i in range(600) for at in [rng.randrange(120)]]
+    sent = sent_sets(monkeypatch)
+    got = ngram_join.link(docs(rows, 4, extra=False), unit_shingles=2000)
+    assert got.where("component_id = 0").count() == 600
+    (n_sets, n_units), = sent
+    assert n_units > 40 and n_sets <= 600 + ngram_join.LEADS * n_units
+
+
+def test_sets_that_leads_do_not_reach_meet_every_block(docs, monkeypatch):
+    """A chain of small changes: its ends are far from any lead, and all of it is one component."""
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(150):
+        base = base[1:] + [f"x{i}"]
+        rows.append((i, " ".join(base)))
+    rows += [(500 + i, " ".join(f"y{i}.{k}" for k in range(60))) for i in range(3)]
+    sent = sent_sets(monkeypatch)
+    got = ngram_join.link(docs(rows, 4), 4, 85, unit_shingles=1500)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(rows, 4, 85), key=repr)
+    assert len(sent) == 2
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(3)
     for _ in range(60):

@@ -7,7 +7,7 @@ does not depend on partitioning or on retries of a lost task.
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,11 @@ def draw_key(event_id: Column, seed: int, purpose: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:{purpose}:"), F.coalesce(event_id, F.lit("nan"))))
 
 
+def row_key(df: DataFrame, key: str, seed: int, purpose: str) -> Column:
+    """``draw_key`` of a row's id, or of the whole row where it has none."""
+    return draw_key(F.coalesce(F.col(f"`{key}`").cast("string"), F.to_json(F.struct("*"))), seed, purpose)
+
+
 def draw_int(event_id: Column, seed: int, purpose: str, low: int, n: int | Column) -> Column:
     """A uniform whole number in ``[low, low + n)`` per event."""
     word = F.conv(F.left(draw_key(event_id, seed, purpose), F.lit(8)), 16, 10).cast("long")

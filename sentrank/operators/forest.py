@@ -212,11 +212,17 @@ def _grow(x: np.ndarray, rows: np.ndarray, n: np.ndarray, first: np.ndarray, tre
         of = np.repeat(np.arange(len(inner)), count[inner])
         right = x[rows, feature[inner][of]] > cut[inner][of]
         # Left rows of a node keep their order before its right ones: nodes stay in heap order.
-        order = np.argsort(2 * of + right, kind="stable")
-        rows, n = rows[order], n[order]
         to_right = np.bincount(of[right], minlength=len(inner))
         sizes = np.stack([count[inner] - to_right, to_right], 1).ravel()
         first = np.cumsum(sizes) - sizes
+        before = np.cumsum(right) - right
+        before -= np.repeat(np.cumsum(to_right) - to_right, count[inner])       # right rows of the node before each row
+        place = np.where(right, first[1::2][of] + before, first[0::2][of])
+        heads = np.cumsum(count[inner]) - count[inner]
+        place += np.where(right, 0, np.arange(len(of)) - heads[of] - before)
+        moved, drawn = np.empty_like(rows), np.empty_like(n)
+        moved[place], drawn[place] = rows, n
+        rows, n = moved, drawn
         tree, node = np.repeat(tree[inner], 2), (2 * node[inner][:, None] + np.arange(2)).ravel()
     tree, node, feature, cut, path = (np.concatenate(c) for c in zip(*out, strict=True))
     order = np.lexsort((node, tree))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CANONICAL, FAMILIES
-from ..functions.hashing import draw_int, draw_key
+from ..functions.hashing import draw_int, row_key
 from ..functions.numbers import outlier_level
 from ..functions.times import with_clock
 from ..session import settle
@@ -111,13 +111,26 @@ def draw_unseen(requests: DataFrame, seen: DataFrame, vocab: DataFrame, value: s
 
 
 def assign_families(window: DataFrame, counts: dict[str, int], seed: int) -> DataFrame:
-    """Adds ``synth_usecase``: disjoint uniform choices of exactly ``counts`` rows, else empty."""
-    key = draw_key(F.col("event_id"), seed, "assign")
+    """Adds ``synth_usecase``: disjoint uniform choices of exactly ``counts`` rows, else empty.
+
+    Cut keys make the family a plain expression of the row. Where rows share a cut key (repeated ids), rows are numbered
+    by key and content instead.
+    """
+    key = row_key(window, "event_id", seed, "assign")
     ends, total = [], 0
     for f in FAMILIES:
         total += counts[f]
         ends.append(total)
     cuts = hex_cutoffs(window, key, ends)
+    real = [(cut, end) for cut, end in zip(cuts, ends) if cut is not None]
+    held = window.agg(F.array(*[F.count_if(key <= F.lit(cut)) for cut, _ in real], F.lit(0).cast("long"))).first()[0]
+    if any(n != end for n, (_, end) in zip(held, real)):
+        order = [key, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in window.columns])))]
+        numbered = rank_rows(window, order, rank_col="_nth")
+        family = F.lit("")
+        for f, end in reversed(list(zip(FAMILIES, ends))):
+            family = F.when(F.col("_nth") <= end, F.lit(f)).otherwise(family) if counts[f] else family
+        return numbered.withColumn("synth_usecase", family).drop("_nth")
     family: Column = F.lit("")
     for f, cut, n in reversed(list(zip(FAMILIES, cuts, (counts[f] for f in FAMILIES)))):
         if n and cut is None:              # the window has fewer rows than asked for

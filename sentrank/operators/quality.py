@@ -1,10 +1,12 @@
 """Coverage profile, cleaning report, uniform sample and corpus description."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import RAW_TIMESTAMP
-from ..functions.hashing import draw_key
+from ..functions.hashing import row_key
 from .quantiles import hex_cutoffs
 
 _EXAMPLES = 5
@@ -15,28 +17,44 @@ COLUMNS_PER_PASS = 50
 def _profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Figures per column from (column, cell) pairs, folded on the map side to one row per column.
 
-    Examples are the smallest and largest value, over all values and over those
-    of odd and even length: up to five without collecting the distinct set. Zeros
-    are found by pattern, because a failing numeric cast is slow on text. Few
+    Zeros are found by pattern, because a failing numeric cast is slow on text. Few
     columns at a time keep the plan small and the aggregate in its hash map.
     """
     cells = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell")) for c in columns
     ])
     c = F.col("cell")
-    odd = F.octet_length(c) % 2 == 1
-    seen = [F.min(c), F.max(c), F.min(F.when(odd, c)), F.max(F.when(odd, c)), F.min(F.when(~odd, c))]
     return df.select(F.inline(cells)).groupBy("column").agg(
         F.count(c).alias("non_null"),
         F.count("*").alias("total"),
         F.hll_sketch_agg(c).alias("sketch"),
         F.count_if(F.contains(c, F.lit("0")) & c.rlike(_ZERO)).alias("zeros"),
-        F.array_compact(F.array(*[F.left(x, F.lit(120)) for x in seen])).alias("examples"),
     )
 
 
+def example_values(df: DataFrame, columns: list[str], n: int = _EXAMPLES, width: int = 120) -> DataFrame:
+    """(column, example): candidates for the ``n`` smallest distinct values per column, each cut to ``width`` characters.
+
+    Every partition keeps a set of at most ``n`` values per column, which batch after batch is merged with the batch's
+    own smallest ones; so ``n`` rows per column and partition come out, whatever the number of distinct values.
+    """
+    names = {f"c{i}": c for i, c in enumerate(columns)}
+    cells = df.select(*[F.left(F.col(f"`{c}`").cast("string"), F.lit(width)).alias(i) for i, c in names.items()])
+
+    def smallest(batches):
+        kept = {i: pa.array([], pa.string()) for i in names}
+        for batch in batches:
+            for i in names:
+                both = pc.unique(pa.chunked_array([kept[i], batch.column(i).drop_null()]))
+                kept[i] = both.take(pc.select_k_unstable(both, k=n, sort_keys=[("x", "ascending")]))
+        rows = [(names[i], x) for i, xs in kept.items() for x in xs.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in (0, 1)], names=["column", "example"])
+
+    return cells.mapInArrow(smallest, "column string, example string")
+
+
 def coverage_report(frames: DataFrame | list[DataFrame], denominator: str = "all") -> DataFrame:
-    """Per column: non_null, total, coverage, distinct estimate, zeros, examples.
+    """Per column: non_null, total, coverage, distinct estimate, zeros, examples (five smallest distinct values).
 
     ``frames`` may be the header groups of a scan. ``denominator="present"``
     divides by the rows of the groups that have the column, ``"all"`` by all rows.
@@ -44,24 +62,28 @@ def coverage_report(frames: DataFrame | list[DataFrame], denominator: str = "all
     columns of a columnar source.
     """
     groups = frames if isinstance(frames, list) else [frames]
-    rows = None
+    rows = examples = None
     for g in groups:
         for i in range(0, len(g.columns), COLUMNS_PER_PASS):
-            part = _profile_columns(g, g.columns[i:i + COLUMNS_PER_PASS])
+            names = g.columns[i:i + COLUMNS_PER_PASS]
+            part, values = _profile_columns(g, names), example_values(g, names)
             rows = part if rows is None else rows.unionByName(part)
+            examples = values if examples is None else examples.unionByName(values)
     report = rows.groupBy("column").agg(
         F.sum("non_null").alias("non_null"), F.sum("total").alias("total"),
         F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_estimate"),
         F.sum("zeros").alias("zeros"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("examples")))), 1, _EXAMPLES).alias("e"),
     )
+    few = examples.groupBy(F.col("column").alias("_column")).agg(
+        F.slice(F.array_sort(F.collect_set("example")), 1, _EXAMPLES).alias("e"))
+    report = report.join(F.broadcast(few), F.col("column") == F.col("_column"), "left")       # a row per column
     if denominator == "all" and len(groups) > 1:
         whole = sum(g.count() for g in groups)
         report = report.withColumn("total", F.lit(whole).cast("long"))
     return report.select(
         "column", "non_null", "total",
         F.round(F.col("non_null") / F.greatest(F.col("total"), F.lit(1)), 6).alias("coverage"),
-        "distinct_estimate", "zeros", F.array_join("e", "; ").alias("examples"),
+        "distinct_estimate", "zeros", F.coalesce(F.array_join("e", "; "), F.lit("")).alias("examples"),
     )
 
 
@@ -106,11 +128,20 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
 def uniform_sample(df: DataFrame, n: int, seed: int = 42, key: str = "event_id") -> DataFrame:
     """Exactly ``min(n, rows)`` rows, uniform and repeatable: those with the smallest seeded keys.
 
-    The cut key is found by counting key prefixes, so no task sorts the table.
+    The cut key is found by counting key prefixes, so no task sorts the table. Rows without a key are drawn by their
+    content. Rows that share the cut key are in order of their content's hash, and of fully equal ones any will do.
     """
-    k = draw_key(F.col(f"`{key}`"), seed, "sample")
+    k = row_key(df, key, seed, "sample")
     (cut,) = hex_cutoffs(df, k, [n])
-    return df if cut is None else df.filter(k <= cut)
+    if cut is None:
+        return df
+    below, at = df.agg(F.count_if(k < cut), F.count_if(k == cut)).first()
+    if below + at == n:
+        return df.filter(k <= cut)
+    ties, content = df.filter(k == cut), F.md5(F.to_json(F.struct("*")))
+    (last,) = hex_cutoffs(ties, content, [n - below])
+    inside = ties.agg(F.count_if(content < last)).first()[0]
+    return df.filter(k < cut).union(ties.filter(content < last)).union(ties.filter(content == last).limit(n - below - inside))
 
 
 def counted(df: DataFrame, name: str, time: str = "timestamp") -> tuple[DataFrame, Observation]:

@@ -177,13 +177,12 @@ UNION ALL SELECT event_id, agent, NULL, rule_id FROM alerts WHERE rule_level < 5
     out["time_sorted_positions"] = f"""{w} SELECT row_number() OVER (ORDER BY "timestamp", event_id) AS pos, event_id FROM alerts"""
 
     # quality and description
-    def profile(c: str) -> str:
-        q = f'"{c}"'
-        odd, even = f"FILTER (WHERE strlen({q}) % 2 = 1)", f"FILTER (WHERE strlen({q}) % 2 = 0)"
-        cls = f"min({q}), max({q}), min({q}) {odd}, max({q}) {odd}, min({q}) {even}"
+    def profile(c: str, rows: str = "raw") -> str:
         return f"""SELECT '{c}' AS "column", count("{c}") AS non_null, count(*) AS total,
 round(count("{c}") / count(*), 6) AS coverage, count(*) FILTER (WHERE TRY_CAST("{c}" AS DOUBLE) = 0) AS zeros,
-array_to_string(list_sort(list_distinct(list_filter([{cls}], lambda x: x IS NOT NULL))), '; ') AS examples FROM raw"""
+(SELECT coalesce(string_agg(x, '; ' ORDER BY x), '') FROM (SELECT DISTINCT left("{c}", 120) AS x FROM {rows} WHERE "{c}" IS NOT NULL
+ORDER BY x LIMIT 5)) AS examples FROM {rows}"""
+    out["long_examples"] = " UNION ALL ".join(profile(c, "documents") for c in ("text", "lang", "source"))
     out["coverage_report"] = f"WITH {RAW} " + " UNION ALL ".join(profile(c) for c in RAW_COLUMNS)
     out["select_high_coverage"] = f"""WITH {RAW} SELECT "_id", "_source.timestamp", "_source.agent.name",
 "_source.rule.id", "_source.rule.level", "_source.decoder.name" FROM raw"""
@@ -398,6 +397,11 @@ m AS (SELECT p, k, tp / budget AS pr, tp / (SELECT sum(y) FROM vq) AS rc,
 SELECT p, k, round(pr, 6) AS "precision", round(rc, 6) AS recall, round(li, 6) AS lift, round(fp, 6) AS fpr FROM m WHERE best = 1"""
 
     out["iforest_score"] = _forest()
+    out["model_runs"] = " UNION ALL ".join(
+        f"""SELECT '{kind}' AS kind, (list(anomaly_score ORDER BY anomaly_score DESC))[CAST(ceil(CAST(0.01 AS DOUBLE) * count(*)) AS BIGINT)] AS least_score,
+count(*) AS n_scored, CAST(ceil(CAST(0.01 AS DOUBLE) * count(*)) AS BIGINT) AS n_selected FROM ({sql})"""
+        for kind, sql in (("knn", out["knn_score"]), ("lof", out["lof_score"]), ("iforest", _forest(trees=40))))
+    out.update(_review(w))
 
     # explanations
     names = "[" + ", ".join(f"'{f}'" for f in MODEL) + "]"
@@ -412,6 +416,21 @@ sv AS (SELECT *, list_avg(ds) AS s FROM sc)
 SELECT x.rnk AS "rank", x.event_id, ({names})[x.j] AS feature, round(o.s, 6) AS score, round(x.orig[x.j], 6) AS "value",
 round(x.b[x.j], 6) AS baseline, round(o.s - x.s, 6) AS contribution, round(abs(o.s - x.s), 6) AS abs_contribution
 FROM sv x JOIN sv o ON o.event_id = x.event_id AND o.j = 0 WHERE x.j > 0"""
+    occluded = f"""{out["occlusion_topn"].split("SELECT x.rnk AS")[0]}, eff AS (
+SELECT x.rnk, x.event_id, ({names})[x.j] AS feature, x.j, o.s - x.s AS c FROM sv x JOIN sv o ON o.event_id = x.event_id AND o.j = 0 WHERE x.j > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(abs(c), 9) DESC, feature) AS place FROM eff)"""
+    out["top_reasons"] = f"""{occluded} SELECT rnk AS "rank", event_id, place, feature, round(c, 6) AS contribution FROM best WHERE place <= 3"""
+    out["reason_entries"] = f"""{occluded},
+nb AS (SELECT t.event_id, unnest(n).o AS o FROM top10 t JOIN near ON near.event_id = t.event_id),
+md AS (SELECT nb.event_id, b.j, median(vt.v[b.j]) AS m FROM nb JOIN vt ON vt.event_id = nb.o JOIN best b ON b.event_id = nb.event_id AND b.place <= 3
+  GROUP BY nb.event_id, b.j),
+fl AS (SELECT event_id, array_to_string(list_filter([
+CASE WHEN hour("timestamp") <= 6 AND rule_level >= 10 THEN 'off-hours × high severity' END,
+CASE WHEN (agent, rule_id) NOT IN (SELECT (agent, rule_id) FROM t1) THEN 'new rule on this host' END,
+CASE WHEN (agent, decoder) NOT IN (SELECT (agent, decoder) FROM t1) THEN 'new decoder on this host' END],
+lambda x: x IS NOT NULL), '; ') AS flags FROM t2)
+SELECT b.event_id, b.feature, round(b.c, 6) AS delta, flags, round(m, 6) AS neighbor_median FROM best b
+JOIN md ON md.event_id = b.event_id AND md.j = b.j JOIN fl ON fl.event_id = b.event_id WHERE place <= 3"""
     out["reason_codes_neighbor"] = f"""{knn_rank}, top10 AS (SELECT rnk, kr.event_id, v FROM kr JOIN vq ON vq.event_id = kr.event_id WHERE rnk <= 10),
 nb AS (SELECT t.rnk, t.event_id, t.v, unnest(n).o AS o FROM top10 t JOIN near ON near.event_id = t.event_id),
 j AS (SELECT unnest(range(1, 17)) AS j),
@@ -459,6 +478,32 @@ SELECT event_id, agent, rule_id, rule_level, {', '.join(INT_FEATURES)}, {_rounde
     return out
 
 
+def _review(w: str) -> dict[str, str]:
+    """The review screen: formula frozen on t1, scores of t2, slice, replaced features."""
+    score = "({0} - lo) / (hi - lo + 1e-9)"
+    plain = "0.5 * ({0} - m) / s + CASE WHEN hour(\"timestamp\") <= 6 THEN 1.0 ELSE 0.0 END + 2.0 / (1.0 + coalesce(n, 0))"
+    base = f"""{w}, {T1}, {T2},
+ls AS (SELECT avg(rule_level) AS m, stddev_pop(rule_level) AS s, median(rule_level) AS ml, median(hour("timestamp")) AS mh FROM t1),
+pr AS (SELECT agent, rule_id, count(*) AS n FROM t1 GROUP BY ALL),
+li AS (SELECT min(x) AS lo, max(x) AS hi FROM (SELECT {plain.format("rule_level")} AS x FROM t1 CROSS JOIN ls
+  JOIN pr ON pr.agent = t1.agent AND pr.rule_id = t1.rule_id)),
+sc AS (SELECT 'evt-' || lpad(event_id, 10, '0') AS event_id, rule_level, hour("timestamp") AS h, ml, mh,
+  CAST({score.format("(" + plain.format("rule_level") + ")")} AS DOUBLE) AS a,
+  CAST({score.format("(" + plain.format("ml") + ")")} AS DOUBLE) AS b
+  FROM t2 CROSS JOIN ls CROSS JOIN li LEFT JOIN pr ON pr.agent = t2.agent AND pr.rule_id = t2.rule_id),
+rk AS (SELECT *, row_number() OVER (ORDER BY a DESC, event_id) AS "rank", count(*) OVER () AS total FROM sc),
+sl AS (SELECT * FROM rk WHERE "rank" <= greatest(1, ceil(CAST(0.005 AS DOUBLE) * total))),
+ex AS (SELECT "rank", event_id, 'rule_level' AS feature, a, CAST(rule_level AS DOUBLE) AS v, ml AS bl, a - b AS c FROM sl WHERE "rank" <= 5
+  UNION ALL SELECT "rank", event_id, 'hour_local', a, h, mh, 0.0 FROM sl WHERE "rank" <= 5)"""
+    return {
+        "review_explanations": f"""{base} SELECT row_number() OVER (ORDER BY "rank", abs(c) DESC, feature) AS place, "rank", event_id, feature,
+round(a, 6) AS score, round(v, 6) AS "value", round(bl, 6) AS baseline, round(c, 6) AS contribution FROM ex""",
+        "review_tables": f"""{base}, n AS (SELECT least(50, count(*)) AS n FROM t2)
+SELECT 'alerts_preview' AS name, n AS n_rows FROM n UNION ALL SELECT 'features_preview', n FROM n
+UNION ALL SELECT 'top', count(*) FROM sl UNION ALL SELECT 'chart_features', count(*) FROM ex""",
+    }
+
+
 def _forest(trees: int = 600, seed: int = 42, share: float = 0.5, kept: int = 12, levels: int = 18) -> str:
     """The isolation forest grown and walked level by level, up to ``levels`` (enough for 2**18 sampled rows).
 
@@ -542,6 +587,15 @@ count(*) FILTER (WHERE TRY_CAST("{c}" AS DOUBLE) = 0) AS zeros FROM exports"""
     out["profiled_exports"] = f"""WITH {RAW}, {exports}, report AS ({" UNION ALL ".join(cover(c) for c in RAW_COLUMNS)})
 SELECT *, coverage >= 0.9 AS kept FROM report"""
     out["clean_table"] = done["canonicalise"]
+    out["service_columns"] = f"""SELECT event_id, "timestamp", 'canon-' || agent AS agent, rule_id, rule_level, decoder FROM ({done["canonicalise"]})"""
+    out["strict_times"] = """SELECT CAST(event_id AS VARCHAR) AS event_id,
+CASE event_id % 3 WHEN 0 THEN date_trunc('millisecond', ts) WHEN 1 THEN date_trunc('second', ts) END AS lenient,
+CASE event_id % 3 WHEN 0 THEN date_trunc('millisecond', ts) END AS "strict" FROM events"""
+    out["sorted_table"] = f"""WITH {RAW} SELECT row_number() OVER (ORDER BY CASE WHEN {number} % 9 <> 0 THEN
+strptime("_source.timestamp", '%b %d, %Y @ %H:%M:%S.%g') END NULLS LAST, "_id") AS place, "_id" FROM raw"""
+    out["existing_scores"] = f"""{w}, x AS (SELECT *, rule_level + hour("timestamp") / 100.0 AS s FROM alerts),
+r AS (SELECT row_number() OVER (ORDER BY s DESC, event_id) AS "rank", event_id, rule_level, round(CAST(s AS DOUBLE), 6) AS anomaly_score FROM x)
+SELECT * FROM r WHERE "rank" <= 20"""
     out["typed_csv"] = f"""{w} SELECT event_id, CASE WHEN CAST(event_id AS BIGINT) % 2 = 0
 THEN date_trunc('millisecond', "timestamp") ELSE date_trunc('second', "timestamp") END AS "timestamp",
 agent, rule_id, rule_level, decoder FROM alerts"""

@@ -6,10 +6,11 @@ Each writes what it reads below the shared folder, derived from ``events``.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import FEATURES
-from ..fixtures import T1_END, T2_END, T2_START, alerts, raw_alerts, table
+from ..constants import DELTA_KEY, FEATURES
+from ..fixtures import T2_END, T2_START, alerts, raw_alerts, raw_alerts_from, table
 from ..functions import times
-from ..operators import features, formula, inject, metrics, split
+from ..operators import canonical, explain, features, formula, metrics, quality, rank
+from ..operators.quantiles import rank_rows
 from ..session import scratch_path, settle
 from ..sinks import tables as sink
 from ..sources import csv_scan
@@ -147,3 +148,122 @@ def injected_families(spark, d):
     """Recall of each injected family (added as copies) in the hundred best."""
     m = metrics.metrics_by_family(evaluated(spark, d, "append"), "y_true_synth", "synth_usecase", 100)
     return m.select("family", "positives", "hits", *r6("recall"))
+
+
+# --- the review screen and the choice of scores ------------------------------------
+
+def in_file_order(spark: SparkSession, path: str) -> DataFrame:
+    """A written table with the 1-based ``place`` of each row in the order of its files and rows."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_n"))
+    return rank_rows(rows, [F.col("_f"), F.col("_n")], rank_col="place").drop("_f", "_n")
+
+
+@query
+def service_columns(spark, d):
+    """The service's column choice: canonical names win, and the other time column is known."""
+    raw = raw_alerts(spark, d).withColumnRenamed("_source.timestamp", "_source.@timestamp").withColumn(
+        "agent", F.concat(F.lit("canon-"), F.col("`_source.agent.name`")))
+    return canonical.canonicalise(raw, canonical.service_mapping(raw.columns))
+
+
+@query
+def strict_times(spark, d):
+    """Export times with and without fraction and ISO times, by the lenient and by the strict parser."""
+    number = F.col("event_id") % 3
+    text = F.when(number == 0, times.format_export_time(F.col("ts"))).when(
+        number == 1, F.date_format("ts", "MMM dd, yyyy '@' HH:mm:ss")).otherwise(times.format_iso_seconds(F.col("ts")))
+    return table(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("event_id"), times.parse_export_time(text).alias("lenient"),
+        times.parse_export_time(text, strict=True).alias("strict"))
+
+
+@query
+def long_examples(spark, d):
+    """Coverage of text columns whose values are far longer than an example may be."""
+    return quality.coverage_report(table(spark, d, "documents").select("text", "lang", "source")).drop("distinct_estimate")
+
+
+@query
+def sorted_table(spark, d):
+    """The merged table's time order as it lies in its files, unreadable times last."""
+    raw = raw_alerts(spark, d).withColumnRenamed("_source.timestamp", "_source.@timestamp")
+    broken = F.substring("_id", 5, 10).cast("long") % 9 == 0
+    raw = raw.withColumn("_source.@timestamp", F.when(broken, "no time").otherwise(F.col("`_source.@timestamp`")))
+    path = sink.write_table(canonical.sort_by_time(canonical.normalise_time(raw)), scratch_path(spark, "sorted"))
+    return in_file_order(spark, path).select("place", "_id")
+
+
+def review(spark: SparkSession, d: str) -> str:
+    """The review screen over the validation window, written below a new folder."""
+    day = F.to_date("ts")
+    events = table(spark, d, "events").where(day.between(F.lit(T2_START).cast("date"), F.lit(T2_END).cast("date")))
+    train = window(spark, d, "T1").withColumns(times.calendar_features(F.col("timestamp")))
+    scorer = workflows.Scorer("formula", train, ["rule_level", "hour_local", "no_such_column"])
+    out = scratch_path(spark, "review")
+    workflows.explain_top(raw_alerts_from(events), scorer, percent=0.5, explain_n=5, wanted=["second_in_hour"], out=out)
+    return out
+
+
+@query
+def review_explanations(spark, d):
+    """The explanation table of the review screen in the order it is written in."""
+    return in_file_order(spark, f"{review(spark, d)}/explanations").select(
+        "place", "rank", "event_id", "feature", *r6("score", "value", "baseline", "contribution"))
+
+
+@query
+def review_tables(spark, d):
+    """Rows of the previews, the slice and the chart of the review screen."""
+    out = review(spark, d)
+    counts = [spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"))
+              for name in ("alerts_preview", "features_preview", "top", "chart_features")]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query
+def top_reasons(spark, d):
+    """The three strongest features of each of the ten highest alerts."""
+    from .queries import knn_scored
+
+    train, index, s = knn_scored(spark, d)
+    long = explain.occlusion(rank.top_k(s, 10), FEATURES, explain.feature_medians(train, FEATURES),
+                             explain.knn_scorer(index, FEATURES, 35))
+    long = long.withColumn("abs_contribution", F.round("abs_contribution", 9))
+    return explain.top_features(long, 3).select("rank", "event_id", F.col("place").cast("long").alias("place"), "feature",
+                                                *r6("contribution"))
+
+
+@query
+def reason_entries(spark, d):
+    """The reason payloads read back: features with their deltas and neighbour medians, and the flags."""
+    from .queries import all_queries
+
+    kind = f"top_features array<struct<feature:string,{DELTA_KEY}:double>>, context_flags array<string>, neighbor_medians map<string,double>"
+    read = all_queries()["reason_payload"](spark, d).select("event_id", F.from_json("reason", kind).alias("r"))
+    entries = read.select("event_id", "r", F.inline("r.top_features"))
+    return entries.select(
+        "event_id", "feature", F.round(DELTA_KEY, 6).alias("delta"), F.array_join("r.context_flags", "; ").alias("flags"),
+        F.round(F.element_at("r.neighbor_medians", F.col("feature")), 6).alias("neighbor_median"))
+
+
+@query
+def model_runs(spark, d):
+    """Each model scorer through the scoring step: rows scored and selected, and the least score that is selected."""
+    from .queries import model_windows
+
+    train, test = model_windows(spark, d)
+    runs = None
+    for kind, k in (("knn", 35), ("lof", 20), ("iforest", 0)):
+        done = workflows.score_top_p(test, workflows.Scorer(kind, train, FEATURES, k=k, trees=40), scratch_path(spark, kind), 0.01)
+        row = done["top"].agg(F.lit(kind).alias("kind"), F.round(F.min("anomaly_score"), 6).alias("least_score")).join(
+            F.broadcast(done["run"].select(F.col("rows").alias("n_scored"), F.col("selected").alias("n_selected"))))
+        runs = row if runs is None else runs.union(row)
+    return runs
+
+
+@query
+def existing_scores(spark, d):
+    """Scores that fall with anomaly, turned round, win over the formula in the service's answer."""
+    rows = alerts(spark, d).withColumn("decision", -(F.col("rule_level") + F.hour("timestamp") / 100.0))
+    scored = workflows.Scorer("column", rows, ["decision"], higher_is_anomalous=False)(rows)
+    return workflows.anomalies_top(scored, 20).select("rank", "event_id", "rule_level", *r6("anomaly_score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FEATURES, REPLY_COLUMNS
 from ..functions import payloads
+from ..functions.numbers import oriented, to_double
 from ..operators import (
     canonical, explain, features, forest, formula, inject, metrics, neighbors, quality, rank, split,
 )
@@ -112,9 +113,11 @@ def apply_features(df: DataFrame, stats_path: str, out: str, **options) -> DataF
 
 @dataclass
 class Scorer:
-    """An explicit choice of scorer: ``knn``, ``lof``, ``iforest`` or ``formula``.
+    """An explicit choice of scorer: ``knn``, ``lof``, ``iforest``, ``formula`` or ``column``.
 
-    Forest and formula are fitted on the first call and kept for the next ones.
+    Forest, formula and the neighbour index are made on the first call and kept for the
+    next ones. ``column`` takes scores that a model left in ``features[0]``; where they
+    fall with anomaly, ``higher_is_anomalous=False`` turns them round.
     """
 
     kind: str
@@ -124,10 +127,16 @@ class Scorer:
     scale: bool = False
     trees: int = 600
     max_samples: float | int = 0.5
+    higher_is_anomalous: bool = True
     _model: object = None
 
     def __call__(self, df: DataFrame) -> DataFrame:
+        if self.kind == "column":
+            return df.withColumn("anomaly_score", oriented(to_double(F.col(f"`{self.features[0]}`")), self.higher_is_anomalous))
         df = df.drop("anomaly_score")
+        if self.kind == "knn" and not self.scale:
+            self._model = self._model or neighbors.build_index(self.train, self.features)
+            return explain.knn_scorer(self._model, self.features, self.k)(df)
         if self.kind == "knn":
             return neighbors.knn_score(df, self.train, self.features, self.k, self.scale)
         if self.kind == "lof":

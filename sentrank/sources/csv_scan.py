@@ -1,14 +1,12 @@
 """Scans of raw CSV exports whose columns differ from file to file.
 
-Files are grouped by header on the driver (names only), each group is one Spark
-read with its own schema, and the groups are united by name. Long lines are
-dropped and short lines null-padded: every read has one spare column. A row that
-fills it, or that is exactly as long as the schema with it (so the reader does not
-call it malformed), had too many fields. The one long line that stays has two or
-more extra fields of which the first is empty.
+One job reads every file's first line and looks for quoted line breaks; files are
+grouped by header as a table, each group is one Spark read with its own schema, and
+the groups are united by name. Long lines are dropped and short lines null-padded:
+every read has one spare column, and a line with more separators than columns has its
+fields counted outside quotes.
 """
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,29 +39,35 @@ def _reader(spark: SparkSession, multi_line: bool = False):
     )
 
 
-def headers(spark: SparkSession, files: list[str], threads: int = 16) -> dict[str, tuple[str, ...]]:
-    """File → column names; each lookup reads the first line only."""
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        found = pool.map(lambda f: tuple(_reader(spark).csv(f).columns), files)
-        return dict(zip(files, found))
+def file_facts(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, header, broken): first line of every file, and whether a quoted field runs over a line end.
 
-
-def files_with_line_breaks(spark: SparkSession, files: list[str]) -> set[str]:
-    """Files in which a quoted field runs over a line end (odd number of quotes on a line)."""
+    One distributed pass over the text; a line end inside quotes leaves an odd number of quotes on a line. The first
+    line is the first row of the file's first split, whose rows are numbered in order.
+    """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = (
-        spark.read.text(files).filter(quotes % 2 == 1)
-        .select(F.col("_metadata.file_name").alias("f")).distinct()
-    )
-    names = {r["f"] for r in odd.collect()}
-    return {f for f in files if f.rsplit("/", 1)[-1] in names}
+    lines = spark.read.text(files).select(
+        "value", F.col("_metadata.file_path").alias("file"), (quotes % 2 == 1).alias("odd"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("nth"))
+    return lines.groupBy("file").agg(F.min_by("value", "nth").alias("header"), F.max("odd").alias("broken"))
+
+
+def _names(spark: SparkSession, header: str) -> tuple[str, ...]:
+    """Column names of a header line, as the reader makes them."""
+    return tuple(_reader(spark).csv(spark.sparkContext.parallelize([header], 1)).columns)
 
 
 def scan_group(spark: SparkSession, files: list[str], names: tuple[str, ...], multi_line: bool) -> DataFrame:
     """All-text scan of files that share one header."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _SPARE, _MALFORMED)])
-    rows = _reader(spark, multi_line).schema(schema).csv(files).filter(
-        F.col(_SPARE).isNull() & F.col(_MALFORMED).isNotNull())
+    line = F.col(_MALFORMED)
+
+    def commas(text):
+        return F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+
+    # Only a line with more separators than the schema has is looked at without its quoted parts.
+    fits = (commas(line) < len(names)) | (commas(F.regexp_replace(line, '"[^"]*"', "")) < len(names))
+    rows = _reader(spark, multi_line).schema(schema).csv(files).filter(F.col(_SPARE).isNull() & line.isNotNull() & fits)
     cells = [
         F.when(~F.col(f"`{n}`").isin(NA_TOKENS), F.col(f"`{n}`")).alias(n) for n in names
     ]
@@ -75,18 +79,20 @@ def scan_groups(
 ) -> list[DataFrame]:
     """One frame per distinct header (and per line-break need).
 
-    ``multi_line="auto"`` looks for quoted line ends first, so that only files
-    that have them give up being split over tasks.
+    ``multi_line="auto"`` reads only files with quoted line ends unsplit. The driver
+    gets one row per group, with the files to read.
     """
-    by_header = headers(spark, files)
-    if multi_line == "auto":
-        broken = files_with_line_breaks(spark, files)
-    else:
-        broken = set(files) if multi_line else set()
-    groups: dict[tuple, list[str]] = {}
-    for f in files:
-        groups.setdefault((by_header[f], f in broken), []).append(f)
-    return [scan_group(spark, fs, names, ml) for (names, ml), fs in groups.items()]
+    facts = file_facts(spark, files)
+    broken = F.col("broken") if multi_line == "auto" else F.lit(bool(multi_line))
+    groups = facts.groupBy("header", broken.alias("broken")).agg(
+        F.sort_array(F.collect_list("file")).alias("files")).orderBy(F.col("files")[0]).collect()
+    empty = set(files) - {f for g in groups for f in g["files"]}        # files without a line have no columns
+    if not groups:
+        raise ValueError(f"no header in {sorted(empty)[:3]}")
+    merged: dict[tuple, list[str]] = {}
+    for g in groups:
+        merged.setdefault((_names(spark, g["header"]), g["broken"]), []).extend(g["files"])
+    return [scan_group(spark, fs, names, ml) for (names, ml), fs in merged.items()]
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:

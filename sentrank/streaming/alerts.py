@@ -81,11 +81,15 @@ class VersionedState:
 
 
 def recency_step(state: VersionedState, sink: Callable[[DataFrame, int], None],
-                 keys: tuple[str, ...] = features.HOST) -> Callable[[DataFrame, int], None]:
+                 keys: tuple[str, ...] = features.HOST, expire: str | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: seconds since the host's previous alert, across batches.
 
     The state is the last time per key. The first alert ever of a key has NULL (the
-    frozen median later); a late alert gets 0.
+    frozen median later); a late alert gets 0. With ``expire`` (an interval such as
+    ``30 days``) a key that is silent for longer than that before the newest alert is
+    forgotten, so the state holds active keys only and its next alert counts as a first
+    one. A keyed state operator would bring all alerts of a host to one task; here a host
+    with a third of the feed is spread as in a batch.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -93,8 +97,11 @@ def recency_step(state: VersionedState, sink: Callable[[DataFrame, int], None],
         batch = batch.persist()         # read several times below
         sink(features.recency(batch, keys, last_seen=known), batch_id)
         now = features.last_seen(batch.filter(F.col("timestamp").isNotNull()), keys)
-        merged = now if known is None else now.unionByName(known)
-        state.write(merged.groupBy(*keys).agg(F.max("last_ts").alias("last_ts")), batch_id)
+        merged = (now if known is None else now.unionByName(known)).groupBy(*keys).agg(F.max("last_ts").alias("last_ts"))
+        if expire:
+            newest = F.broadcast(merged.agg((F.max("last_ts") - F.expr(f"INTERVAL {expire}")).alias("_oldest")))     # one row
+            merged = merged.join(newest).filter("last_ts >= _oldest").drop("_oldest")
+        state.write(merged, batch_id)
         batch.unpersist()
 
     return step
@@ -136,10 +143,10 @@ def daily_queue_step(path: str, score: Callable[[DataFrame], DataFrame],
         fresh = score(batch).drop("rank", "day").persist()
         if not fresh.limit(1).count():
             return
-        days = fresh.select(F.to_date("timestamp").alias("day")).distinct()
+        days = fresh.select(F.to_date("timestamp").alias("_day")).distinct()
         known = daily_queue(spark, path, batch_id)
         pool = fresh if known is None else fresh.unionByName(
-            known.join(small_side(days), "day", "left_semi").drop("rank", "day"))
+            known.join(small_side(days), F.col("day").eqNullSafe(F.col("_day")), "left_semi").drop("rank", "day"))
         rank.top_k_per_day(pool, k).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
         fresh.unpersist()
 
@@ -153,8 +160,9 @@ def daily_queue(spark: SparkSession, path: str, before: int | None = None) -> Da
     rows = spark.read.parquet(path)
     rows = rows if before is None else rows.filter(F.col("batch") < before)
     # the newest batch of each day is known from the folder names
-    last = rows.groupBy("day").agg(F.max("batch").alias("batch"))
-    return rows.join(small_side(last), ["day", "batch"], "left_semi").drop("batch")
+    last = rows.groupBy(F.col("day").alias("_day")).agg(F.max("batch").alias("_batch"))
+    newest = F.col("day").eqNullSafe(F.col("_day")) & (F.col("batch") == F.col("_batch"))     # a missing day is one too
+    return rows.join(small_side(last), newest, "left_semi").drop("batch")
 
 
 def run_available(df: DataFrame, checkpoint: str, body: Callable[[DataFrame, int], None],

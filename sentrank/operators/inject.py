@@ -61,15 +61,20 @@ def _seen_places(seen: DataFrame, vocab: DataFrame, value: str) -> DataFrame:
     return placed.withColumn("pos", pos).withColumn("gap", F.col("idx") - F.col("pos"))
 
 
-def unseen_values(hosts: DataFrame, seen: DataFrame, vocab: DataFrame, value: str) -> DataFrame:
-    """All (agent, value) not seen, listed from the gaps between seen places."""
+def unseen_gaps(hosts: DataFrame, seen: DataFrame, vocab: DataFrame, value: str) -> DataFrame:
+    """What each agent has not seen, as gaps in the vocabulary's order: agent, first, last, n_values.
+
+    A gap is a run of unseen places between two seen ones or an end, so an agent has at most one row more than values it
+    has seen; nothing is listed for each agent and value.
+    """
     size = vocab.count()
     placed = seen.join(vocab, value).select("agent", "idx")
     ends = hosts.select("agent").distinct().select("agent", F.lit(size).cast("long").alias("idx"))
     prev = F.lag("idx", 1, -1).over(Window.partitionBy("agent").orderBy("idx"))
-    gaps = placed.unionByName(ends).withColumn("_from", prev + 1).filter("_from < idx")
-    free = gaps.select("agent", F.explode(F.sequence("_from", F.col("idx") - 1)).alias("idx"))
-    return free.join(vocab, "idx").select("agent", value)
+    gaps = placed.unionByName(ends).select("agent", (prev + 1).alias("_from"), (F.col("idx") - 1).alias("_to")).filter("_from <= _to")
+    first, last = (vocab.select(F.col("idx").alias(f"_{side}"), F.col(value).alias(name)) for side, name in (("from", "first"), ("to", "last")))
+    return gaps.join(first, "_from").join(last, "_to").select(
+        "agent", "first", "last", (F.col("_to") - F.col("_from") + 1).alias("n_values"))
 
 
 def draw_unseen(requests: DataFrame, seen: DataFrame, vocab: DataFrame, value: str,

@@ -304,7 +304,10 @@ def _more(w: str) -> dict[str, str]:
     # injection
     out["seen_rules_per_host"] = f"{light}, {T1} SELECT DISTINCT agent, rule_id FROM t1"
     out["host_level_mean"] = f"{light}, {T1} SELECT agent, round(avg(rule_level), 6) AS mu FROM t1 GROUP BY agent"
-    out["unseen_candidates"] = f"{light}, {INJECT} SELECT agent, v AS rule_id FROM free_r"
+    out["unseen_candidates"] = f"""{light}, {INJECT}, places AS (SELECT v, row_number() OVER (ORDER BY v) AS idx
+  FROM (SELECT rule_id AS v FROM t1 UNION SELECT rule_id FROM t2)),
+runs AS (SELECT agent, f.v, idx - row_number() OVER (PARTITION BY agent ORDER BY idx) AS g FROM free_r f JOIN places p ON p.v = f.v)
+SELECT agent, min(v) AS "first", max(v) AS "last", count(*) AS n_values FROM runs GROUP BY agent, g"""
     cols = 'event_id, "timestamp", agent, rule_id, rule_level, decoder'
     tail = "CAST(synth_usecase <> '' AS INTEGER) AS is_synth_anom, CAST(synth_usecase <> '' AS INTEGER) AS y_true_synth, 1 AS y_mask_eval, synth_usecase"
     out["inject_replace"] = f"""{light}, {INJECT} SELECT {cols}, 'T2_synth' AS split, {tail} FROM changed

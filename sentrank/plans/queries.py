@@ -349,7 +349,7 @@ def unseen_candidates(spark, d):
     vocab = inject.vocabulary(t1.unionByName(t2), "rule_id")
     seen = inject.seen_pairs(t1, "rule_id")
     hosts = t2.select("agent").distinct()
-    return inject.unseen_values(hosts, seen.join(hosts, "agent", "left_semi"), vocab, "rule_id")
+    return inject.unseen_gaps(hosts, seen.join(hosts, "agent", "left_semi"), vocab, "rule_id")
 
 
 @query

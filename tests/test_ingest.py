@@ -37,6 +37,35 @@ def test_bad_lines_na_tokens_and_line_breaks(spark, tmp_path):
     assert rows == {"1": ("x", None), "4": (None, 'q "w"'), "5": ("two\nlines", "k"), "6": (None, None)}
 
 
+def test_long_lines_of_every_kind(spark, tmp_path):
+    """Extra fields, empty or not, drop a line; separators inside quotes do not count."""
+    write(tmp_path, "a.csv", 'id,a\n1,x\n2,x,,\n3,x,,y\n4,x,y\n5,"x,,,y"\n6,"a ""b"", c"\n7,"q,",,z\n8\n9,x,\n')
+    got = {r["id"]: r["a"] for r in csv_scan.scan_union(spark, csv_scan.find_files(spark, str(tmp_path))).collect()}
+    assert got == {"1": "x", "5": "x,,,y", "6": 'a "b", c', "8": None}
+
+
+def test_headers_in_one_job(spark, tmp_path):
+    """The number of jobs does not depend on the number of files."""
+    for i in range(30):
+        write(tmp_path, f"f{i:02d}.csv", f"id,{'a' if i % 2 else 'b'}\n{i},x\n" if i != 7 else 'id,"a,1"\n7,x\n')
+    files = csv_scan.find_files(spark, str(tmp_path))
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        groups = csv_scan.scan_groups(spark, files)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers")) < 12
+    assert sorted(g.columns for g in groups) == [["id", "a"], ["id", "a,1"], ["id", "b"]]
+    assert sum(g.count() for g in groups) == 30
+
+
+def test_five_smallest_examples(spark):
+    rows = spark.range(5000).select(F.format_string("%04d", F.col("id") % 3000).alias("x"), F.lit(None).cast("string").alias("none"),
+                                    F.when(F.col("id") % 2 == 0, F.repeat(F.lit("y"), 500)).alias("long"), (F.col("id") % 2).alias("two"))
+    got = {r["column"]: r["examples"] for r in quality.coverage_report(rows.repartition(7)).collect()}
+    assert got == {"x": "0000; 0001; 0002; 0003; 0004", "none": "", "long": "y" * 120, "two": "0; 1"}
+
+
 def test_no_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         csv_scan.find_files(spark, str(tmp_path))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrank.functions import payloads
-from sentrank.operators import explain, inject, metrics
+from sentrank.operators import quality, explain, inject, metrics
 
 BOUNDS = ("2024-01-10", "2024-01-11", "2024-01-14")
 
@@ -87,15 +87,38 @@ def test_salted_hosts_draw_the_same(spark, feed, monkeypatch):
     assert sorted(one) == sorted(inject.inject(feed, *BOUNDS, rate=0.3).select("event_id", "rule_id").collect())
 
 
-def test_unseen_values_listing(spark, feed):
+def test_unseen_gaps(spark, feed):
     hist = feed.filter("to_date(timestamp) <= '2024-01-10'")
     vocab = inject.vocabulary(feed, "rule_id")
     seen = inject.seen_pairs(hist, "rule_id")
     hosts = spark.createDataFrame([("h0",), ("h1",), ("new",)], "agent string")
-    got = sorted(map(tuple, inject.unseen_values(hosts, seen.join(hosts, "agent", "left_semi"), vocab, "rule_id").collect()))
+    rows = inject.unseen_gaps(hosts, seen.join(hosts, "agent", "left_semi"), vocab, "rule_id").collect()
     have = {tuple(r) for r in seen.collect()}
-    want = sorted((h, f"r{i}") for h in ("h0", "h1", "new") for i in range(9) if (h, f"r{i}") not in have)
-    assert got == want
+    names = sorted(f"r{i}" for i in range(9))
+    got = sorted((r["agent"], v) for r in rows for v in names if r["first"] <= v <= r["last"])
+    assert got == sorted((h, v) for h in ("h0", "h1", "new") for v in names if (h, v) not in have)
+    assert sum(r["n_values"] for r in rows) == len(got)
+    assert [(r["first"], r["last"]) for r in rows if r["agent"] == "new"] == [(names[0], names[-1])]
+
+
+def test_exactly_n_rows_with_shared_and_missing_ids(spark):
+    """Families and samples count rows, whatever their ids."""
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, "same").otherwise(F.col("id").cast("string")).alias("event_id"),
+        F.to_timestamp_ntz(F.lit("2024-01-05")).alias("timestamp"), F.lit("h").alias("agent"),
+        (F.col("id") % 7).cast("string").alias("rule_id"), (F.col("id") % 4).cast("int").alias("rule_level"), F.lit("d").alias("decoder"))
+    whole = rows.unionByName(rows)          # every row twice
+    for n in (1, 10, 777, 1799, 1800, 5000):
+        picked = quality.uniform_sample(whole, n)
+        assert picked.count() == min(n, 1800)
+        assert picked.exceptAll(whole).count() == 0
+    some = quality.uniform_sample(whole, 600)
+    assert 100 < some.where("event_id IS NULL").count() < 500       # rows without id are drawn one by one
+    counts = {"offhours": 101, "rule_new": 99, "decoder_new": 100, "level_out": 7}
+    marked = inject.assign_families(whole, counts, 42)
+    got = {r["synth_usecase"]: r["count"] for r in marked.groupBy("synth_usecase").count().collect()}
+    assert got == {**counts, "": 1800 - 307}
+    assert marked.drop("synth_usecase").exceptAll(whole).count() == 0
 
 
 def test_published_metric_rows(spark):

@@ -70,6 +70,30 @@ def test_daily_queue_merges_batches(spark, alert_rows, tmp_path):
     assert got == {("2024-01-01", 1): "1", ("2024-01-01", 2): "3", ("2024-01-02", 1): "4"}
 
 
+def test_alerts_without_time_have_a_queue(spark, alert_rows, tmp_path):
+    p = str(tmp_path)
+    body = feed.daily_queue_step(f"{p}/queue", lambda df: df.withColumn("anomaly_score", F.col("rule_level") / 1.0), 2)
+    for rows in ([("1", None, "a", "r", 5, "d"), ("2", "2024-01-01", "a", "r", 3, "d")],
+                 [("3", None, "a", "r", 4, "d")], [("4", None, "a", "r", 7, "d")]):
+        drop(alert_rows(rows), f"{p}/feed")
+        feed.run_available(feed.read_feed(spark, f"{p}/feed", ALERTS), f"{p}/cp", body)
+    got = {(str(r["day"]), r["rank"]): r["event_id"] for r in feed.daily_queue(spark, f"{p}/queue").collect()}
+    assert got == {("None", 1): "4", ("None", 2): "1", ("2024-01-01", 1): "2"}
+
+
+def test_silent_hosts_are_forgotten(spark, alert_rows, tmp_path):
+    p = str(tmp_path)
+    step = feed.recency_step(feed.VersionedState(f"{p}/state"), feed.batch_folder_sink(f"{p}/rows"), expire="2 days")
+    for rows in ([("1", "2024-01-01", "a", "r", 1, "d"), ("2", "2024-01-03", "b", "r", 1, "d")],
+                 [("3", "2024-01-04", "b", "r", 1, "d")], [("4", "2024-01-05", "a", "r", 1, "d"), ("5", "2024-01-05", "b", "r", 1, "d")]):
+        drop(alert_rows(rows), f"{p}/feed")
+        feed.run_available(feed.read_feed(spark, f"{p}/feed", ALERTS), f"{p}/cp", step)
+    got = {r["event_id"]: r["recency_s"] for r in spark.read.parquet(f"{p}/rows").collect()}
+    assert got == {"1": None, "2": None, "3": 86400.0, "4": None, "5": 86400.0}
+    sizes = [spark.read.parquet(f"{p}/state/v={v}").count() for v in (0, 1, 2)]
+    assert sizes == [2, 1, 2]
+
+
 def test_enrichment_with_frozen_model(spark, alert_rows, tmp_path):
     from sentrank.operators import formula
 

@@ -10,12 +10,14 @@ in two rounds:
 2. each query goes to exactly those blocks, of the cells, whose box comes closer than
    the bound, and the partial results are merged per query.
 
-The number of cells is bounded, as their boxes are sent to every task. A cell beyond
-``block_rows`` vectors is cut further, by the task that owns it, into blocks with boxes
-of their own; these are a table that queries meet by cell, so a query visits the blocks
-near it however many there are. Queries of a cell are salted, so one task group is at
-most one block by one query chunk. Tree, sample and blocks only steer efficiency: the
-result is exact for any of them.
+The boxes form a tree of three levels. The number of cells is bounded, as their boxes
+are sent to every task. A cell with more vectors than a task should hold is cut into
+parts, by a split tree of its own from a bounded sample of the cell; a part is cut by the
+task that owns it into blocks of ``block_rows`` vectors. Boxes of parts and blocks are
+tables: a query goes down from the cells near it to their near parts and on to the near
+blocks of these, however many there are. Queries of a cell are salted, so one task group
+is at most one block by one query chunk. Trees, samples and blocks only steer efficiency:
+the result is exact for any of them.
 """
 
 import math
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,9 @@ from .features import matrix
 
 MAX_CELLS = 4096          # boxes: 4096 cells x 16 columns x 2 bounds = 1 MB
 SAMPLE_ROWS = 40_000      # rows on the driver for the split tree
+TASK_VECTORS = 65_536     # vectors of a cell or a part that one task cuts into blocks
+PART_SAMPLE = 64          # sampled rows for each part of a cell
+TREES_AT_ONCE = 100_000   # parts whose split trees are sent to the workers together (32 bytes each)
 
 
 @dataclass
@@ -91,7 +96,7 @@ def grow_tree(sample: np.ndarray, cells: int) -> Tree:
 class Index:
     """Distinct training vectors by cell, with the small facts about the cells."""
 
-    rows: DataFrame           # f0.., id, w, cell, block
+    rows: DataFrame           # f0.., id, w, cell, part, block
     columns: list[str]
     tree: Tree
     low: np.ndarray           # cells x columns
@@ -99,7 +104,8 @@ class Index:
     weight: np.ndarray        # alerts per cell
     blocks: np.ndarray        # blocks per cell
     block_rows: int
-    boxes: DataFrame | None   # cell, block, lo, hi; None if every cell is one block
+    boxes: DataFrame | None   # cell, part, block, lo, hi; None if every cell is one block
+    parts: DataFrame | None   # cell, part, lo, hi; None if every cell is one part
 
 
 _BEHIND_ID = "\x01"         # sorts before every character of an id
@@ -134,7 +140,7 @@ def _pick(n: np.ndarray, cell: Column) -> Column:
 
 
 def build_index(train: DataFrame, features: list[str], block_rows: int = 2048,
-                id_col: str = "event_id") -> Index:
+                id_col: str = "event_id", task_vectors: int = TASK_VECTORS) -> Index:
     names = [f"f{i}" for i in range(len(features))]
     n = train.count()
     if n == 0:
@@ -155,6 +161,11 @@ def build_index(train: DataFrame, features: list[str], block_rows: int = 2048,
     weight, blocks = np.zeros(tree.cells), np.ones(tree.cells, dtype=int)
     for c, r in facts.items():
         low[c], high[c], weight[c], blocks[c] = r["lo"], r["hi"], r["w"], -(-r["n"] // block_rows)
+    celled, parts = celled.withColumn("part", F.lit(0)), None
+    large = {c: r["n"] for c, r in facts.items() if r["n"] > task_vectors}
+    if large:
+        celled = _parted(celled, names, large, task_vectors)
+        parts = settle(_boxes(celled, names, "cell", "part"))
     rows, boxes = celled.withColumn("block", F.lit(0)), None
     if blocks.max() > 1:
         schema = T.StructType([*celled.schema.fields, T.StructField("block", T.IntegerType())])
@@ -162,12 +173,62 @@ def build_index(train: DataFrame, features: list[str], block_rows: int = 2048,
         def cut(f: pd.DataFrame) -> pd.DataFrame:
             return f.assign(block=_cut_cell(f[names].to_numpy(dtype=float), block_rows))
 
-        rows = settle(celled.groupBy("cell").applyInPandas(cut, schema))
-        boxes = settle(rows.groupBy("cell", "block").agg(
-            F.array(*[F.min(c) for c in names]).alias("lo"), F.array(*[F.max(c) for c in names]).alias("hi")))
+        rows = settle(celled.groupBy("cell", "part").applyInPandas(cut, schema))
+        boxes = settle(_boxes(rows, names, "cell", "part", "block"))
         for r in boxes.groupBy("cell").agg(F.count("*").alias("n")).collect():
             blocks[r["cell"]] = r["n"]
-    return Index(rows, names, tree, low, high, weight, blocks, block_rows, boxes)
+    return Index(rows, names, tree, low, high, weight, blocks, block_rows, boxes, parts)
+
+
+def _boxes(rows: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.array(*[F.min(c) for c in names]).alias("lo"), F.array(*[F.max(c) for c in names]).alias("hi"))
+
+
+def _parted(celled: DataFrame, names: list[str], large: dict[int, int], task_vectors: int) -> DataFrame:
+    """The table with the ``part`` of each vector of a ``large`` cell (cell to vectors), about ``task_vectors`` in each.
+
+    A cell's split tree grows in a task from some sampled rows for each of its parts. Trees go to the workers in groups
+    of bounded size, with one pass over their cells for each.
+    """
+    spark = celled.sparkSession
+    wanted = spark.createDataFrame(
+        [(c, max(2, -(-2 * n // task_vectors)), max(1, n // (PART_SAMPLE * max(2, -(-2 * n // task_vectors))))) for c, n in large.items()],
+        "_cell int, _parts int, _step int")
+    sample = celled.join(F.broadcast(wanted), F.col("cell") == F.col("_cell")).where(     # at most MAX_CELLS rows
+        F.pmod(F.xxhash64("id", F.lit(5)), F.col("_step")) == 0)
+
+    def grow(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        t = grow_tree(f[names].to_numpy(dtype=float), int(f["_parts"].iloc[0]))
+        return pd.DataFrame({"cell": [key[0]], "dim": [t.dim], "cut": [t.cut], "left": [t.left], "right": [t.right], "cells": [t.cells]})
+
+    trees = settle(sample.groupBy("cell").applyInPandas(
+        grow, "cell int, dim array<long>, cut array<double>, left array<long>, right array<long>, cells int"))
+    seen = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)                # at most MAX_CELLS rows
+    groups = trees.select("cell", F.floor(F.coalesce(F.sum("cells").over(seen), F.lit(0)) / TREES_AT_ONCE).cast("int").alias("g"))
+    of_group: dict[int, list[int]] = {}
+    for r in groups.collect():
+        of_group.setdefault(r["g"], []).append(r["cell"])
+    out = celled.where(~F.col("cell").isin(list(large)))
+    for cells in of_group.values():
+        sent = {r["cell"]: Tree(*(np.array(r[c]) for c in ("dim", "cut", "left", "right")), r["cells"])
+                for r in trees.where(F.col("cell").isin(cells)).collect()}
+        held = spark.sparkContext.broadcast(sent)
+        mine = celled.where(F.col("cell").isin(cells)).withColumn("part", _part_udf(held)("cell", F.struct(*names)))
+        out = out.unionByName(mine)
+    return settle(out)
+
+
+def _part_udf(held):
+    @F.pandas_udf(T.IntegerType())
+    def part(cell: pd.Series, f: pd.DataFrame) -> pd.Series:
+        x, out = f.to_numpy(dtype=float), np.zeros(len(f), dtype=np.int32)
+        for c in np.unique(cell.to_numpy()):
+            mine = cell.to_numpy() == c
+            out[mine] = held.value[int(c)].assign(x[mine])
+        return pd.Series(out)
+
+    return part
 
 
 def _cut_cell(x: np.ndarray, block_rows: int) -> np.ndarray:
@@ -198,6 +259,12 @@ def _box_gap(names: list[str]) -> Column:
     return total
 
 
+def _nearest_box(queries: DataFrame, boxes: DataFrame, keys: list[str], name: str, names: list[str]) -> DataFrame:
+    """Queries (qid, keys, vector) with the nearest of the boxes that have their keys, 0 if there is none."""
+    return queries.join(boxes, keys, "left").groupBy("qid", *keys, *names).agg(
+        F.coalesce(F.min_by(name, _box_gap(names)), F.lit(0)).alias(name))
+
+
 def _cell_udf(tree: Tree):
     @F.pandas_udf(T.IntegerType())
     def cell(f: pd.DataFrame) -> pd.Series:
@@ -264,11 +331,11 @@ def _nearest(q: np.ndarray, t: np.ndarray, w: np.ndarray, ids: np.ndarray, ub2:
             yield s + i, d, n
 
 
-_SEARCH = ["cell", "block", "chunk"]
+_SEARCH = ["cell", "part", "block", "chunk"]
 
 
 def _meet(queries: DataFrame, index: Index, chunks: np.ndarray, fn, out: str) -> DataFrame:
-    """Cogroup query chunks with training blocks by (cell, block, chunk)."""
+    """Cogroup query chunks with training blocks by (cell, part, block, chunk)."""
     copies = F.explode(F.sequence(F.lit(0), _pick(chunks, F.col("cell")) - 1))
     train = index.rows.withColumn("chunk", copies)
     q = queries.withColumn("chunk", F.pmod(F.xxhash64("qid", F.lit(11)), _pick(chunks, F.col("cell"))).cast("int"))
@@ -319,11 +386,9 @@ def vector_join(queries: DataFrame, index: Index, features: list[str], k: int,
 
     # round 1: the nearest block of the own cell bounds the k-th distance
     chunks = _chunks(vectors.groupBy("cell").agg(F.count("*").alias("n")), index, query_block_rows, one_block=True)
-    if index.boxes is None:
-        home = vectors.withColumn("block", F.lit(0))
-    else:
-        home = vectors.join(index.boxes, "cell", "left").groupBy("qid", "cell", *names).agg(
-            F.coalesce(F.min_by("block", _box_gap(names)), F.lit(0)).alias("block"))
+    home = vectors.withColumn("part", F.lit(0)) if index.parts is None else _nearest_box(vectors, index.parts, ["cell"], "part", names)
+    home = home.withColumn("block", F.lit(0)) if index.boxes is None else _nearest_box(
+        home, index.boxes, ["cell", "part"], "block", names)
 
     def bound(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q):
@@ -353,10 +418,10 @@ def vector_join(queries: DataFrame, index: Index, features: list[str], k: int,
     visiting = settle(bounded.mapInPandas(visits, f"qid string, ub2 double, {floats}, cells array<int>"))
     there = visiting.select("qid", "ub2", *names, F.explode("cells").alias("cell"))
     chunks2 = _chunks(there.groupBy("cell").agg(F.count("*").alias("n")), index, query_block_rows)
-    if index.boxes is None:
-        there = there.withColumn("block", F.lit(0))
-    else:
-        there = there.join(index.boxes, "cell").filter(_box_gap(names) <= F.col("ub2") * (1 + 1e-9) + 1e-9).drop("lo", "hi")
+    near = _box_gap(names) <= F.col("ub2") * (1 + 1e-9) + 1e-9
+    there = there.withColumn("part", F.lit(0)) if index.parts is None else there.join(index.parts, "cell").filter(near).drop("lo", "hi")
+    there = there.withColumn("block", F.lit(0)) if index.boxes is None else there.join(
+        index.boxes, ["cell", "part"]).filter(near).drop("lo", "hi")
 
     # a far query may visit very many blocks: merge their results in two steps
     visited = int(index.blocks.sum())
@@ -365,7 +430,7 @@ def vector_join(queries: DataFrame, index: Index, features: list[str], k: int,
     def search(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"qid": [], "salt": [], "d": [], "n": []}
         if len(q) and len(t):
-            qids, salt = q["qid"].to_numpy(), (int(t["cell"].iloc[0]) * 31 + int(t["block"].iloc[0])) % salts
+            qids, salt = q["qid"].to_numpy(), ((int(t["cell"].iloc[0]) * 31 + int(t["part"].iloc[0])) * 31 + int(t["block"].iloc[0])) % salts
             for i, d, n in _nearest(q[names].to_numpy(dtype=float), t[names].to_numpy(dtype=float),
                                     t["w"].to_numpy(), t["id"].to_numpy(), q["ub2"].to_numpy(dtype=float), k):
                 out["qid"].append(qids[i]), out["salt"].append(salt), out["d"].append(d), out["n"].append(n)

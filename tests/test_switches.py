@@ -51,6 +51,25 @@ def test_neighbour_join_gives_a_row_for_each_row(spark):
     assert {r["n"] for r in names.collect()} <= {"", *map(str, range(50))}
 
 
+@pytest.mark.parametrize("trees_at_once", [2, 10 ** 6])
+def test_neighbours_by_cells_parts_and_blocks(spark, monkeypatch, trees_at_once):
+    """Three levels of boxes give the neighbours of one level; no task cuts more than about its share of a cell."""
+    points = spark.range(3000).select(F.col("id").cast("string").alias("event_id"), (F.col("id") * 37 % 1009).cast("double").alias("a"),
+                                      F.sin(F.col("id") * 0.7).alias("b"))
+    asked = spark.range(60).select(F.col("id").cast("string").alias("event_id"), (F.col("id") * 17.3).alias("a"), F.cos("id").alias("b"))
+    plain = neighbors.build_index(points, NAMES, 4000)
+    assert plain.boxes is None and plain.parts is None
+    monkeypatch.setattr(neighbors, "MAX_CELLS", 4)
+    monkeypatch.setattr(neighbors, "TREES_AT_ONCE", trees_at_once)
+    deep = neighbors.build_index(points, NAMES, 16, task_vectors=128)
+    assert deep.tree.cells == 4 and deep.parts.count() > 20 and deep.boxes.count() > 150
+    assert deep.rows.groupBy("cell", "part").count().agg(F.max("count")).first()[0] < 512
+    assert deep.rows.count() == plain.rows.count()
+    got, want = ({r["event_id"]: [round(d, 9) for d in r["dists"]] for r in neighbors.knn_join(asked, i, NAMES, 9).collect()}
+                 for i in (deep, plain))
+    assert got == want and len(got) == 60
+
+
 VALUES = [
     [1.0, 2.0, 3.0, math.inf], [-math.inf, -1.0, 0.0, 2.0, math.inf, math.inf], [math.inf, math.inf], [-math.inf, 5.0],
     [-1.7e308, -1e308, 0.0, 1e308, 1.7e308] * 20, [5e-324 * i for i in range(300)], [1.0 + 2.0 ** -52 * i for i in range(40)] * 3,

@@ -8,6 +8,7 @@ with one version per batch id, which makes a repeated batch write the same thing
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +18,7 @@ from ..functions import times
 from ..session import exists, is_folder, remove, small_side
 
 WATERMARK = "1 hour"
+_COPIES = 200_000
 
 
 def read_feed(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -37,17 +39,29 @@ def with_event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("event_time", F.col("timestamp").cast("timestamp"))
 
 
-def dedup_stream(df: DataFrame, delay: str = WATERMARK, spread: int = 8) -> DataFrame:
+def _first_of_copies(batches):
+    """Rows without the later ones of equal id and time in the same partition, as far as ``_COPIES`` ids remember."""
+    seen: set = set()
+    for batch in batches:
+        keys = list(zip(batch.column("event_id").to_pylist(), batch.column("event_time").cast("int64").to_pylist()))
+        keep = []
+        for key in keys:
+            keep.append(key not in seen)
+            seen.add(key)
+        if len(seen) > _COPIES:
+            seen.clear()
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def dedup_stream(df: DataFrame, delay: str = WATERMARK, fold: bool = True) -> DataFrame:
     """First arrival per event id within the watermark; later rows than that are dropped.
 
-    With ``spread`` copies are first removed per (id, arriving partition), so an id
-    with very many copies does not send them all to one task.
+    With ``fold`` copies that arrive together, with the same time, are first removed inside each partition, without
+    state; so an id with very many copies does not send them all to one task. Copies of another time stay: the first may
+    be too late while the second is not.
     """
-    marked = df.withWatermark("event_time", delay)
-    if spread > 1:
-        marked = marked.withColumn("_from", F.spark_partition_id() % spread)
-        marked = marked.dropDuplicatesWithinWatermark(["event_id", "_from"]).drop("_from")
-    return marked.dropDuplicatesWithinWatermark(["event_id"])
+    rows = df.mapInArrow(_first_of_copies, df.schema) if fold else df
+    return rows.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def monitor_stream(df: DataFrame, delay: str = WATERMARK, width: str = "1 hour",

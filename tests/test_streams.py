@@ -58,6 +58,15 @@ def test_dedup_across_batches_and_late_drop(spark, alert_rows, tmp_path):
     assert got == ["1", "2", "4"]              # 3 is behind the watermark
 
 
+def test_copies_are_folded_before_the_state(spark, alert_rows):
+    rows = alert_rows([("1", "2024-01-01 10:00:00", "a", "r", 1, "d")] * 500 + [("1", "2024-01-01 11:00:00", "a", "r", 1, "d")] * 3
+                      + [(None, None, "a", "r", 1, "d")] * 4 + [("2", None, "b", "r", 2, "d")])
+    some = feed.with_event_time(rows).coalesce(1)
+    left = some.mapInArrow(feed._first_of_copies, some.schema).collect()
+    assert sorted((r["event_id"] or "", str(r["timestamp"])) for r in left) == [
+        ("", "None"), ("1", "2024-01-01 10:00:00"), ("1", "2024-01-01 11:00:00"), ("2", "None")]
+
+
 def test_daily_queue_merges_batches(spark, alert_rows, tmp_path):
     p = str(tmp_path)
     queue = f"{p}/queue"

@@ -254,6 +254,9 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> list[int]:
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with its columns."""
+    """The rows of ``docs`` that are not contaminated, with its columns.
+
+    Null and empty texts stay, repeated rows are judged like any other, and without items every row stays.
+    """
     return find(docs, items, width).where("NOT contaminated").select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in RESULT])

@@ -365,7 +365,11 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised: it has letters and one language is likelier than all others."""
+    """The rows of ``docs`` whose language is recognised: it has letters and one language is likelier than all others.
+
+    A null text has no letters. Repeated rows and rows without doc_id are judged like any other; if no row can be learned
+    from, none stays.
+    """
     model = fit(learnable(docs))
     return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])

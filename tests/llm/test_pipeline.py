@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against plain versions of its decisions."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sentrank.llm.common import table
@@ -40,3 +41,41 @@ def test_run_is_the_stages_in_order(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert got.where("start = 0").count() > 100
+
+
+def odd_documents(spark):
+    """Null, empty, blank, repeated and very long texts, missing and shared ids, and columns of awkward names."""
+    plain = table(spark, SF, "documents").limit(60).select("doc_id", "text", "lang")
+    rows = [(None, None, None), (None, "", None), (9001, " \n", None), (9002, "x" * 50_000, "en"), (9003, "1234 !?", "en"),
+            (9004, "the same words again and again", "en"), (9004, "the same words again and again", "en"),
+            (None, "the same words again and again", "en"), (9005, "the same  words again and again", None)]
+    some = plain.union(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    for name in ("source", "score", "kept", "a.b", "block"):
+        some = some.withColumn(name, F.lit("x"))
+    return some
+
+
+def test_stages_take_odd_rows(spark):
+    docs = odd_documents(spark)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:20]) for r in df.select("doc_id", "text").collect())
+    every = ids(docs)
+    known, exact, near, clean = (stage(spark, docs, SF) for _, stage in corpus_pipeline.STAGES[:-1])
+    for left in (known, exact, near, clean):
+        assert left.columns == docs.columns
+        assert all(ids(left).count(x) <= every.count(x) for x in ids(left))
+    assert not [r for r in known.collect() if r.text is None or not any(c.isalpha() for c in r.text)]
+    same = "the same words again"
+    assert [x[1:] for x in ids(exact) if "same" in x[2]] == [(9005, "the same  words agai")]        # the longest original
+    assert sum(not x[2].strip() for x in ids(exact)) == 1
+    assert {x[1] for x in ids(near) if x[2].startswith("the same")} == {9004}
+    assert sum(not x[2].strip() for x in ids(near)) == 3 and len(same) == 20
+    assert sum(x[2].startswith("the same") for x in ids(clean)) == 4
+    pieces = corpus_pipeline.packed(spark, docs, SF)
+    assert pieces.where("start = 0").count() == len(every)
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = odd_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name

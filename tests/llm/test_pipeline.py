@@ -60,17 +60,17 @@ def test_stages_take_odd_rows(spark):
     docs = spark.createDataFrame(docs.collect(), docs.schema)
     ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:20]) for r in df.select("doc_id", "text").collect())
     every = ids(docs)
-    known, exact, near, clean = (stage(spark, docs, SF) for _, stage in corpus_pipeline.STAGES[:-1])
+    stages = [stage(spark, docs, SF) for _, stage in corpus_pipeline.STAGES[:-1]]
+    assert all(left.columns == docs.columns for left in stages)
+    known, exact, near, clean = map(ids, stages)        # each stage runs once
     for left in (known, exact, near, clean):
-        assert left.columns == docs.columns
-        assert all(ids(left).count(x) <= every.count(x) for x in ids(left))
-    assert not [r for r in known.collect() if r.text is None or not any(c.isalpha() for c in r.text)]
-    same = "the same words again"
-    assert [x[1:] for x in ids(exact) if "same" in x[2]] == [(9005, "the same  words agai")]        # the longest original
-    assert sum(not x[2].strip() for x in ids(exact)) == 1
-    assert {x[1] for x in ids(near) if x[2].startswith("the same")} == {9004}
-    assert sum(not x[2].strip() for x in ids(near)) == 3 and len(same) == 20
-    assert sum(x[2].startswith("the same") for x in ids(clean)) == 4
+        assert all(left.count(x) <= every.count(x) for x in left)
+    assert not [x for x in known if not any(c.isalpha() for c in x[2])]
+    assert [x[1:] for x in exact if "same" in x[2]] == [(9005, "the same  words agai")]        # the longest original
+    assert sum(not x[2].strip() for x in exact) == 1
+    assert {x[1] for x in near if x[2].startswith("the same")} == {9004}
+    assert sum(not x[2].strip() for x in near) == 3
+    assert sum(x[2].startswith("the same") for x in clean) == 4
     pieces = corpus_pipeline.packed(spark, docs, SF)
     assert pieces.where("start = 0").count() == len(every)
 

@@ -10,6 +10,9 @@ as one piece to the bucket of the anchor, so equal runs meet there, and nothing
 
 An anchor with very many pieces would fill one task with surroundings that differ. Its runs are dealt one by one, by
 the hash of the whole run, with the least place of each slab: a run is one short entry per slab, whatever it is part of.
+
+There is a bucket for some megabytes of text, so the group that a task holds does not grow with the table, and every
+shuffle partition gets equally many buckets.
 """
 
 from collections.abc import Callable, Iterator
@@ -27,6 +30,8 @@ from .common import buckets, settle
 SLAB_BYTES = 1 << 20
 SLAB_ROWS = 1 << 16
 CHUNK_SYMBOLS = 1 << 18
+#: Text for which there is one bucket.
+BUCKET_BYTES = 1 << 24
 #: Symbols around one anchor beyond which its runs are dealt by themselves.
 HEAVY_SYMBOLS = 1 << 20
 SLAB = "slab bigint, raw_bytes bigint, doc_ids binary, no_id binary, keys binary, offsets binary, text binary"
@@ -187,6 +192,30 @@ def _distinct(spec: Spec, offsets, at, own):
     return own[first], again, (last - first + 1).astype(np.uint32)
 
 
+def bucket_count(slabs: DataFrame, parts: int) -> int:
+    """Buckets for settled ``slabs``: one for ``BUCKET_BYTES`` of text, equally many for each of ``parts`` partitions."""
+    raw = slabs.agg(F.sum("raw_bytes")).first()[0] or 0
+    return parts * max(1, -(-raw // (BUCKET_BYTES * parts)))
+
+
+def by_bucket(sent: DataFrame, run: Callable, schema: str, parts: int) -> DataFrame:
+    """``run(bucket's rows)`` for each bucket; buckets go to partitions in turn, not by a hash that leaves some empty."""
+
+    def each(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        return run(group)
+
+    return sent.withColumn("part", F.col("bucket") % parts).repartitionById(parts, F.col("part")).groupBy(
+        "part", "bucket").applyInArrow(each, schema)
+
+
+def _dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket of ``to`` with the places that go there."""
+    order = np.argsort(to, kind="stable")
+    found, first = np.unique(to[order], return_index=True)
+    for b, a, z in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(to)], strict=True):
+        yield b, order[a:z]
+
+
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     """Bucket of each 48-bit hash; grows with the hash, so sorted hashes fall into ranges."""
     return ((hashes >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -208,7 +237,7 @@ def _from_six(value: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-def shared_bits(slabs: DataFrame, spec: Spec, n_buckets: int) -> DataFrame:
+def shared_bits(slabs: DataFrame, spec: Spec, n_buckets: int, parts: int) -> DataFrame:
     """For each slab and bucket, one bit for each of the slab's distinct anchors: does it occur elsewhere too?
 
     Where there are any, a second one says which have more than ``spec.heavy`` symbols around them.
@@ -225,7 +254,7 @@ def shared_bits(slabs: DataFrame, spec: Spec, n_buckets: int) -> DataFrame:
                     for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True) if b > a]
             yield from batch_of(rows, ANCHORS).to_batches()
 
-    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    def compare(group: pa.Table) -> pa.Table:
         blobs, flags = group["hashes"].to_pylist(), group["again"].to_pylist()
         sizes = [len(b) // 6 for b in blobs]
         hashes = np.concatenate([_from_six(b) for b in blobs])
@@ -247,7 +276,7 @@ def shared_bits(slabs: DataFrame, spec: Spec, n_buckets: int) -> DataFrame:
             group["slab"].to_pylist(), group["bucket"].to_pylist(), sizes, cuts[:-1], strict=True)
             if shared[a:a + n].any()], BITS)
 
-    return slabs.mapInArrow(send, ANCHORS).groupBy("bucket").applyInArrow(compare, BITS)
+    return by_bucket(slabs.mapInArrow(send, ANCHORS), compare, BITS, parts)
 
 
 def pieces_of(slab: Slab, bits: list[dict], spec: Spec, n_buckets: int) -> pa.Table:
@@ -292,11 +321,7 @@ def pieces_of(slab: Slab, bits: list[dict], spec: Spec, n_buckets: int) -> pa.Ta
     rows.append((int(_bucket(anchor[keep][:1], n_buckets)[0]), slab.number, None, None, known))
     rows += [(b, slab.number, None, r, None) for b, r in dealt.items()]
     start, end, anchor, doc = start[keep], end[keep], anchor[keep], doc[keep]
-    to = _bucket(anchor, n_buckets)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(n_buckets + 1))
-    for b in np.unique(to).tolist():
-        some = order[cuts[b]:cuts[b + 1]]
+    for b, some in _dealt(_bucket(anchor, n_buckets)):
         some = some[np.argsort(anchor[some], kind="stable")]
         size = (end - start)[some]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -329,8 +354,8 @@ def _dealt_runs(slab: Slab, spec: Spec, codes: np.ndarray, offsets: np.ndarray,
                     (at[last] - at[first] + spec.length).astype(np.int32))
     to = _bucket(tb.mix(content[lead]) >> np.uint64(16), n_buckets)
     out = {}
-    for b in np.unique(to).tolist():
-        some = lead[to == b]
+    for b, places in _dealt(to):
+        some = lead[places]
         out[b] = squeeze(content[some], slab.ids[doc[some]], slab.no_id[doc[some]])
     return out, known
 
@@ -424,17 +449,15 @@ def resolve(group: pa.Table, spec: Spec) -> pa.Table:
 
 def repeated(docs: DataFrame, spec: Spec, finish: Callable, schema: str) -> DataFrame:
     """Run the exchange and hand each slab with its covered symbols to ``finish(slab, codes, offsets, mask)``."""
-    n = buckets(docs.sparkSession)
+    parts = buckets(docs.sparkSession)
     slabs = to_slabs(docs)
-    bits = shared_bits(slabs, spec, n)
+    n = bucket_count(slabs, parts)
+    bits = shared_bits(slabs, spec, n, parts)
 
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.concat_tables([pieces_of(Slab.read(row), right.to_pylist(), spec, n) for row in left.to_pylist()]) \
             if left.num_rows and right.num_rows else batch_of([], PIECES)
 
-    def settle_bucket(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return resolve(group, spec)
-
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
@@ -455,8 +478,8 @@ def repeated(docs: DataFrame, spec: Spec, finish: Callable, schema: str) -> Data
             out += finish(slab, codes, offsets, np.cumsum(mask[:-1]) > 0)
         return batch_of(out, schema)
 
-    known = slabs.groupBy("slab").cogroup(bits.groupBy("slab")).applyInArrow(deal, PIECES).groupBy("bucket").applyInArrow(
-        settle_bucket, KNOWN)
+    pieces = slabs.groupBy("slab").cogroup(bits.groupBy("slab")).applyInArrow(deal, PIECES)
+    known = by_bucket(pieces, lambda group: resolve(group, spec), KNOWN, parts)
     return slabs.groupBy("slab").cogroup(known.groupBy("slab")).applyInArrow(end, schema)
 
 

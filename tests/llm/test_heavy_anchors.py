@@ -48,7 +48,7 @@ def test_no_task_holds_a_heavy_anchor(docs):
             for i in range(300)]
     spec = slabs.Spec(suffix_dedup.ANCHOR, 50, suffix_dedup._symbols, np.uint8, True, suffix_dedup.find, 2000)
     table = slabs.to_slabs(docs(rows, 3), 4000)
-    bits = slabs.shared_bits(table, spec, 5).toArrow().to_pylist()
+    bits = slabs.shared_bits(table, spec, 5, 5).toArrow().to_pylist()
     weight, runs = Counter(), Counter()
     for row in table.toArrow().to_pylist():
         mine = [b for b in bits if b["slab"] == row["slab"]]

@@ -66,6 +66,36 @@ def test_several_chunks_and_slabs(docs, monkeypatch, spark):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("bucket_bytes", [300, 1 << 24])
+def test_buckets_follow_the_text(docs, monkeypatch, bucket_bytes):
+    """However many buckets a partition has, runs are found; with more text come more buckets, not larger ones."""
+    rows = passages(6, 60, small_words)
+    monkeypatch.setattr(slabs, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(slabs, "to_slabs", lambda docs, make=slabs.to_slabs: make(docs, 500))
+    table = slabs.to_slabs(docs(rows, 3))
+    text = sum(len((t or "").encode()) for _, t in rows)
+    n = slabs.bucket_count(table, 4)
+    assert n % 4 == 0 and (n - 4) * bucket_bytes < text <= n * bucket_bytes
+    want = sorted(((k, *v) for k, v in brute.suffix_dedup(rows).items()), key=repr)
+    got = suffix_dedup.remove_repeats(docs(rows, 3))
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    want = sorted(((k, *v) for k, v in brute.substring_dedup(rows).items()), key=repr)
+    got = rlz_dedup.remove_repeats(docs(rows, 3), heavy=200)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_partitions_get_equally_many_buckets(spark):
+    sent = spark.range(3000).selectExpr("cast(id % 60 as int) as bucket", "id")
+
+    def seen(group):
+        from pyspark import TaskContext
+        import pyarrow as pa
+        return pa.table({"part": [TaskContext.get().partitionId()], "n": [group.num_rows]})
+
+    got = slabs.by_bucket(sent, seen, "part bigint, n bigint", 12).collect()
+    assert sorted(r.part for r in got) == sorted(list(range(12)) * 5) and all(r.n == 50 for r in got)
+
+
 def test_chunks_hold_whole_anchors(monkeypatch):
     rng = np.random.default_rng(1)
     text = rng.integers(0, 2, 3000).astype(np.uint8)

@@ -223,19 +223,27 @@ def rank_rows(
         spec = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
         return df.withColumn(rank_col, F.row_number().over(spec).cast("long"))
 
+    id_, part, place, start = (_free_name(df.columns, n) for n in ("_nth_id", "_nth_part", "_nth_place", "_nth_start"))
     ordered = df.orderBy(*[F.col(k).asc_nulls_first() for k in keys], *order)
-    numbered = settle(ordered.withColumn("_id", F.monotonically_increasing_id()))
-    part, pos = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)      # one row per partition
-    offsets = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
-        "_place", F.col("_before") + pos + 1).select(*numbered.columns, "_place")
+    numbered = settle(ordered.withColumn(id_, F.monotonically_increasing_id()))
+    in_part, pos = F.shiftright(id_, 33), F.col(id_).bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)         # one row per partition
+    offsets = numbered.groupBy(in_part.alias(part)).agg(F.count("*").alias("n")).select(
+        part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    placed = numbered.withColumn(part, in_part).join(F.broadcast(offsets), part).withColumn(
+        place, F.col(start) + pos + 1).select(*[F.col(f"`{c}`") for c in df.columns], place)
     if not keys:
-        return placed.withColumn(rank_col, F.col("_place")).drop("_id", "_place")
-    starts = placed.groupBy(*keys).agg(F.min("_place").alias("_start"))
+        return placed.withColumn(rank_col, F.col(place)).drop(place)
+    starts = placed.groupBy(*keys).agg(F.min(place).alias(start))
     same = [placed[k].eqNullSafe(starts[k]) for k in keys]
     joined = placed.join(starts, same, "left")
     for k in keys:
         joined = joined.drop(starts[k])
-    return joined.withColumn(rank_col, F.col("_place") - F.col("_start") + 1).drop("_id", "_place", "_start")
+    return joined.withColumn(rank_col, F.col(place) - F.col(start) + 1).drop(place, start)
+
+
+def _free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column (in either case of letters) has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name

@@ -96,6 +96,18 @@ def test_ranks_by_either_way(spark):
         assert pick(small) == pick(large)
 
 
+@pytest.mark.parametrize("group", [None, ["_part"]])
+def test_ranks_keep_columns_of_any_name(spark, group):
+    """Raw columns (dots, ``_id``) and names of the numbering itself come through both ways unchanged."""
+    df = spark.range(50).select(
+        F.format_string("evt-%03d", "id").alias("_id"), (F.col("id") % 7).alias("_source.@timestamp"), (F.col("id") % 3).alias("_part"),
+        F.lit("x").alias("_place"), F.lit("y").alias("_before"), F.lit("z").alias("_nth_id"))
+    order = [F.col("`_source.@timestamp`"), F.col("_id")]
+    small, large = (rank_rows(df.repartition(5), order, group, small_rows=n) for n in (1000, 5))
+    assert large.columns == small.columns == [*df.columns, "rank"]
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+
+
 def test_quantiles_read_the_rows_twice(spark):
     """Whatever the spread of the values, beyond the small size there are two passes over the rows."""
     reads = spark.sparkContext.accumulator(0)

@@ -18,6 +18,7 @@ from .split import window_rows
 
 FALLBACK_LOW, FALLBACK_WIDTH = 1_000_000, 8_999_999
 REQUESTS_PER_SALT = 200_000
+GAP_PLACES = 10_000          # unseen places that one row is spread to at once
 
 
 def family_weights(spec: str = "") -> dict[str, float]:
@@ -67,14 +68,27 @@ def unseen_gaps(hosts: DataFrame, seen: DataFrame, vocab: DataFrame, value: str)
     A gap is a run of unseen places between two seen ones or an end, so an agent has at most one row more than values it
     has seen; nothing is listed for each agent and value.
     """
+    gaps = _gap_places(hosts, seen, vocab, value)
+    first, last = (vocab.select(F.col("idx").alias(f"_{side}"), F.col(value).alias(name)) for side, name in (("from", "first"), ("to", "last")))
+    return gaps.join(first, "_from").join(last, "_to").select(
+        "agent", "first", "last", (F.col("_to") - F.col("_from") + 1).alias("n_values"))
+
+
+def unseen_values(hosts: DataFrame, seen: DataFrame, vocab: DataFrame, value: str) -> DataFrame:
+    """Every (agent, value) not seen, listed from the gaps between seen places: no row is made that is not given back."""
+    gaps = _gap_places(hosts, seen, vocab, value)
+    cut = gaps.select("agent", "_to", F.explode(F.sequence("_from", "_to", F.lit(GAP_PLACES))).alias("_from"))
+    free = cut.select("agent", F.explode(F.sequence("_from", F.least("_to", F.col("_from") + (GAP_PLACES - 1)))).alias("idx"))
+    return free.join(vocab, "idx").select("agent", value)
+
+
+def _gap_places(hosts: DataFrame, seen: DataFrame, vocab: DataFrame, value: str) -> DataFrame:
+    """Per agent the runs of unseen places, from ``_from`` to ``_to``."""
     size = vocab.count()
     placed = seen.join(vocab, value).select("agent", "idx")
     ends = hosts.select("agent").distinct().select("agent", F.lit(size).cast("long").alias("idx"))
     prev = F.lag("idx", 1, -1).over(Window.partitionBy("agent").orderBy("idx"))
-    gaps = placed.unionByName(ends).select("agent", (prev + 1).alias("_from"), (F.col("idx") - 1).alias("_to")).filter("_from <= _to")
-    first, last = (vocab.select(F.col("idx").alias(f"_{side}"), F.col(value).alias(name)) for side, name in (("from", "first"), ("to", "last")))
-    return gaps.join(first, "_from").join(last, "_to").select(
-        "agent", "first", "last", (F.col("_to") - F.col("_from") + 1).alias("n_values"))
+    return placed.unionByName(ends).select("agent", (prev + 1).alias("_from"), (F.col("idx") - 1).alias("_to")).filter("_from <= _to")
 
 
 def draw_unseen(requests: DataFrame, seen: DataFrame, vocab: DataFrame, value: str,

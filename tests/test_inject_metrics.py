@@ -101,6 +101,24 @@ def test_unseen_gaps(spark, feed):
     assert [(r["first"], r["last"]) for r in rows if r["agent"] == "new"] == [(names[0], names[-1])]
 
 
+@pytest.mark.parametrize("at_once", [2, 10_000])
+def test_unseen_values_are_listed_one_by_one(spark, feed, monkeypatch, at_once):
+    monkeypatch.setattr(inject, "GAP_PLACES", at_once)
+    hist = feed.filter("to_date(timestamp) <= '2024-01-10'")
+    vocab, seen = inject.vocabulary(feed, "rule_id"), inject.seen_pairs(hist, "rule_id")
+    hosts = spark.createDataFrame([("h0",), ("h1",), ("new",)], "agent string")
+    rows = inject.unseen_values(hosts, seen.join(hosts, "agent", "left_semi"), vocab, "rule_id").collect()
+    have = {tuple(r) for r in seen.collect()}
+    assert sorted(map(tuple, rows)) == sorted((h, f"r{i}") for h in ("h0", "h1", "new") for i in range(9) if (h, f"r{i}") not in have)
+
+
+def test_unseen_candidates_is_the_whole_list(spark):
+    from sentrank.plans.queries import all_queries
+
+    got = all_queries()["unseen_candidates"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["agent", "rule_id"] and got.count() == got.distinct().count() > 15 * 30
+
+
 def test_exactly_n_rows_with_shared_and_missing_ids(spark):
     """Families and samples count rows, whatever their ids."""
     rows = spark.range(900).select(

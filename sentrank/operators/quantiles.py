@@ -239,7 +239,8 @@ def rank_rows(
     joined = placed.join(starts, same, "left")
     for k in keys:
         joined = joined.drop(starts[k])
-    return joined.withColumn(rank_col, F.col(place) - F.col(start) + 1).drop(place, start)
+    wide = joined.withColumn(rank_col, F.col(place) - F.col(start) + 1)
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns], *([] if rank_col in df.columns else [rank_col]))
 
 
 def _free_name(taken: list[str], name: str) -> str:

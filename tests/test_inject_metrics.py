@@ -113,10 +113,12 @@ def test_unseen_values_are_listed_one_by_one(spark, feed, monkeypatch, at_once):
 
 
 def test_unseen_candidates_is_the_whole_list(spark):
-    from sentrank.plans.queries import all_queries
+    from sentrank.plans.queries import all_queries, light_window
 
-    got = all_queries()["unseen_candidates"](spark, "/root/testdata/sf0.001")
-    assert got.columns == ["agent", "rule_id"] and got.count() == got.distinct().count() > 15 * 30
+    got = sorted(map(tuple, all_queries()["unseen_candidates"](spark, "/root/testdata/sf0.001").select("agent", "rule_id").collect()))
+    t1, t2 = (light_window(spark, "/root/testdata/sf0.001", w).select("agent", "rule_id").distinct().collect() for w in ("T1", "T2"))
+    rules, seen = {r for _, r in t1 + t2}, set(map(tuple, t1))
+    assert got == sorted((a, r) for a in {a for a, _ in t2} for r in rules if (a, r) not in seen) and got
 
 
 def test_exactly_n_rows_with_shared_and_missing_ids(spark):

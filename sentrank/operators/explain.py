@@ -27,7 +27,7 @@ def feature_iqr(train: DataFrame, features: list[str]) -> dict[str, float]:
 def knn_scorer(index: Index, features: list[str], k: int) -> Scorer:
     """Mean distance to k training rows as a frame → frame function."""
     def score(df: DataFrame) -> DataFrame:
-        scores = mean_distance(vector_join(df, index, features, k), k)
+        scores = mean_distance(vector_join(df, index, features, k, label=None), k)
         return add_by_vector(df.drop("anomaly_score"), features, scores)
 
     return score

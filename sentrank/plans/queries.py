@@ -483,7 +483,7 @@ def lof_score(spark, d):
 @query
 def sweep_best_k(spark, d):
     train, test = model_windows(spark, d)
-    near = neighbors.knn_join(test, neighbors.build_index(train, FEATURES), FEATURES, 50)
+    near = neighbors.knn_join(test, neighbors.build_index(train, FEATURES), FEATURES, 50, label=None)
     labels = test.select("event_id", label_expr().alias("y"))
     near = settle(near.select("event_id", "dists").join(labels, "event_id"))
     best = metrics.best_k(metrics.sweep(near, "y", [5, 10, 20, 35, 50], PS))

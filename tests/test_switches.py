@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,37 @@ def test_feed_from_a_file_and_from_a_folder(spark, tmp_path):
     for path in (tmp_path / "one", single):
         out = feed.run_to_parquet(feed.read_feed(spark, str(path), rows.schema), str(tmp_path / f"cp-{path.name}"), str(tmp_path / f"out-{path.name}"))
         assert out.count() == 10
+
+
+def test_a_block_is_searched_by_leaves(monkeypatch):
+    """Near queries look at few of a block's vectors, and find what looking at all of them finds, copies and ties included."""
+    rng = np.random.default_rng(3)
+    t = np.unique(np.round(rng.normal(size=(9000, 3)) * [50, 5, 1], 1), axis=0)
+    q, w, k = np.round(rng.normal(size=(300, 3)) * [50, 5, 1], 1), rng.integers(1, 3, len(t)), 12
+    ids = np.array([f"e{i:05d}" for i in rng.permutation(len(t))], dtype=object)
+    looked, squares = [], neighbors.Leaves._squares
+
+    def counted(self, qc, qn, leaves):
+        rows, d2 = squares(self, qc, qn, leaves)
+        looked.append(d2.size)
+        return rows, d2
+
+    monkeypatch.setattr(neighbors.Leaves, "_squares", counted)
+    groups = neighbors._grouped(q)
+    assert sorted(np.concatenate(groups)) == list(range(300)) and max(map(len, groups)) <= neighbors.GROUP_QUERIES
+    seen = 0
+    for g, found in neighbors.Leaves(t, w, ids).nearest(q, np.full(300, np.inf), k, groups):
+        for i, (d, n) in zip(g, found, strict=True):
+            exact = np.sqrt(((t - q[i]) ** 2).sum(axis=1))
+            order = np.lexsort((ids, np.round(exact, 9)))
+            assert d == pytest.approx(np.repeat(exact[order], w[order])[:k], abs=1e-9)
+            assert sorted(n) == sorted(np.repeat(ids[order], w[order])[:k]) or exact[order][k] - exact[order][k - 1] < 1e-9
+            seen += 1
+    assert seen == 300 and sum(looked) < 0.35 * 300 * len(t)
+
+
+def test_distances_without_names(spark):
+    index = neighbors.build_index(training(spark), NAMES, 16)
+    plain, named = (neighbors.vector_join(odd_rows(spark), index, NAMES, 5, label=c) for c in (None, "id"))
+    assert plain.columns == ["qid", "dists"]
+    assert {r["qid"]: r["dists"] for r in plain.collect()} == {r["qid"]: r["dists"] for r in named.collect()}

@@ -13,15 +13,24 @@ from .common import map_batches, settle
 #: Fixed value: word bytes are ASCII letters and digits and everything beyond ASCII.
 WORD_BYTES = ~tb.byte_class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 SHARD_BYTES = 4 << 20
+HASH_BYTES = 512 << 10
 BLOCK_BYTES = 8 << 20
 RESULT = ("n_words", "n_hit", "longest", "spans", "items", "contaminated")
 
 
 def words(data: np.ndarray, offsets: np.ndarray):
-    """Hashes of the lower-cased words and the first word of each document."""
-    low = tb.LOWER[data]
-    starts, ends, first = tb.tokens(low, offsets, WORD_BYTES)
-    return tb.token_hashes(low, starts, ends), first
+    """Hashes of the lower-cased words and the first word of each document.
+
+    Hashing takes many times the memory of the bytes, so a shard's are hashed in slices of ``HASH_BYTES``.
+    """
+    hashes, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for i, j in tb.slices(offsets, HASH_BYTES):
+        part, cuts = tb.cut(data, offsets, i, j)
+        low = tb.LOWER[part]
+        starts, ends, first = tb.tokens(low, cuts, WORD_BYTES)
+        hashes.append(tb.token_hashes(low, starts, ends))
+        counts.append(np.diff(first))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
 class TestSet:

@@ -4,9 +4,11 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
@@ -58,6 +60,24 @@ def test_one_block_is_live_at_a_time(docs, spark, monkeypatch):
     assert len(events) > 5 and events == (["read", "gone"] * len(events))[:len(events)]
 
 
+def test_words_of_a_shard_are_hashed_within_bounds():
+    """Hashing a shard in slices takes a fraction of the memory, and words and first words stay as they are."""
+    rng = random.Random(4)
+    texts = ["", "...", *[" ".join(rng.choice(["Wort", "a1", "é"]) for _ in range(rng.randint(0, 3000))) for _ in range(500)], ""]
+    data, offsets = tb.flat(pa.array(texts, pa.large_string()))
+    starts, ends, first = tb.tokens(tb.LOWER[data], offsets, decontaminate.WORD_BYTES)
+    want = tb.token_hashes(tb.LOWER[data], starts, ends)
+    assert len(data) > 2 << 20
+    tracemalloc.start()
+    try:
+        hashes, got = decontaminate.words(data, offsets)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(hashes, want) and np.array_equal(got, first)
+    assert most < 10 * len(data), most / len(data)
+
+
 def test_decontamination_spans_and_longest(docs, spark):
     item = " ".join(f"q{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")

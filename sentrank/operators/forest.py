@@ -4,8 +4,9 @@ Training rows are folded to distinct vectors with counts; every tree draws a
 Poisson bootstrap of them. Where all vectors fit into one task, they are sent to
 every worker and a task draws and grows whole trees, so no sample is shuffled.
 Beyond that, nodes with more vectors than one task should hold are split level by
-level from aggregated minima and maxima; whatever is small enough is finished
-inside one task per (tree, node). Inside a task all nodes of a level are split in
+level from aggregated minima and maxima, with the samples drawn anew where the
+vectors lie; then samples are shuffled once, packed, and whatever is small enough
+is finished inside one task per (tree, node). Inside a task all nodes of a level are split in
 one pass over its rows, which lie in order of their nodes.
 
 Every draw is a function of what it is for (vector and tree, tree and feature, node
@@ -18,18 +19,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle, small_side
+from ..session import settle
 from .features import matrix
 from .neighbors import distinct_vectors, plain_id
 
 NODE_SCHEMA = "tree int, node long, feature int, threshold double, path double"
 TASK_VECTORS = 200_000
 TREE_ROWS = 500_000              # vectors times trees that a task draws at once
+BLOCK_VECTORS = 40_000           # vectors whose samples are drawn together beyond that
 BROADCAST_NODES = 4_000_000      # 22 bytes each
+CHUNK_ROWS = 500_000             # rows that meet a group of trees in one task
 _EULER = 0.5772156649015329
 
 
@@ -76,17 +80,21 @@ def uniform(h: np.ndarray) -> np.ndarray:
 def _poisson(rate: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Poisson draws by inversion, beyond rate 30 by a rounded normal."""
     u = uniform(h)
-    rate = np.broadcast_to(rate, u.shape)
     small = np.minimum(rate, 30.0)
-    term = np.exp(-small)
-    total, out = term.copy(), np.zeros(u.shape)
+    term = np.broadcast_to(np.exp(-small), u.shape).ravel()
+    out = np.zeros(u.size)
+    live = np.flatnonzero(u.ravel() > term)
+    above, small, term = u.ravel()[live], np.broadcast_to(small, u.shape).ravel()[live], term[live]
+    total = term.copy()
     for j in range(1, 120):
-        more = u > total
-        if not more.any():
+        if not len(live):
             break
-        out += more
+        out[live] += 1
         term = term * small / j
         total += term
+        more = above > total
+        live, above, small, term, total = live[more], above[more], small[more], term[more], total[more]
+    rate, out = np.broadcast_to(rate, u.shape), out.reshape(u.shape)
     if not (rate > 30.0).any():
         return out.astype(np.int64)
     normal = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * uniform(_mixed(h)))
@@ -106,21 +114,72 @@ def _draws(h: np.ndarray, rate: np.ndarray, tree: np.ndarray | int) -> np.ndarra
     return _poisson(rate, _mixed(h ^ np.asarray(tree).astype(np.uint64)))
 
 
-def _members(vectors: DataFrame, names: list[str], trees: int, share: float, seed: int) -> DataFrame:
-    """(tree, node 1, vector, n): with-replacement samples of an expected ``share`` of all rows."""
-    def draw(frames):
-        for f in frames:
-            h, rate = _vector_hashes(f["key"].to_numpy(), seed), f["w"].to_numpy(dtype=float) * share
-            for s in range(0, len(f), 1024):
-                n = _draws(h[s:s + 1024, None], rate[s:s + 1024, None], np.arange(trees)[None, :])
-                row, tree = np.nonzero(n)
-                out = f[names].iloc[s + row].reset_index(drop=True)
-                out.insert(0, "tree", tree.astype(np.int32)), out.insert(1, "node", np.int64(1))
-                out["n"] = n[row, tree]
-                yield out
+def _code(tree: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """One number for a tree's node, in order of trees and nodes."""
+    return (np.asarray(tree, np.int64) << 48) | np.asarray(node, np.int64)
+
+
+def _blocks(batches, names: list[str], seed: int, share: float):
+    """Values, hashes and rates of some ``BLOCK_VECTORS`` vectors at a time."""
+    def block(held):
+        f = pa.Table.from_batches(held)
+        x = np.stack([f[c].to_numpy() for c in names], axis=1).astype(float)
+        return x, _vector_hashes(f["key"].to_numpy(), seed), f["w"].to_numpy().astype(float) * share
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= BLOCK_VECTORS:
+            yield block(held)
+            held, n = [], 0
+    if n:
+        yield block(held)
 
-    floats = ", ".join(f"{c} double" for c in names)
-    return _keyed(vectors).mapInPandas(draw, f"tree int, node long, {floats}, n long")
+
+def _placed(batches, names: list[str], trees: int, share: float, seed: int, tops: dict[str, np.ndarray]):
+    """The with-replacement samples of a task's vectors, tree after tree, and the node each vector has come to.
+
+    Yields values, codes of nodes in order, vectors and how often each is drawn. Vectors in leaves are left out.
+    """
+    for x, h, rate in _blocks(batches, names, seed, share):
+        step = max(1, TREE_ROWS // len(x))
+        for s in range(0, trees, step):
+            n = _draws(h[None, :], rate[None, :], np.arange(s, min(trees, s + step))[:, None])
+            tree, row = np.nonzero(n)
+            n, tree = n[tree, row], tree + s
+            node, live, inside = np.ones(len(row), np.int64), np.arange(len(row)), np.ones(len(row), bool)
+            while len(live) and len(tops["code"]):
+                code = _code(tree[live], node[live])
+                at = np.minimum(np.searchsorted(tops["code"], code), len(tops["code"]) - 1)
+                known = tops["code"][at] == code
+                live, at = live[known], at[known]
+                feature = tops["feature"][at]
+                inside[live[feature < 0]] = False
+                live, at, feature = live[feature >= 0], at[feature >= 0], feature[feature >= 0]
+                node[live] = 2 * node[live] + (x[row[live], feature] > tops["threshold"][at])
+            code, row, n = _code(tree, node)[inside], row[inside], n[inside]
+            order = np.argsort(code, kind="stable")
+            yield x, code[order], row[order], n[order]
+
+
+def _heads(code: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
+
+
+def _members(keyed: DataFrame, names: list[str], trees: int, share: float, seed: int,
+             tops: dict[str, np.ndarray]) -> DataFrame:
+    """(tree, node, x, n): the drawn vectors of each node, packed column by column."""
+    def pack(batches):
+        for x, code, row, n in _placed(batches, names, trees, share, seed, tops):
+            heads = _heads(code)
+            ends = np.append(heads[1:], len(code))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(code[heads] >> 48, pa.int32()), pa.array(code[heads] & ((1 << 48) - 1)),
+                pa.array([x[row[a:b]].T.tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary()),
+                pa.array([n[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())],
+                names=["tree", "node", "x", "n"])
+
+    return keyed.mapInArrow(pack, "tree int, node long, x binary, n binary")
 
 
 def _keyed(vectors: DataFrame) -> DataFrame:
@@ -249,31 +308,40 @@ def fit(train: DataFrame, features: list[str], trees: int = 600, max_samples: fl
     if n_vectors <= task_vectors:
         nodes = _whole_trees(vectors, names, trees, sample / total, seed, n_features, max_depth)
         return Forest(settle(nodes), features, trees, int(sample))
-    rows = _members(vectors, names, trees, sample / total, seed)
-    done: list[DataFrame] = []
-    if min(sample, n_vectors) > task_vectors:
-        rows, done = _split_large(settle(rows), names, seed, n_features, max_depth, task_vectors)
+    keyed = settle(_keyed(vectors).select("key", "w", *names))
+    tops = _tops(keyed, names, trees, sample / total, seed, n_features, max_depth, task_vectors) \
+        if min(sample, n_vectors) > task_vectors else _NO_TOPS
 
     def grow(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        return _grow(f[names].to_numpy(dtype=float), np.arange(len(f)), f["n"].to_numpy(), np.zeros(1, np.int64),
-                     np.array([key[0]], np.int64), np.array([key[1]], np.int64), seed, n_features, max_depth)
+        x = np.concatenate([np.frombuffer(b).reshape(len(names), -1) for b in f["x"]], axis=1).T
+        n = np.concatenate([np.frombuffer(b, np.int64) for b in f["n"]])
+        return _grow(x, np.arange(len(n)), n, np.zeros(1, np.int64), np.array([key[0]], np.int64),
+                     np.array([key[1]], np.int64), seed, n_features, max_depth)
 
+    rows = _members(keyed, names, trees, sample / total, seed, tops)
     nodes = rows.groupBy("tree", "node").applyInPandas(grow, NODE_SCHEMA)
-    for d in done:
-        nodes = nodes.unionByName(d)
+    if len(tops["code"]):
+        nodes = nodes.unionByName(vectors.sparkSession.createDataFrame(pd.DataFrame({
+            "tree": (tops["code"] >> 48).astype(np.int32), "node": tops["code"] & ((1 << 48) - 1),
+            "feature": tops["feature"].astype(np.int32), "threshold": tops["threshold"], "path": tops["path"]}), NODE_SCHEMA))
     return Forest(settle(nodes), features, trees, int(sample))
 
 
-def _split_large(rows: DataFrame, names: list[str], seed: int, n_features: int, max_depth: int,
-                 task_vectors: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Split nodes that are too large for a task, one level per round, from per-node extremes."""
-    done: list[DataFrame] = []
+_NO_TOPS = {"code": np.empty(0, np.int64), "feature": np.empty(0, np.int64), "threshold": np.empty(0), "path": np.empty(0)}
+
+
+def _tops(keyed: DataFrame, names: list[str], trees: int, share: float, seed: int, n_features: int, max_depth: int,
+          task_vectors: int) -> dict[str, np.ndarray]:
+    """Nodes with more vectors than a task should hold, split one level per round.
+
+    Every round draws the samples anew where the vectors lie and shuffles the bounds of nodes only. What comes to the
+    driver are the split nodes, some sampled rows / ``task_vectors`` a level.
+    """
+    low, high = ([f"{side}{i}" for i in range(len(names))] for side in ("lo", "hi"))
 
     def decide(frames):
         for f in frames:
-            if not len(f):
-                continue
-            lo, hi = np.stack(f["lo"].to_numpy()), np.stack(f["hi"].to_numpy())
+            lo, hi = f[low].to_numpy(), f[high].to_numpy()
             tree, node = f["tree"].to_numpy().astype(np.int64), f["node"].to_numpy()
             keys = np.where(hi > lo, _feature_order(seed, tree, node, len(names), n_features), np.inf)
             pick, each = np.argmin(keys, axis=1), np.arange(len(f))
@@ -283,22 +351,37 @@ def _split_large(rows: DataFrame, names: list[str], seed: int, n_features: int,
                 "threshold": np.where(splits, _cuts(seed, tree, node, lo[each, pick], hi[each, pick]), 0.0),
                 "path": np.where(splits, 0.0, _depth(node) + average_path(f["size"].to_numpy()))})
 
-    while True:
-        large = rows.groupBy("tree", "node").agg(
-            F.count("*").alias("vectors"), F.sum("n").alias("size"),
-            F.array(*[F.min(c) for c in names]).alias("lo"), F.array(*[F.max(c) for c in names]).alias("hi"),
-        ).filter(F.col("vectors") > task_vectors)
-        splits = settle(large.select("tree", "node", "size", "lo", "hi").mapInPandas(decide, NODE_SCHEMA))
-        if splits.limit(1).count() == 0:
-            return rows, done
-        done.append(splits)
-        s = small_side(splits.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "feature", "threshold"))
-        joined = rows.join(s, (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n")), "left")
-        x = F.element_at(F.array(*names), F.greatest(F.col("feature"), F.lit(0)) + 1)
-        child = F.col("node") * 2 + F.when(x > F.col("threshold"), 1).otherwise(0)
-        moved = joined.filter("feature IS NULL OR feature >= 0").withColumn(
-            "node", F.when(F.col("feature").isNull(), F.col("node")).otherwise(child))
-        rows = settle(moved.select("tree", "node", *names, "n"))
+    tops, open_ = _NO_TOPS, _code(np.arange(trees), np.ones(trees))
+    while len(open_):
+        def bound(batches, tops=tops, open_=open_):
+            for x, code, row, n in _placed(batches, names, trees, share, seed, tops):
+                asked = np.isin(code, open_)
+                code, row, n = code[asked], row[asked], n[asked]
+                heads = _heads(code)
+                if not len(heads):
+                    continue
+                values = x[row]
+                lo, hi = np.minimum.reduceat(values, heads, axis=0), np.maximum.reduceat(values, heads, axis=0)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(code[heads] >> 48, pa.int32()), pa.array(code[heads] & ((1 << 48) - 1)),
+                    pa.array(np.diff(np.append(heads, len(code)))), pa.array(np.add.reduceat(n, heads)),
+                    *[pa.array(c) for c in lo.T], *[pa.array(c) for c in hi.T]],
+                    names=["tree", "node", "vectors", "size", *low, *high])
+
+        doubles = ", ".join(f"{c} double" for c in [*low, *high])
+        large = keyed.mapInArrow(bound, f"tree int, node long, vectors long, size long, {doubles}").groupBy(
+            "tree", "node").agg(F.sum("vectors").alias("vectors"), F.sum("size").alias("size"),
+                                *[F.min(c).alias(c) for c in low], *[F.max(c).alias(c) for c in high]).filter(
+            F.col("vectors") > task_vectors)
+        found = large.drop("vectors").mapInPandas(decide, NODE_SCHEMA).toArrow().to_pandas()
+        code = _code(found["tree"].to_numpy(), found["node"].to_numpy())
+        new = {"code": code, **{c: found[c].to_numpy() for c in ("feature", "threshold", "path")}}
+        tops = {c: np.concatenate([tops[c], new[c]]) for c in new}
+        order = np.argsort(tops["code"])
+        tops = {c: v[order] for c, v in tops.items()}
+        inner = found[found["feature"] >= 0]
+        open_ = np.concatenate([_code(inner["tree"].to_numpy(), 2 * inner["node"].to_numpy() + k) for k in (0, 1)])
+    return tops
 
 
 def _linked(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -336,28 +419,80 @@ def _path_sum(x: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
 def score(df: DataFrame, forest: Forest, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """Adds ``anomaly_score`` = 2^(-mean path / expected path), higher is more anomalous.
 
-    A model within ``broadcast_nodes`` goes to every executor at once. A larger one
-    goes there in groups of trees of about that size, one after the other: each pass
-    adds the group's path lengths to a column of the settled rows. Rows are never
-    joined, so both ways give every row its own score whatever its id.
+    A model within ``broadcast_nodes`` goes to every executor at once. Of a larger
+    one, groups of whole trees of about that size and chunks of the rows meet in one
+    task each, all pairs of them spread over the cluster; neither passes through the
+    driver. Rows are numbered for that and get their own sums back by the number, so
+    both ways give every row its own score whatever its id.
     """
     n_nodes = forest.nodes.count()
     scale = float(average_path(forest.sample)) or 1.0
     grown = forest.nodes.filter("node = 1").count()
     groups = max(1, -(-n_nodes // broadcast_nodes))
-    context = df.sparkSession.sparkContext
-    total, rows = F.lit(0.0), df.drop("anomaly_score")
-    for g in range(groups):
-        part = forest.nodes.filter(F.pmod(F.xxhash64("tree"), F.lit(groups)) == g)
-        model = context.broadcast(_linked(part.toArrow().to_pandas()))
-        total = total + _paths_udf(model)(F.struct(*matrix(rows, forest.features)))
-        if g < groups - 1:
-            rows = settle(rows.withColumn("_paths", total))
-            total = F.col("_paths")
+    rows = df.drop("anomaly_score")
+    if groups == 1:
+        model = df.sparkSession.sparkContext.broadcast(_linked(forest.nodes.toArrow().to_pandas()))
+        total = _paths_udf(model)(F.struct(*matrix(rows, forest.features)))
+    else:
+        rows, total = _paths_by_groups(rows, forest, min(groups, forest.trees)), F.col("_paths")
     mean = total / F.lit(float(max(grown, 1)) * scale)
     return rows.withColumn("anomaly_score", F.pow(F.lit(2.0), -mean)).drop("_paths")
 
 
+def _paths_by_groups(rows: DataFrame, forest: Forest, groups: int) -> DataFrame:
+    """``rows`` with ``_paths``, the sum of each row's path lengths over all trees."""
+    rows = settle(rows.withColumn("_row", F.monotonically_increasing_id()))
+    chunks = max(1, -(-rows.count() // CHUNK_ROWS))
+    width = len(forest.features)
+
+    def pack_rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                row, *x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                chunk = int(_mixed(row[:1].astype(np.uint64))[0] % np.uint64(chunks))
+                x = b"".join(c.astype(float).tobytes() for c in x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int32()), pa.array([row.tobytes()], pa.binary()), pa.array([x], pa.binary())],
+                    names=["chunk", "rows", "x"])
+
+    def pack_nodes(batches):
+        for batch in batches:
+            tree, *cols = (c.to_numpy() for c in batch.columns)
+            order = np.argsort(tree, kind="stable")
+            tree, cols = tree[order], [c[order] for c in cols]
+            heads = _heads(tree)
+            ends = np.append(heads[1:], len(tree))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tree[heads], pa.int32()),
+                 *[pa.array([c[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary()) for c in cols]],
+                names=["tree", "node", "feature", "threshold", "path"])
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = rows.select("_row", *matrix(rows, forest.features)).mapInArrow(
+        pack_rows, "chunk int, rows binary, x binary").withColumn("part", each(groups))
+    model = forest.nodes.select("tree", "node", "feature", "threshold", "path").mapInArrow(
+        pack_nodes, "tree int, node binary, feature binary, threshold binary, path binary").withColumn(
+        "part", F.pmod("tree", F.lit(groups))).withColumn("chunk", each(chunks))
+
+    def walk(m: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if not len(m) or not len(f):
+            return pd.DataFrame({"_row": np.empty(0, np.int64), "_paths": np.empty(0)})
+        types = {"node": np.int64, "feature": np.int32, "threshold": float, "path": float}
+        nodes = {c: np.concatenate([np.frombuffer(b, t) for b in m[c]]) for c, t in types.items()}
+        nodes["tree"] = np.repeat(m["tree"].to_numpy(), [len(b) // 8 for b in m["node"]])
+        linked = _linked(pd.DataFrame(nodes))
+        return pd.concat([pd.DataFrame({
+            "_row": np.frombuffer(row, np.int64),
+            "_paths": _path_sum(np.frombuffer(x).reshape(width, -1).T, linked)})
+            for row, x in zip(f["rows"], f["x"], strict=True)], ignore_index=True)
+
+    sums = model.groupBy("part", "chunk").cogroup(asked.groupBy("part", "chunk")).applyInPandas(
+        walk, "_row long, _paths double").groupBy("_row").agg(F.sum("_paths").alias("_paths"))
+    return rows.join(sums, "_row").drop("_row")
+
+
 def _paths_udf(model):
     @F.pandas_udf(T.DoubleType())
     def paths(f: pd.DataFrame) -> pd.Series:

@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +56,39 @@ def test_whole_trees_equal_shuffled_ones(spark):
         one, other = (forest.fit(train, ["a", "b", "c"], 30, share, 0.8, 7, most).nodes for most in (10_000, 60))
         assert one.count() == other.count() > 0
         assert one.exceptAll(other).count() == 0
+
+
+def test_large_forests_keep_samples_and_models_off_the_driver(spark, monkeypatch):
+    """Large nodes are split where the vectors lie, and a large model meets the rows in tasks: same trees, same scores."""
+    rows = [(f"e{i % 800}", float(i % 37), float(i * i % 101), 1.0 if i % 3 else float(i)) for i in range(900)]
+    train = spark.createDataFrame([*rows, (None, 1.0, 2.0, 3.0)], "event_id string, a double, b double, c double")
+    names = ["a", "b", "c"]
+    sent = []
+    context = type(spark.sparkContext)
+    broadcast = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    large = forest.fit(train, names, 20, 0.7, 0.8, 7, 50)
+    shares = forest.score(train, large, 60).select(*names, "event_id", F.round("anomaly_score", 12).alias("s"))
+    got = sorted(map(str, shares.collect()))
+    assert not sent
+    whole = forest.fit(train, names, 20, 0.7, 0.8, 7, 10_000)
+    assert large.nodes.exceptAll(whole.nodes).count() == whole.nodes.exceptAll(large.nodes).count() == 0
+    once = forest.score(train, whole).select(*names, "event_id", F.round("anomaly_score", 12).alias("s"))
+    assert got == sorted(map(str, once.collect()))
+    assert forest.score(train.limit(0), large, 60).count() == 0
+
+
+def test_draws_are_those_of_inversion():
+    """Poisson draws are the plain inversion's, for rates of both kinds."""
+    h = forest.chained(3, range(4000))
+    for rate in (0.0, 0.5, 7.0, 29.0):
+        u, want = forest.uniform(h), []
+        for x in u:
+            j, term = 0, math.exp(-rate)
+            total = term
+            while x > total and j < 119:
+                j += 1
+                term = term * rate / j
+                total += term
+            want.append(j)
+        assert forest._poisson(forest.np.array([rate]), h).tolist() == want

@@ -78,6 +78,27 @@ def test_large_forests_keep_samples_and_models_off_the_driver(spark, monkeypatch
     assert forest.score(train.limit(0), large, 60).count() == 0
 
 
+def test_routes_of_large_forests_agree(spark, monkeypatch):
+    """Trees of groups, of drawn vectors and of split nodes have the same nodes and scores; scoring settles no nodes."""
+    for name, value in (("NODE_VECTORS", 40), ("NEAR_ROWS", 90), ("TABLE_VALUES", 60), ("BLOCK_VECTORS", 200)):
+        monkeypatch.setattr(forest, name, value)
+    rows = [(f"e{i % 800}", float(i % 37), math.sqrt(i), 1.0 if i % 3 else float(i % 9)) for i in range(900)]
+    train = spark.createDataFrame([*rows, (None, -1e9, -0.0, 3.0), *[(f"h{i}", 5.0, 5.0, 5.0) for i in range(200)]],
+                                  "event_id string, a double, b double, c double")
+    asked = [(f"q{i % 20}", float(i), math.sqrt(i * 23) - 0.01, 9.0 - i) for i in range(38)]
+    query = spark.createDataFrame([*asked, (None, None, float("nan"), 1e12)], train.schema)
+    names, fields = ["a", "b", "c"], ["event_id", "a", "c", F.round("anomaly_score", 12).alias("s")]
+    whole = forest.fit(train, names, 12, 0.7, 0.8, 7, 10_000)
+    want = sorted(map(str, forest.score(query, whole).select(fields).collect()))
+    for group, tree in ((10_000, 10_000), (100, 10_000), (100, 50)):
+        monkeypatch.setattr(forest, "GROUP_VECTORS", group)
+        monkeypatch.setattr(forest, "TREE_VECTORS", tree)
+        large = forest.fit(train, names, 12, 0.7, 0.8, 7, 50)
+        assert sorted(map(str, forest.score(query, large).select(fields).collect())) == want
+        assert (large.kept is None) == (tree > 50)
+        assert large.nodes.exceptAll(whole.nodes).count() == whole.nodes.exceptAll(large.nodes).count() == 0
+
+
 def test_draws_are_those_of_inversion():
     """Poisson draws are the plain inversion's, for rates of both kinds."""
     h = forest.chained(3, range(4000))

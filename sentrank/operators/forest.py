@@ -505,11 +505,29 @@ def fit(train: DataFrame, features: list[str], trees: int = 600, max_samples: fl
 
 
 def _tables(values: DataFrame, names: list[str]) -> list[np.ndarray | None]:
-    """The values in order of every column that has few of them."""
-    rough = values.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in names]).first()
-    few = [c for c in names if rough[c] <= TABLE_VALUES]
-    found = values.agg(*[F.collect_set(c).alias(c) for c in few]).first() if few else {}
-    return [np.unique(np.array(found[c], float)) if c in few else None for c in names]
+    """The values in order of every column that has at most ``TABLE_VALUES``."""
+    def joined(held: np.ndarray | None, new: np.ndarray) -> np.ndarray | None:
+        held = None if held is None else np.union1d(held, new)
+        return held if held is not None and len(held) <= TABLE_VALUES else None
+
+    def few(batches):
+        held = [np.empty(0)] * len(names)
+        for f in _held(batches):
+            held = [h if h is None else joined(h, f[c].to_numpy()) for h, c in zip(held, names, strict=True)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(range(len(names)), pa.int32()),
+            pa.array([None if h is None else h.tobytes() for h in held], pa.binary())], names=["column", "held"])
+
+    def merge(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        held = np.empty(0)
+        for b in f["held"]:
+            held = None if b is None else joined(held, np.frombuffer(b))
+        return pd.DataFrame({"column": [key[0]], "held": [None if held is None else held.tobytes()]})
+
+    made = "column int, held binary"
+    found = values.select(*names).mapInArrow(few, made).groupBy("column").applyInPandas(merge, made).collect()
+    tables = {r["column"]: r["held"] for r in found}
+    return [None if tables.get(i) is None else np.frombuffer(tables[i]) for i in range(len(names))]
 
 
 def _packed(rows: DataFrame, names: list[str], tables: list[np.ndarray | None], groups: int,
